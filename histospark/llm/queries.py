@@ -4,8 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from histospark.llm import bpe, spam
-from histospark.runtime import load
+from histospark.llm import bpe, clusters, spam, splits
+from histospark.operators import units
+from histospark.runtime import load, stage
+
+
+def _pixels(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``features`` with areas and centroid rows in pixels, units being settled by the evidence."""
+    features, masks, images = (load(spark, sf_dir, t) for t in ("features", "masks", "images"))
+    runs = units.run_units(features, masks, images, classify=False)
+    return units.convert_features(features.select("image_id", "tool", "area", "centroid_row", *columns), runs)
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(clusters.shapes(_pixels(spark, sf_dir, "cell_id", "circularity", "eccentricity", "solidity")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir)
+    return clusters.same_group(load(spark, sf_dir, "cell_pairs"), cells, clusters.find_groups(cells))
+
+
+def p3_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell's group."""
+    cells = _cells(spark, sf_dir)
+    return clusters.assign(cells, clusters.find_groups(cells)).select("image_id", "cell_id", "group_id", "distance")
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group's size and most typical cells."""
+    cells = _cells(spark, sf_dir)
+    return clusters.describe(clusters.assign(cells, clusters.find_groups(cells)))
+
+
+def _related(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return load(spark, sf_dir, "images"), load(spark, sf_dir, "masks"), load(spark, sf_dir, "annotation_tasks")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.families(splits.spanning_forest(splits.relations(*_related(spark, sf_dir))))
+
+
+def p5_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the spanning forest; nodes below 0 are patients and tasks."""
+    return splits.spanning_forest(splits.relations(*_related(spark, sf_dir))).edges
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every mask and annotation task."""
+    return splits.assign(*_related(spark, sf_dir), load(spark, sf_dir, "split_targets"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +68,5 @@ def p8_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.judge(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p8_found": p8_found, "p8_judged": p8_judged}
+QUERIES = {"p3_found": p3_found, "p3_cells": p3_cells, "p3_groups": p3_groups, "p5_found": p5_found, "p5_forest": p5_forest, "p5_splits": p5_splits, "p6_ids": p6_ids, "p8_found": p8_found, "p8_judged": p8_judged}
 SQL: dict[str, str] = {}
