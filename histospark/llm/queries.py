@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from histospark.llm import bpe, clusters, spam, splits
+from histospark.llm import bpe, clusters, mix, percentiles, spam, splits, subset
 from histospark.operators import units
 from histospark.runtime import load, stage
 
@@ -68,5 +68,65 @@ def p8_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.judge(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_cells": p3_cells, "p3_groups": p3_groups, "p5_found": p5_found, "p5_forest": p5_forest, "p5_splits": p5_splits, "p6_ids": p6_ids, "p8_found": p8_found, "p8_judged": p8_judged}
-SQL: dict[str, str] = {}
+
+def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records chosen for every row of ``subset_requests``."""
+    populations = {
+        "features": subset.cell_records(_pixels(spark, sf_dir, "cell_id")),
+        "patches": subset.patch_records(load(spark, sf_dir, "patches"), load(spark, sf_dir, "annotation_tasks")),
+    }
+    return subset.subsets(load(spark, sf_dir, "subset_requests"), populations)
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pixels(spark, sf_dir, "cell_id", "perimeter", "extracted_at")
+    measured = percentiles.measurements(rows.withColumn("area", rows["area_px"]), ["area", "perimeter"])
+    return percentiles.percentiles(measured, ["area", "perimeter"])
+
+
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles per image and day, per image, and per day."""
+    return _measured(spark, sf_dir).drop("summary")
+
+
+def p4_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of whole images, combined from the summaries of their days."""
+    days = stage(_measured(spark, sf_dir).where("level = 'image_day'").select("metric", "image_id", "n", "summary"))
+    return percentiles.combine(days, ["metric", "image_id"])
+
+
+def p4_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact medians and quartiles of the perimeters of each image."""
+    measured = percentiles.measurements(load(spark, sf_dir, "features"), ["perimeter"])
+    rows = percentiles.percentiles(measured, ["perimeter"]).where("level = 'image'")
+    return rows.select("image_id", "n", *[rows[c].alias(c) for c in ("p05", "p25", "p50", "p75", "p95")])
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mix.Source], int]:
+    tokens = mix.counted(load(spark, sf_dir, "documents"))
+    sources, total = mix.plan(tokens, load(spark, sf_dir, "mix_targets"))
+    return mix.mixture(tokens, sources), sources, total
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every slot of the mixture with the spans of documents that fill it."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares and repeats of every source."""
+    return mix.report(*_mixed(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_subset, p3_found, p3_cells, p3_groups, p4_percentiles, p4_combined, p4_perimeter, p5_found, p5_forest, p5_splits, p6_ids, p7_mix, p7_shares, p8_found, p8_judged)
+}
+SQL = {
+    "p4_perimeter": """
+        WITH measured AS (SELECT DISTINCT image_id, cell_id, tool, extracted_at, perimeter FROM features)
+        SELECT image_id, count(*) AS n,
+               quantile_cont(perimeter, 0.05) AS p05, quantile_cont(perimeter, 0.25) AS p25, quantile_cont(perimeter, 0.5) AS p50,
+               quantile_cont(perimeter, 0.75) AS p75, quantile_cont(perimeter, 0.95) AS p95
+        FROM measured WHERE perimeter IS NOT NULL AND NOT isnan(perimeter) GROUP BY image_id""",
+}
