@@ -6,12 +6,13 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from histospark.plans import unit_queries
+from histospark.plans import image_queries, unit_queries
 
 
 def modules() -> list[ModuleType]:
-    return [unit_queries]
+    return [image_queries, unit_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_queries.p2_found(spark, sf_dir)
+    """Masks of the scene by threshold: histogram, opening, filled holes and components."""
+    return image_queries.threshold_mask(spark, sf_dir)
