@@ -18,12 +18,11 @@ empty tables give empty results; null, zero and negative target shares take no r
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histospark.functions.imageref import digits, image_number, patient_number
+from histospark.operators.forest import Forest, spanning_forest
 from histospark.runtime import stage
 
 #: Hash ranges of a band whose sums are prefix-summed; bounds the table that is broadcast.
@@ -64,45 +63,6 @@ def relations(images: DataFrame, masks: DataFrame, tasks: DataFrame) -> DataFram
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-@dataclass
-class Forest:
-    """``roots``: ``node, root``, root being a node of the component; ``edges``: ``a, b`` of its spanning tree."""
-
-    roots: DataFrame
-    edges: DataFrame
-    rounds: int
-
-
-def spanning_forest(edges: DataFrame) -> Forest:
-    """Borůvka's contraction of the graph of ``edges`` (``a, b``, no loops)."""
-    left = stage(edges.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.struct(F.xxhash64("a", "b").alias("w"), "a", "b").alias("edge")))
-    roots = stage(left.select(F.explode(F.array("ca", "cb")).alias("node")).distinct().withColumn("root", F.col("node")))
-    chosen: list[DataFrame] = []
-    rounds = 0
-    while not left.isEmpty():
-        rounds += 1
-        ends = left.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("to"), "edge"), F.struct(F.col("cb").alias("c"), F.col("ca").alias("to"), "edge"))).alias("e"))
-        # edges are totally ordered, so least edges close no cycle but that of two components that chose the same
-        least = stage(ends.groupBy("e.c").agg(F.min(F.struct("e.edge", "e.to")).alias("m")).select("c", F.col("m.to").alias("p"), F.col("m.edge").alias("edge")))
-        chosen.append(least.select("edge.a", "edge.b").distinct())
-        other = least.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
-        parents = least.join(other, F.col("p") == F.col("_c"), "left").select("c", F.when((F.col("_p") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"))
-        while True:
-            up = parents.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
-            jumped = stage(parents.join(up, F.col("p") == F.col("_c"), "left").select("c", F.coalesce("_p", "p").alias("p"), (F.col("_p") != F.col("p")).alias("moved")))
-            parents = jumped.select("c", "p")
-            if jumped.where("moved").isEmpty():
-                break
-        to = lambda name: parents.select(F.col("c").alias(f"_{name}"), F.col("p").alias(f"_{name}p"))
-        joined = left.join(to("ca"), F.col("ca") == F.col("_ca")).join(to("cb"), F.col("cb") == F.col("_cb")).where("_cap <> _cbp")
-        left = stage(joined.groupBy(F.least("_cap", "_cbp").alias("ca"), F.greatest("_cap", "_cbp").alias("cb")).agg(F.min("edge").alias("edge")))
-        roots = stage(roots.join(to("r"), F.col("root") == F.col("_r"), "left").select("node", F.coalesce("_rp", "root").alias("root")))
-    forest = chosen[0] if chosen else edges.select("a", "b").limit(0)
-    for c in chosen[1:]:
-        forest = forest.unionByName(c)
-    return Forest(roots, stage(forest), rounds)
-
-
 def families(forest: Forest) -> DataFrame:
     """``root_id, image_id`` of every image of a family but its least, which is the root."""
     own = forest.roots.where("node >= 0")
