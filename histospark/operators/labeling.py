@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from histospark.operators.forest import spanning_forest
 from histospark.operators.stencil import along_col, along_row
-from histospark.runtime import stage
+from histospark.runtime import stage, stage_observed
 
 #: Columns of a strip; runs of neighbouring rows are compared within a strip only.
 STRIP = 64
@@ -122,8 +122,8 @@ def grow(labels: DataFrame, steps: int | None, allowed: DataFrame | None = None)
         new = new.join(taken, at, "left_anti")
         if allowed is not None:
             new = new.join(allowed, at, "left_semi")
-        new = stage(new)
-        if new.isEmpty():
+        new, seen = stage_observed(new, n=F.count("*"))
+        if not seen["n"]:
             break
         layers.append(new)
         before, front = front, new

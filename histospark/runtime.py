@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,13 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``stage`` with aggregates of the rows, taken while they are written: no job of its own."""
+    seen = Observation()
+    out = stage(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]))
+    return out, seen.get
+
+
 _paths: list[tuple[SparkSession, str]] = []
 
 
