@@ -196,7 +196,8 @@ def mixture(tokens: DataFrame, sources: list[Source]) -> DataFrame:
     names = F.array(*[F.lit(s.name) for s in sources]) if sources else F.array(F.lit(""))
     chosen = slots(tokens.sparkSession, sources)
     held = blocks(tokens, sources)
-    return chosen.join(held, ["source_no", "block_index"]).select("shard", "position", F.get(names, F.col("source_no")).alias("source"), "repeat", "block_index", "n_tokens", "spans")
+    # the planner takes the slots for as few rows as there are shards and would broadcast them
+    return chosen.hint("merge").join(held, ["source_no", "block_index"]).select("shard", "position", F.get(names, F.col("source_no")).alias("source"), "repeat", "block_index", "n_tokens", "spans")
 
 
 def report(mixed: DataFrame, sources: list[Source], total: int) -> DataFrame:
