@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from histospark.llm.splits import task_images
 from histospark.runtime import finite, stage
 
-REPEATS = 16
+REPEATS = 32
 WIDTH = 1 << 15
 #: Side of a bucket in units of the coordinates, which are scaled to about 1 where records are near.
 SIDE = 1.0
