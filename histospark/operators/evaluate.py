@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histospark.runtime import over
+
 METRICS = ("dice", "jaccard", "aji", "panoptic_quality", "ap50", "ap75", "f1_detection")
 _AT = ["image_id", "row", "col"]
 
@@ -55,19 +57,19 @@ def evaluate(predicted: DataFrame, truth: DataFrame, images: DataFrame, metrics:
         return F.when((p == 0) & (g == 0), 1.0).when((p == 0) | (g == 0), 0.0).otherwise(value)
 
     def f1(tp: Column) -> Column:
-        precision, recall = tp / p, tp / g
-        return F.when(tp > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+        precision, recall = over(tp, p.cast("double")), over(tp, g.cast("double"))
+        return F.when(tp > 0, over(2 * precision * recall, precision + recall)).otherwise(0.0)
 
     def value(m: str) -> Column:
         if m == "dice":
-            return F.when(p_px + g_px > 0, 2 * both / (p_px + g_px)).otherwise(1.0)
+            return F.when(p_px + g_px > 0, over(2 * both, (p_px + g_px).cast("double"))).otherwise(1.0)
         if m == "jaccard":
-            return F.when(p_px + g_px > 0, both / (p_px + g_px - both)).otherwise(1.0)
+            return F.when(p_px + g_px > 0, over(both, (p_px + g_px - both).cast("double"))).otherwise(1.0)
         if m == "aji":
-            return instances(F.col("aji_i") / (F.col("aji_u") + (g_px - F.col("met_px")) + (p_px - F.col("used_px"))))
+            return instances(over(F.col("aji_i"), (F.col("aji_u") + (g_px - F.col("met_px")) + (p_px - F.col("used_px"))).cast("double")))
         if m == "panoptic_quality":
             tp = F.col("pq_tp")
-            return instances(F.when(tp > 0, F.col("pq_iou") / tp * (tp / (tp + 0.5 * (p - tp) + 0.5 * (g - tp)))).otherwise(0.0))
+            return instances(F.when(tp > 0, over(F.col("pq_iou"), tp + 0.5 * (p - tp) + 0.5 * (g - tp))).otherwise(0.0))
         return instances(f1(F.col("tp75" if m == "ap75" else "tp50")))
 
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), value(m).alias("value")) for m in METRICS if m in metrics])

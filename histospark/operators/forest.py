@@ -29,7 +29,7 @@ class Forest:
 
 
 def spanning_forest(edges: DataFrame) -> Forest:
-    """Forest of the graph of ``edges`` (``a, b`` bigint, no loops). Nodes without edges aren't in it."""
+    """Forest of the graph of ``edges`` (``a, b`` of any ordered type, no loops). Nodes without edges aren't in it."""
     edge = F.struct(F.xxhash64("a", "b").alias("w"), "a", "b")
     left, seen = stage_observed(edges.select(F.col("a").alias("ca"), F.col("b").alias("cb"), edge.alias("edge")), n=F.count("*"))
     nodes = left.select(F.explode(F.array("ca", "cb")).alias("node")).distinct().withColumn("root", F.col("node"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from histospark.operators.resample import resample
 from histospark.operators.stencil import keys, mean3
+from histospark.runtime import over
 
 BINS = 256
 #: The Ruifrok and Johnston stain vectors, a row each.
@@ -43,14 +44,14 @@ def contrast_stretch(df: DataFrame) -> DataFrame:
 def _stretched(df: DataFrame, by: list[str]) -> DataFrame:
     df = _stats(df, by, _lo=F.min("value"), _hi=F.max("value"))
     flat = F.col("_hi") == F.col("_lo")
-    return df.withColumn("value", F.when(flat, F.col("value")).otherwise((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).drop("_lo", "_hi")
+    return df.withColumn("value", F.when(flat, F.col("value")).otherwise(over(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")))).drop("_lo", "_hi")
 
 
 def reinhard(df: DataFrame) -> DataFrame:
     """Each channel brought to mean 0.5 and deviation 0.15 and clamped; images of one channel stay."""
     df = _stats(df, keys(df), _mean=F.avg("value"), _sd=F.stddev_samp("value"))
     df = _stats(df, ["image_id"], _channels=F.max("channel"))
-    scaled = F.when(F.col("_sd") > 0, (F.col("value") - F.col("_mean")) / F.col("_sd") * 0.15 + 0.5).otherwise(F.col("value"))
+    scaled = F.when(F.col("_sd") > 0, over(F.col("value") - F.col("_mean"), F.col("_sd")) * 0.15 + 0.5).otherwise(F.col("value"))
     return df.withColumn("value", F.when(F.col("_channels") > 1, clamp(scaled)).otherwise(F.col("value"))).drop("_mean", "_sd", "_channels")
 
 
@@ -65,14 +66,14 @@ def equalize(df: DataFrame, bins: int = BINS) -> DataFrame:
     """Histogram equalization of each whole channel: no tiles and no clip limit."""
     by = keys(df)
     df = _stats(df, by, _lo=F.min("value"), _hi=F.max("value"))
-    scaled = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    scaled = over(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     df = df.withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(scaled * bins) + 1, F.lit(bins))))
     counts = df.where("_bin is not null").groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
     up = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
     # the first of the bins may be empty only if it holds no minimum, which it does: the least sum is the first bin's
     cdf = counts.withColumn("_cum", up)
     ends = Window.partitionBy(*by)
-    cdf = cdf.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("_bin").alias("_b"), ((F.col("_cum") - F.min("_cum").over(ends)) / (F.max("_cum").over(ends) - F.min("_cum").over(ends))).alias("_cdf"))
+    cdf = cdf.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("_bin").alias("_b"), over(F.col("_cum") - F.min("_cum").over(ends), (F.max("_cum").over(ends) - F.min("_cum").over(ends)).cast("double")).alias("_cdf"))
     on = [F.col(k) == F.col(f"_{k}") for k in by] + [F.col("_bin") == F.col("_b")]
     return df.join(cdf, on, "left").withColumn("value", F.coalesce("_cdf", "value")).drop("_lo", "_hi", "_bin", "_b", "_cdf", *[f"_{k}" for k in by])
 
@@ -87,7 +88,7 @@ def histogram(df: DataFrame, bins: int = BINS) -> DataFrame:
     df = df.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
     df = _stats(df, by, _lo=F.min("value"), _hi=F.max("value"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    place = F.when(width > 0, F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((value - F.col("_lo")) / width - 1e-7)))).otherwise(1)
+    place = F.when(width > 0, F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil(over(value - F.col("_lo"), width) - 1e-7)))).otherwise(1)
     counts = df.groupBy(*by, place.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.first("_lo").alias("_lo"), F.first(width).alias("_w"))
     return counts.select(*by, "bin", "n", (F.col("_lo") + (F.col("bin") - 0.5) * F.col("_w")).alias("mid"), "_lo", "_w")
 
@@ -102,7 +103,7 @@ def otsu(df: DataFrame) -> DataFrame:
     all_ = Window.partitionBy(*by)
     h = h.withColumns({"_wb": F.sum("n").over(up), "_sb": F.sum(F.col("n") * F.col("mid")).over(up), "_t": F.sum("n").over(all_), "_s": F.sum(F.col("n") * F.col("mid")).over(all_)})
     wf = F.col("_t") - F.col("_wb")
-    between = F.when(wf > 0, F.col("_wb") * wf * F.pow(F.col("_sb") / F.col("_wb") - (F.col("_s") - F.col("_sb")) / wf, 2))
+    between = F.when(wf > 0, F.col("_wb") * wf * F.pow(F.col("_sb") / F.col("_wb") - over(F.col("_s") - F.col("_sb"), wf.cast("double")), 2))
     # ties of the variance are equal up to rounding
     best = F.struct(F.round(between, 9).alias("v"), (-F.col("bin")).alias("b"), F.col("mid"))
     return h.groupBy(*by).agg(F.max(F.when(between.isNotNull(), best)).alias("best"), F.min("mid").alias("first")).select(*by, F.coalesce("best.mid", "first").alias("threshold"))
@@ -120,7 +121,7 @@ def triangle(df: DataFrame) -> DataFrame:
     ends = h.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("bin").alias("_b"), F.col("n").alias("y2"))
     full = full.withColumn("end", end).join(ends, [F.col(k) == F.col(f"_{k}") for k in by] + [F.col("end") == F.col("_b")], "left").fillna(0, ["y2"])
     x1, x2, y1, y2 = mid(F.col("peak")), mid(F.col("end")), F.col("y1"), F.col("y2")
-    distance = F.abs((y2 - y1) * mid(F.col("bin")) - (x2 - x1) * F.col("n") + x2 * y1 - y2 * x1) / F.sqrt(F.pow(x2 - x1, 2) + F.pow(y2 - y1, 2))
+    distance = over(F.abs((y2 - y1) * mid(F.col("bin")) - (x2 - x1) * F.col("n") + x2 * y1 - y2 * x1), F.sqrt(F.pow(x2 - x1, 2) + F.pow(y2 - y1, 2)))
     between = F.col("bin").between(F.least("peak", "end"), F.greatest("peak", "end"))
     best = F.struct(F.round(distance, 9).alias("d"), (-F.col("bin")).alias("b"), mid(F.col("bin")).alias("mid"))
     return full.where(between).groupBy(*by).agg(F.max(best).alias("best"), F.first("_lo").alias("_lo"), F.first("_w").alias("_w")).select(*by, F.when(F.col("_w") > 0, F.col("best.mid")).otherwise(F.col("_lo")).alias("threshold"))

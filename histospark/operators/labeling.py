@@ -11,9 +11,6 @@ from histospark.runtime import stage, stage_observed
 
 #: Columns of a strip; runs of neighbouring rows are compared within a strip only.
 STRIP = 64
-#: Node number of the first pixel of a run: image number, then place in the scan. Images of up
-#: to 2**32 pixels and numbers up to 2**30 have room.
-_IMAGE = 1 << 32
 
 
 def pixel_order() -> Column:
@@ -22,10 +19,12 @@ def pixel_order() -> Column:
 
 
 def runs(on: DataFrame) -> DataFrame:
-    """Maximal runs of neighbouring pixels of a row, ``c0`` to ``c1``, with their ``node``; ``on`` is sparse."""
+    """Maximal runs of neighbouring pixels of a row, ``c0`` to ``c1``; ``on`` is sparse.
+
+    A run's ``node`` is its image and the place of its first pixel in the scan."""
     island = F.col("col") - F.row_number().over(Window.partitionBy("image_id", "row").orderBy("col"))
     r = on.select("image_id", "n_rows", "n_cols", "row", "col", island.alias("_i")).groupBy("image_id", "n_rows", "n_cols", "row", "_i").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-    node = F.col("image_id") * F.lit(_IMAGE) + (F.col("row") - 1).cast("bigint") * F.col("n_cols") + F.col("c0") - 1
+    node = F.struct("image_id", ((F.col("row") - 1).cast("bigint") * F.col("n_cols") + F.col("c0") - 1).alias("at"))
     return r.drop("_i").withColumn("node", node)
 
 

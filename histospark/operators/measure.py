@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histospark.operators.stencil import border
+from histospark.runtime import over
 
 GROUPS = ("intensity", "morphology", "texture", "location")
 CELL = ["image_id", "label"]
@@ -20,12 +21,11 @@ def eccentricity() -> Column:
     """From exact integer moments (``n, sr, sc, srr, scc, src``): no noise for symmetric cells.
 
     NULL where a cell has no extent in some direction."""
-    n, scale = F.col("n"), F.col("n") * (F.col("n") - 1)
-    a = (n * F.col("srr") - F.col("sr") * F.col("sr")) / scale
-    d = (n * F.col("scc") - F.col("sc") * F.col("sc")) / scale
-    b = (n * F.col("src") - F.col("sr") * F.col("sc")) / scale
+    n, sr, sc, srr, scc, src = (F.col(c).cast("double") for c in ("n", "sr", "sc", "srr", "scc", "src"))
+    scale = n * (n - 1)
+    a, d, b = over(n * srr - sr * sr, scale), over(n * scc - sc * sc, scale), over(n * src - sr * sc, scale)
     m, q = (a + d) / 2, F.sqrt(F.pow((a - d) / 2, 2) + b * b)
-    return F.when((n > 1) & (m - q > 1e-9), F.sqrt(1 - (m - q) / (m + q)))
+    return F.when((n > 1) & (m - q > 1e-9), F.sqrt(1 - over(m - q, m + q)))
 
 
 def moments(labels: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def moments(labels: DataFrame) -> DataFrame:
         F.sum(F.col("is_border").cast("int")).alias("perimeter"),
         *[f(c).alias(f"bbox_{c}_{k}") for c in ("row", "col") for k, f in (("min", F.min), ("max", F.max))],
     )
-    circularity = F.when(F.col("perimeter") > 0, 4 * math.pi * F.col("n") / (F.col("perimeter") * F.col("perimeter")))
+    circularity = over(4 * math.pi * F.col("n"), (F.col("perimeter") * F.col("perimeter")).cast("double"))
     return sums.select(
         *CELL, F.col("n").alias("area"), F.col("perimeter").cast("double").alias("perimeter"), circularity.alias("circularity"), eccentricity().alias("eccentricity"), (F.col("sr") / F.col("n")).alias("centroid_row"), (F.col("sc") / F.col("n")).alias("centroid_col"), *[f"bbox_{c}_{k}" for c in ("row", "col") for k in ("min", "max")]
     )
@@ -112,7 +112,7 @@ def morphology(labels: DataFrame) -> DataFrame:
     """``moments`` with ``solidity``: area by area of the hull of pixel centres, which may exceed 1."""
     h = hulls(labels).select(F.col("image_id").alias("_i"), F.col("label").alias("_l"), "hull_area")
     df = moments(labels).join(h, (F.col("image_id") == F.col("_i")) & (F.col("label") == F.col("_l")))
-    return df.withColumn("solidity", F.when(F.col("hull_area") > 0, F.col("area") / F.col("hull_area"))).drop("_i", "_l", "hull_area")
+    return df.withColumn("solidity", over(F.col("area"), F.col("hull_area"))).drop("_i", "_l", "hull_area")
 
 
 def polygons(labels: DataFrame, simplify: bool = False, tolerance: float = 1.0) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from histospark.functions import unittext as U
 from histospark.functions.calibrated import train
-from histospark.runtime import finite, stage
+from histospark.runtime import finite, over, stage
 
 #: µm per pixel that a light microscope can have.
 PLAUSIBLE = (0.09, 1.2)
@@ -191,9 +191,9 @@ def run_units(features: DataFrame, masks: DataFrame, images: DataFrame, classify
                     "_s": _source(F.col("site")),
                     "_t": _source(F.col("tool")),
                     "_h": _log(top),
-                    "_k": _log(top / height),
+                    "_k": _log(over(top, height)),
                     "_f": F.coalesce(F.col("fine_rows"), F.lit(-1.0)),
-                    "_l": F.coalesce((F.log10(top / height) - F.log10("y_um")), F.lit(_UNKNOWN)),
+                    "_l": F.coalesce((F.log10(over(top, height)) - F.log10("y_um")), F.lit(_UNKNOWN)),
                 }
             )
         )

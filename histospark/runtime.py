@@ -6,7 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -69,5 +68,6 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
-def any_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds)
+def over(a: Column, b: Column | float) -> Column:
+    """``a / b``, NULL where ``b`` is 0: guards of ``when`` don't hold for expressions that are computed once."""
+    return a / F.nullif(b if isinstance(b, Column) else F.lit(b), F.lit(0).cast("double"))
