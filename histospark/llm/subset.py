@@ -93,7 +93,7 @@ def densities(records: DataFrame) -> DataFrame:
         at = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["bucket", "n"])
 
-    table = records.select("place", "x0", "x1", "x2").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most REPEATS * WIDTH rows
+    table = records.select("place", "x0", "x1", "x2").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most REPEATS * WIDTH rows
     counts = np.zeros(REPEATS * WIDTH, np.int64)
     counts[table["bucket"].to_numpy()] = table["n"].to_numpy()
     counts = counts.reshape(REPEATS, WIDTH)
