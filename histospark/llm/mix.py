@@ -210,4 +210,4 @@ def report(mixed: DataFrame, sources: list[Source], total: int) -> DataFrame:
         [(s.name, s.share, s.repeats, s.documents, s.tokens, s.quota / total if total else 0.0) for s in sources], "source string, target_share double, max_repeats int, documents bigint, tokens bigint, planned_share double"
     )
     rows = asked.join(used, "source", "left").fillna(0, ["tokens_used", "most_repeats"])
-    return rows.withColumns({"actual_share": F.coalesce(F.col("tokens_used") / F.sum("tokens_used").over(Window.partitionBy()), F.lit(0.0)), "corpus_tokens": F.lit(total).cast("bigint"), "mean_repeats": F.coalesce(F.try_divide("tokens_used", "tokens"), F.lit(0.0))})
+    return rows.withColumns({"actual_share": F.coalesce(F.try_divide("tokens_used", F.sum("tokens_used").over(Window.partitionBy())), F.lit(0.0)), "corpus_tokens": F.lit(total).cast("bigint"), "mean_repeats": F.coalesce(F.try_divide("tokens_used", "tokens"), F.lit(0.0))})

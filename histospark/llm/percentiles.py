@@ -169,7 +169,7 @@ def combine(parts: DataFrame, keys: list[str]) -> DataFrame:
     # a kept point stands for weight values, half of them below it
     error = F.when(F.col("n") > F.size("summary"), weight).otherwise(0.0)
     points = parts.select(*keys, F.explode("summary").alias("v"), weight.alias("w"))
-    totals = parts.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum(error) / F.sum("n")).alias("rank_error"))
+    totals = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.try_divide(F.sum(error), F.sum("n")).alias("rank_error"))
     points = points.groupBy(*keys, "v").agg(F.sum("w").alias("w"))
     up = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     points = points.withColumn("upto", F.sum("w").over(up))

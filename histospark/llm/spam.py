@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histospark.llm.bpe import chunks
-from histospark.runtime import stage
+from histospark.runtime import over, stage
 
 #: Characters of a block.
 BLOCK = 600
@@ -231,7 +231,7 @@ def _counted(labelled: DataFrame) -> tuple[pd.DataFrame, int, int]:
     least = max(2.0, MIN_SHARE * (totals.a + totals.b))
     words = labelled.select("tokens", "label").where("label >= 0").mapInArrow(run, "word int, lists bigint, speech bigint")
     counts = words.groupBy("word").agg(F.sum("lists").alias("lists"), F.sum("speech").alias("speech")).where(F.col("lists") + F.col("speech") >= least)
-    return counts.toPandas(), totals.a, totals.b
+    return counts.toArrow().to_pandas(), totals.a, totals.b
 
 
 def _shares(measured: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -256,7 +256,7 @@ def judge(documents: DataFrame) -> DataFrame:
     overall = measured.agg(F.percentile_approx("redundancy", 0.5, 1000)).first()[0] or 1.0
     # one row for each of ten scripts
     usual = usual.select("language", F.when(F.col("_n") >= 30, F.col("usual")).otherwise(overall).alias("usual"))
-    rows = measured.join(F.broadcast(usual), "language").select("doc_id", (F.col("redundancy") / F.col("usual")).alias("redundancy"), "ends", "n_words", "tokens")
+    rows = measured.join(F.broadcast(usual), "language").select("doc_id", over(F.col("redundancy"), F.col("usual")).alias("redundancy"), "ends", "n_words", "tokens")
     flagged = F.col("redundancy") < REDUNDANT
     seed = F.when(flagged & (F.col("ends") <= FEW_ENDS) & (F.col("n_words") >= 2 * MIN_WORDS), 1).when(~flagged & (F.col("ends") >= MANY_ENDS), 0).otherwise(-1)
     first = Lexicon(*_counted(rows.withColumn("label", seed)))
