@@ -208,7 +208,8 @@ def run_units(features: DataFrame, masks: DataFrame, images: DataFrame, classify
     def settled(kind: str) -> tuple[Column, Column]:
         fits, predicted, stated = F.col(f"_{kind}_fits"), F.col(f"_{kind}_predicted"), F.col(f"{kind}_stated")
         agrees = F.coalesce(F.array_contains(fits, predicted), F.lit(False))
-        unit = F.coalesce(stated, F.when(agrees, predicted), F.get(fits, F.lit(0)), predicted, F.lit("px"))
+        # without a statement or evidence pixels are the common case
+        unit = F.coalesce(stated, F.when(agrees, predicted), F.get(fits, F.lit(0)), F.when(F.col(f"_{kind}_probability") >= CONFIDENT, predicted), F.lit("px"))
         sure = stated.isNotNull() | (agrees & (F.col(f"_{kind}_probability") >= CONFIDENT)) | (F.size(fits) == 1)
         return unit, F.when(sure, "converted").otherwise("review")
 
@@ -239,7 +240,7 @@ def convert_features(features: DataFrame, runs: DataFrame) -> DataFrame:
     df = with_units(features, runs)
     whole = F.col("area") * F.col("unit_area_factor")
     # an area counts pixels, so a converted one within its rounding of a whole number is that number
-    area = F.when(F.abs(whole - F.round(whole)) < 0.02 + 1e-3 * whole, F.round(whole)).otherwise(whole)
+    area = F.when(F.col("area") == 0, 0.0).when(F.abs(whole - F.round(whole)) < 0.02 + 1e-3 * whole, F.round(whole)).otherwise(whole)
     return df.withColumns({"area_px": finite(area), "centroid_row_px": finite(F.col("centroid_row") * F.col("unit_row_factor"))})
 
 
