@@ -64,7 +64,10 @@ def _dense(spark: SparkSession, d: str, on: Column) -> DataFrame:
     return scene.grid(_images(spark, d)).join(labels, AT, "left").fillna(0, ["label"]).withColumn("on", on.cast("int")).drop("label")
 
 
-_HOLED = (F.col("label") > 0) & ((F.col("row") * 7 + F.col("col") * 13 + F.col("image_id")) % 11 != 0)
+def _holed() -> Column:
+    return (F.col("label") > 0) & ((F.col("row") * 7 + F.col("col") * 13 + F.col("image_id")) % 11 != 0)
+
+
 _HOLED_SQL = "holed AS (SELECT image_id, r, c, CAST(label > 0 AND (r * 7 + c * 13 + image_id) % 11 <> 0 AS INTEGER) AS v FROM px WHERE ch = 1)"
 
 
@@ -163,12 +166,12 @@ SELECT image_id, r AS "row", c AS "col", CAST(CASE WHEN r > {half} AND r <= 64 -
 
 @query(_morphology_sql(1, "min"))
 def erode(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.erode(_dense(spark, d, _HOLED), 3).select(*AT, "on")
+    return stencil.erode(_dense(spark, d, _holed()), 3).select(*AT, "on")
 
 
 @query(_morphology_sql(2, "max"))
 def dilate(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.dilate(_dense(spark, d, _HOLED), 5).select(*AT, "on")
+    return stencil.dilate(_dense(spark, d, _holed()), 5).select(*AT, "on")
 
 
 _SOLID_SQL = "solid AS (SELECT image_id, r, c, CAST(label > 0 AS INTEGER) AS v FROM px WHERE ch = 1)"
@@ -307,7 +310,7 @@ outside AS (SELECT image_id, r, c FROM off WHERE r IN (1, 64) OR c IN (1, 64)
   UNION SELECT o.image_id, o.r, o.c FROM (SELECT image_id, r + dr AS r, c + dc AS c FROM outside, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS t(dr, dc)) s JOIN off o USING (image_id, r, c))
 SELECT image_id, r AS "row", c AS "col" FROM holed ANTI JOIN outside USING (image_id, r, c)""")
 def fill_holes(spark: SparkSession, d: str) -> DataFrame:
-    return labeling.fill_holes(stage(_dense(spark, d, _HOLED))).select(*AT)
+    return labeling.fill_holes(stage(_dense(spark, d, _holed()))).select(*AT)
 
 
 @query(f"""WITH {S.SCENE}, {_SOLID_SQL},
