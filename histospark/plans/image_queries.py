@@ -39,15 +39,16 @@ def _customer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    return scene.scene_labels(_customer(spark, d))
+    return stage(scene.scene_labels(_customer(spark, d)))
 
 
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
-    return scene.predicted_labels(_customer(spark, d))
+    return stage(scene.predicted_labels(_customer(spark, d)))
 
 
 def _pixels(spark: SparkSession, d: str, channels: int = 1) -> DataFrame:
-    return scene.scene_pixels(_customer(spark, d), channels)
+    # written once, as images would be, for operators read their input more than once
+    return stage(scene.scene_pixels(_customer(spark, d), channels))
 
 
 def _images(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +62,7 @@ def _raster(spark: SparkSession, d: str) -> DataFrame:
 def _dense(spark: SparkSession, d: str, on: Column) -> DataFrame:
     """Every pixel of the scene with ``on`` as 0 or 1."""
     labels = _labels(spark, d).select(*AT, "label")
-    return scene.grid(_images(spark, d)).join(labels, AT, "left").fillna(0, ["label"]).withColumn("on", on.cast("int")).drop("label")
+    return stage(scene.grid(_images(spark, d)).join(labels, AT, "left").fillna(0, ["label"]).withColumn("on", on.cast("int")).drop("label"))
 
 
 def _holed() -> Column:
@@ -310,7 +311,7 @@ outside AS (SELECT image_id, r, c FROM off WHERE r IN (1, 64) OR c IN (1, 64)
   UNION SELECT o.image_id, o.r, o.c FROM (SELECT image_id, r + dr AS r, c + dc AS c FROM outside, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS t(dr, dc)) s JOIN off o USING (image_id, r, c))
 SELECT image_id, r AS "row", c AS "col" FROM holed ANTI JOIN outside USING (image_id, r, c)""")
 def fill_holes(spark: SparkSession, d: str) -> DataFrame:
-    return labeling.fill_holes(stage(_dense(spark, d, _holed()))).select(*AT)
+    return labeling.fill_holes(_dense(spark, d, _holed())).select(*AT)
 
 
 @query(f"""WITH {S.SCENE}, {_SOLID_SQL},
@@ -338,7 +339,7 @@ def grow_3(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def seeds(spark: SparkSession, d: str) -> DataFrame:
-    return labeling.seeds(stage(_dense(spark, d, F.col("label") > 0)), 0.9).select(*AT, "label")
+    return labeling.seeds(_dense(spark, d, F.col("label") > 0), 0.9).select(*AT, "label")
 
 
 @query()
@@ -383,14 +384,15 @@ def _intensity_sql() -> str:
     for k, name in ((1, "DAPI"), (3, "CD8")):
         x = f"CASE WHEN ch = {k} THEN v / 1000.0 END"
         for out, f in (("mean", f"avg({x})"), ("sd", f"stddev_samp({x})"), ("median", f"quantile_cont({x}, 0.5)"), ("min", f"min({x})"), ("max", f"max({x})"), ("q25", f"quantile_cont({x}, 0.25)"), ("q75", f"quantile_cont({x}, 0.75)")):
-            stats.append(f'round({f}, 6) AS "{name}_{out}"')
+            stats.append(f'round({f}, {10 if out == "mean" else 6}) AS "{name}_{out}"')
     return f"WITH {S.SCENE} SELECT image_id, label AS cell_id, {', '.join(stats)} FROM px WHERE label > 0 GROUP BY ALL"
 
 
 @query(_intensity_sql())
 def cell_intensity(spark: SparkSession, d: str) -> DataFrame:
     f = measure.extract_features(_pixels(spark, d, 4), _labels(spark, d), ["DAPI", "CD3", "CD8", "PanCK"], ("intensity",), ["DAPI", 3])
-    return f.select("image_id", "cell_id", *[r6(c).alias(c) for c in f.columns[2:]])
+    # means of up to 154 thousandths are ties at six places, but not at ten
+    return f.select("image_id", "cell_id", *[F.round(c, 10 if c.endswith("_mean") else 6).alias(c) for c in f.columns[2:]])
 
 
 @query(f"""WITH {S.SCENE}, q AS (SELECT image_id, label, v // 10 / 100.0 AS x FROM px WHERE ch = 1 AND label > 0),
@@ -497,7 +499,7 @@ v AS (SELECT image_id, 2 * both_ / (ppx + gpx) AS dice, both_ / (ppx + gpx - bot
   FROM imgs JOIN p USING (image_id) JOIN g USING (image_id) JOIN both_ USING (image_id) JOIN aji USING (image_id) LEFT JOIN lost USING (image_id) LEFT JOIN idle USING (image_id) LEFT JOIN pq USING (image_id) JOIN ap USING (image_id))
 SELECT image_id, metric, round(value, 6) AS value FROM (UNPIVOT v ON dice, jaccard, aji, panoptic_quality, ap50, ap75, f1_detection INTO NAME metric VALUE value)""")
 def evaluation(spark: SparkSession, d: str) -> DataFrame:
-    e = evaluate.evaluate(stage(_predicted(spark, d)), stage(_labels(spark, d)), _images(spark, d))
+    e = evaluate.evaluate(_predicted(spark, d), _labels(spark, d), _images(spark, d))
     return e.select("image_id", "metric", r6("value").alias("value"))
 
 
@@ -568,9 +570,9 @@ def plot_coloured(spark: SparkSession, d: str) -> DataFrame:
     return plotdata.coloured(_labels(spark, d), cell_area(spark, d), "area")
 
 
-@query(f"""WITH {S.SCENE} SELECT image_id, r AS "row", c AS "col", CAST(ch AS INTEGER) AS channel, round(v / 1000.0, 6) AS value, CAST(nullif(label, 0) AS INTEGER) AS label FROM px WHERE ch = 1""")
+@query(f"""WITH {S.SCENE} SELECT image_id, r AS "row", c AS "col", CAST(ch AS INTEGER) AS channel, round(v / 1000.0, 6) AS value, CAST(nullif(label, 0) AS DOUBLE) AS label FROM px WHERE ch = 1""")
 def plot_overlay(spark: SparkSession, d: str) -> DataFrame:
-    return plotdata.overlay(_pixels(spark, d), _labels(spark, d)).select(*AT, "channel", r6("value").alias("value"), "label")
+    return plotdata.overlay(_pixels(spark, d), _labels(spark, d)).select(*AT, "channel", r6("value").alias("value"), F.col("label").cast("double").alias("label"))
 
 
 @query(f"""WITH {S.BOTH} SELECT image_id, r AS "row", c AS "col", label, 'predicted' AS panel FROM pred_px UNION ALL SELECT image_id, r, c, label, 'truth' FROM cell_px""")
