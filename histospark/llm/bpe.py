@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -264,7 +264,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0))
+        sizes = np.array(pc.fill_null(pc.binary_length(batch.column(text)), 0))
         piece = np.cumsum(sizes) // CHUNK
         for start, n in _ranges(piece):
             yield batch.slice(start, n)

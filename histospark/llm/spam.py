@@ -3,7 +3,8 @@
 Each text is stripped of cue numbers, times and mark-up and measured in blocks of a
 fixed number of characters: the compressed size of a block over its length, with code
 points as single symbols so that scripts compare. A document's mean over its blocks is
-normalized by the median of all documents of its language. Extreme redundancy flags a
+normalized by the median of all documents in its script, for the recorded language is
+often wrong and languages of one script compress alike. Extreme redundancy flags a
 document; a low density of sentence punctuation confirms it. Confirmed documents on one
 side and varied, punctuated ones on the other give, over the whole corpus, the words
 that speak for keyword lists and for speech; with these an exact check follows: a case
@@ -141,8 +142,8 @@ class Tokens:
         return out
 
 
-def _language(lang: str | None, body: str) -> str:
-    """Script of most of the text's letters, and the language's first letters where it is Latin."""
+def _script(body: str) -> str:
+    """The range of code points that most of the text's letters are of."""
     sample = np.frombuffer(body.encode("utf-32-le"), np.uint32)
     letters = sample[sample > 0x40]
     if not len(letters):
@@ -164,7 +165,7 @@ def measure(documents: DataFrame) -> DataFrame:
                     continue
                 tokens = np.array(words.of(body), np.int32)
                 lines = body.count("\n") + 1
-                rows.append((doc, _language(lang, body), int((tokens > 0).sum()), redundancy(body), len(_end.findall(body)) / lines, tokens))
+                rows.append((doc, _script(body), int((tokens > 0).sum()), redundancy(body), len(_end.findall(body)) / lines, tokens))
             doc, language, n, z, ends, tokens = zip(*rows) if rows else ((),) * 6
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.empty(0, np.int32)
