@@ -1,11 +1,12 @@
 """Choosing a varied subset: fixed-size samples with probability inverse to local density.
 
 A record's density is the mean, over REPEATS locality-sensitive hashes, of the number of
-records in its bucket. Buckets are hashed into arrays of WIDTH counts, so that all counts
-together have a fixed size (REPEATS * WIDTH) whatever the data; what other buckets add to
-a count on average is taken off. Each task counts its own records first. A second pass
-draws a weighted sample without replacement: the records with the least ``-ln(u) /
-weight``, u being a hash of record and request and the weight one over the density.
+records in its bucket. Buckets are counted exactly, by repeat and 64-bit hash: near records
+are brought into chunks of at most ``1 << CHUNK_BITS``, each chunk counts its own buckets,
+the counts are added up over all chunks and come back to the chunks that have the bucket.
+So no table of all buckets is ever in one place. A second pass draws a weighted sample
+without replacement: the records with the least ``-ln(u) / weight``, u being a hash of
+record and request and the weight one over the density.
 
 Defined results: a population of no more records than asked for is taken whole; repeated
 rows are one record; a NULL, NaN or infinite coordinate is a place of its own; equal
@@ -19,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histospark.llm.splits import task_images
 from histospark.runtime import finite, stage
 
 REPEATS = 32
-WIDTH = 1 << 15
+#: Logarithm of the most records of a chunk; a chunk has at most REPEATS times as many buckets.
+CHUNK_BITS = 16
 #: Side of a bucket in units of the coordinates, which are scaled to about 1 where records are near.
 SIDE = 1.0
 #: Requests that may be answered at once, since their table is collected.
@@ -71,48 +73,62 @@ def _buckets(place: np.ndarray, x: np.ndarray) -> Iterator[np.ndarray]:
         h = place.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mark
         for i in range(x.shape[1]):
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + cells[:, i]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        yield (h >> np.uint64(49)).astype(np.int64) % WIDTH
+        yield ((h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).astype(np.int64)
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    get = lambda c: batch.column(batch.schema.get_field_index(c))
-    return np.asarray(get("place")), np.column_stack([get(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(3)])
+def _columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return rows["place"].to_numpy(), np.column_stack([rows[f"x{i}"].to_numpy().astype(float) for i in range(3)])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Runs of rows of one chunk; a chunk that is read in parts gives several."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        ids = batch.column(batch.schema.get_field_index("chunk")).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and ids[a] != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = int(ids[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, pa.Table.from_batches(held)
 
 
 def densities(records: DataFrame) -> DataFrame:
-    """``records`` (keys, ``place, x0, x1, x2``; written before) with ``density``, 1 or more."""
+    """``records`` (keys, ``place, x0, x1, x2``) with ``density``, 1 or more."""
+    place = ["place", "x0", "x1", "x2"]
     records = records.withColumns({f"x{i}": finite(F.col(f"x{i}")) for i in range(3)})
+    # near records share buckets, so that chunks of them have few; the keys part crowds of equal records
+    records = stage(records.select(*_KEYS, *place).repartitionByRange(*place, *_KEYS).withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((REPEATS, WIDTH), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                for r, b in enumerate(_buckets(*_columns(batch))):
-                    total[r] += np.bincount(b, minlength=WIDTH)
-        at = np.flatnonzero(total.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["bucket", "n"])
-
-    table = records.select("place", "x0", "x1", "x2").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most REPEATS * WIDTH rows
-    counts = np.zeros(REPEATS * WIDTH, np.int64)
-    counts[table["bucket"].to_numpy()] = table["n"].to_numpy()
-    counts = counts.reshape(REPEATS, WIDTH)
-    shared = records.sparkSession.sparkContext.broadcast(counts)
-    schema = records.select(*_KEYS).schema
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        rest = held[0].sum() / WIDTH
-        for batch in batches:
-            n = batch.num_rows
-            density = np.zeros(n)
-            if n:
-                for r, b in enumerate(_buckets(*_columns(batch))):
-                    density += held[r][b]
-            density = np.maximum(1.0, (density / REPEATS - rest) / (1 - 1 / WIDTH))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in _KEYS], pa.array(density)], [*_KEYS, "density"])
-
-    return records.mapInArrow(look, schema.add("density", "double"))
+        for chunk, rows in _chunks(batches):
+            for r, b in enumerate(_buckets(*_columns(rows))):
+                bucket, n = np.unique(b, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk)), pa.array(np.full(len(n), r, np.int32)), pa.array(bucket), pa.array(n)], ["chunk", "repeat", "bucket", "n"])
+
+    counts = records.select("chunk", *place).mapInArrow(count, "chunk bigint, repeat int, bucket bigint, n bigint")
+    # a bucket has about one row for each chunk, however many records are in it
+    counts = counts.withColumn("n", F.sum("n").over(Window.partitionBy("repeat", "bucket")))
+
+    def look(rows: pa.Table, counted: pa.Table) -> pa.Table:
+        density = np.zeros(rows.num_rows)
+        repeat, bucket, n = (counted[c].to_numpy() for c in ("repeat", "bucket", "n"))
+        order = np.lexsort((bucket, repeat))
+        bucket, n, starts = bucket[order], n[order], np.searchsorted(repeat[order], np.arange(REPEATS + 1))
+        if rows.num_rows:
+            for r, b in enumerate(_buckets(*_columns(rows))):
+                own = slice(starts[r], starts[r + 1])
+                density += n[own][np.searchsorted(bucket[own], b)]
+        return rows.select(_KEYS).append_column("density", pa.array(density / REPEATS))
+
+    schema = records.select(*_KEYS).schema.add("density", "double")
+    return records.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(look, schema)
 
 
 def choose(dense: DataFrame, request: int, size: int, seed: int = 1) -> DataFrame:
@@ -127,7 +143,7 @@ def subsets(requests: DataFrame, populations: dict[str, DataFrame]) -> DataFrame
     asked = requests.where("request_id is not null and subset_size > 0").orderBy("request_id").limit(MAX_REQUESTS + 1).collect()
     if len(asked) > MAX_REQUESTS:
         raise ValueError(f"more than {MAX_REQUESTS} requests")
-    dense = {p: stage(densities(stage(populations[p]))) for p in sorted({r.population for r in asked if r.population in populations})}
+    dense = {p: stage(densities(populations[p])) for p in sorted({r.population for r in asked if r.population in populations})}
     out = None
     for r in asked:
         if r.population not in dense:

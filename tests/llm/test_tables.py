@@ -96,6 +96,25 @@ def test_densities_and_choice(spark):
     assert subset.densities(records.limit(0)).count() == 0
 
 
+def test_densities_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(subset, "CHUNK_BITS", 6, raising=False)
+    # equal records of a place of their own share all buckets and nothing else does
+    sizes = [1] * 3000 + [2] * 500 + [7] * 200 + [900, 4000]
+    rows = [(p, i, None, None, p, float(rng.integers(0, 9)) if n == 1 else 5.0, None if p % 3 else 2.5, 0.0) for p, n in enumerate(sizes) for i in range(n)]
+    records = spark.createDataFrame(rows, "image_id bigint, cell_id int, task_id bigint, patch_id int, place bigint, x0 double, x1 double, x2 double")
+    out = subset.densities(records).collect()
+    assert len(out) == len(rows) and all(r.density == sizes[r.image_id] for r in out)
+    # near records share a part of their buckets
+    x = rng.normal(size=(3000, 3)) * 4
+    near = spark.createDataFrame([(0, i, None, None, 0, *map(float, v)) for i, v in enumerate(x)], records.schema)
+    want = np.zeros(len(x))
+    for b in subset._buckets(np.zeros(len(x), np.int64), x):
+        _, at, n = np.unique(b, return_inverse=True, return_counts=True)
+        want += n[at] / subset.REPEATS
+    got = {r.cell_id: r.density for r in subset.densities(near).collect()}
+    assert np.allclose([got[i] for i in range(len(x))], want)
+
+
 def test_subsets(spark):
     patches = spark.createDataFrame([(1, None, k, 1 + k % 2, 64 + k % 2, 1, 64, "s") for k in range(30)] + [(2, 7, 1, 500, 563, 900, 963, "s"), (2, 7, 1, 500, 563, 900, 963, "t"), (None, None, None, None, None, None, None, "s")], "task_id bigint, image_id bigint, patch_id int, row_start int, row_end int, col_start int, col_end int, density string")
     tasks = spark.createDataFrame([(1, None, "IMG-0005"), (2, 7, None)], "task_id bigint, image_id bigint, image_ref string")
