@@ -1,8 +1,9 @@
 """Subtitle files that are keyword lists, link lists or product tags instead of speech.
 
 Each text is stripped of cue numbers, times and mark-up and measured in blocks of a
-fixed number of characters: the compressed size of a block over its length, with code
-points as single symbols so that scripts compare. A document's mean over its blocks is
+fixed number of characters, the last with what is left: the compressed size of a block
+over its length, with code points as single symbols so that scripts compare. A document's
+mean over its blocks, by their length, is
 normalized by the median of all documents in its script, for the recorded language is
 often wrong and languages of one script compress alike. Extreme redundancy flags a
 document; a low density of sentence punctuation confirms it. Confirmed documents on one
@@ -99,12 +100,14 @@ def plain_lines(text: str, lang: str | None = None) -> str:
 
 
 def redundancy(body: str) -> float:
-    """Mean over blocks of compressed size by length, code points being single symbols."""
+    """Mean over blocks, by their length, of compressed size by length, code points being single symbols.
+
+    A rest of at most half a block belongs to the last block."""
     points = np.frombuffer(body.encode("utf-32-le"), np.uint32)
     symbols = np.unique(points, return_inverse=True)[1]
     raw = symbols.astype(np.uint8 if symbols.max(initial=0) < 256 else np.uint16)
-    step = range(0, max(1, len(raw) - BLOCK // 2), BLOCK)
-    return float(np.mean([len(zlib.compress(b, 6)) / max(1, len(b) // raw.itemsize) for b in (raw[i : i + BLOCK].tobytes() for i in step)]))
+    starts = range(0, max(1, len(raw) - BLOCK // 2), BLOCK)
+    return sum(len(zlib.compress(raw[i:j].tobytes(), 6)) for i, j in zip(starts, [*starts[1:], len(raw)])) / max(1, len(raw))
 
 
 def _hash(word: str) -> int:

@@ -52,6 +52,17 @@ def test_words_of_a_page():
     assert t.of("b u y n o w") == [spam.SPACED] and t.of("x1 7\ny2") == [t.of("x9")[0], spam.NUMBER, 0, t.of("z3")[0]]
 
 
+def test_redundancy_reads_the_tail():
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    for n in (spam.BLOCK, 3 * spam.BLOCK):
+        varied = letters(n)
+        tail = letters(spam.BLOCK // 2)
+        assert spam.redundancy(varied + "ab" * (spam.BLOCK // 4)) < 0.95 * spam.redundancy(varied + tail)
+    block = letters(spam.BLOCK)
+    assert abs(spam.redundancy(block * 2) - spam.redundancy(block)) < 1e-9 and spam.redundancy("a") > 0
+
+
 def speech(rng, n):
     a, b, c = ["the captain", "my sister", "nobody here", "a stranger", "your lawyer"], ["sold the boat", "knows the way", "heard the bell", "told me all", "fears the storm"], ["before dawn", "by the pier", "for no reason", "after supper", "again"]
     return "\n".join(f"{rng.choice(a)} {rng.choice(b)} {rng.choice(c)}{rng.choice(['.', '!', '?'])}" for _ in range(n))
