@@ -8,12 +8,14 @@ normalized by the median of all documents in its script, for the recorded langua
 often wrong and languages of one script compress alike. Extreme redundancy flags a
 document; a low density of sentence punctuation confirms it. Confirmed documents on one
 side and varied, punctuated ones on the other give, over the whole corpus, the words
-that speak for keyword lists and for speech; with these an exact check follows: a case
-is a document most of whose words stand in lines whose words speak for lists. The words
-are counted a second time with the documents that the first count settles.
-
-Defined results: null, empty and blank texts and texts of fewer than ``MIN_WORDS`` known
-words are no cases; texts of any length are read whole; repeated rows are judged alike;
+that speak for keyword lists and for speech. This lexicon then decides on every document,
+flagged or not: a case is a document most of whose words stand in lines whose words speak
+for lists. Compression and punctuation choose its seeds, and decide alone only where fewer
+than ``MIN_WORDS`` words of a document are known; by themselves they find too few. The
+words are counted a second time with the documents that the first count settles.
+
+Defined results: null, empty and blank texts and texts of fewer than ``2 * MIN_WORDS`` words,
+fewer than ``MIN_WORDS`` of them known, are no cases; texts of any length are read whole; repeated rows are judged alike;
 an empty table gives no rows; columns besides ``doc_id, text, lang`` are ignored.
 """
 
@@ -262,11 +264,14 @@ def judge(documents: DataFrame) -> DataFrame:
     usual = usual.select("language", F.when(F.col("_n") >= 30, F.col("usual")).otherwise(overall).alias("usual"))
     rows = measured.join(F.broadcast(usual), "language").select("doc_id", over(F.col("redundancy"), F.col("usual")).alias("redundancy"), "ends", "n_words", "tokens")
     flagged = F.col("redundancy") < REDUNDANT
-    seed = F.when(flagged & (F.col("ends") <= FEW_ENDS) & (F.col("n_words") >= 2 * MIN_WORDS), 1).when(~flagged & (F.col("ends") >= MANY_ENDS), 0).otherwise(-1)
+    confirmed = flagged & (F.col("ends") <= FEW_ENDS) & (F.col("n_words") >= 2 * MIN_WORDS)
+    seed = F.when(confirmed, 1).when(~flagged & (F.col("ends") >= MANY_ENDS), 0).otherwise(-1)
     first = Lexicon(*_counted(rows.withColumn("label", seed)))
     settled = F.when(F.col("n_known") < MIN_WORDS, -1).when(F.col("list_share") > 0.6, 1).when(F.col("list_share") < 0.2, 0).otherwise(-1)
     second = Lexicon(*_counted(_shares(rows, first).withColumn("label", settled)))
-    return _shares(rows, second).select("doc_id", "n_words", "redundancy", "ends", "list_share", ((F.col("list_share") > 0.5) & (F.col("n_known") >= MIN_WORDS)).alias("is_list"))
+    # where the lexicon knows too few of the words, the flag and its confirmation are all there is
+    is_list = F.when(F.col("n_known") >= MIN_WORDS, F.col("list_share") > 0.5).otherwise(F.coalesce(confirmed, F.lit(False)))
+    return _shares(rows, second).select("doc_id", "n_words", "redundancy", "ends", "list_share", is_list.alias("is_list"))
 
 
 def list_pages(documents: DataFrame) -> DataFrame:

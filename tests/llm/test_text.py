@@ -86,6 +86,15 @@ def test_list_pages(spark):
     assert spam.list_pages(df.limit(0)).count() == 0
 
 
+def test_pages_of_unknown_words(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, speech(rng, 40), "en") for i in range(120)] + [(200 + i, keywords(rng, 30), "en") for i in range(12)]
+    rows += [(300, "\n".join(["zorblax quimfep drovnik"] * 30), "en"), (301, "\n".join(["Vexlorn humpetik gravdosh!"] * 30), "en"), (302, "wubblen kritsof", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    # words of a single document are never in the lexicon
+    assert {r.doc_id for r in spam.list_pages(df).collect()} == set(range(200, 212)) | {300}
+
+
 DOCS = "doc_id bigint, text string, source string, n_tokens string"
 TARGETS = "source string, target_share double, max_repeats int, blocks string"
 
