@@ -85,11 +85,11 @@ def pixel_sizes(images: DataFrame, runs: DataFrame | None = None, classify: bool
     else:
         df = df.withColumn("implied_um", F.lit(None).cast("double"))
 
-    fits = F.filter(
-        F.array(*[F.struct(F.lit(u).alias("unit"), U.to_um(F.col("value"), F.lit(u)).alias("um")) for u in LENGTH_UNITS]),
-        lambda s: s["um"].between(*PLAUSIBLE) & (F.col("implied_um").isNull() | (F.abs(s["um"] / F.col("implied_um") - 1) < 0.15)),
-    )
-    df = df.withColumn("_fits", F.transform(fits, lambda s: s["unit"]))
+    plausible = F.filter(F.array(*[F.struct(F.lit(u).alias("unit"), U.to_um(F.col("value"), F.lit(u)).alias("um")) for u in LENGTH_UNITS]), lambda s: s["um"].between(*PLAUSIBLE))
+    df = df.withColumn("_plausible", plausible)
+    implied = F.filter("_plausible", lambda s: F.abs(s["um"] / F.col("implied_um") - 1) < 0.15)
+    # the runs choose among the plausible units and can't rule out all of them
+    df = df.withColumn("_fits", F.transform(F.when(F.size(implied) > 0, implied).otherwise(F.col("_plausible")), lambda s: s["unit"])).drop("_plausible")
     if classify:
         df = df.withColumns({"_m": _log(F.col("value")), "_n": _log(F.col("value") / F.col("implied_um")), "_s": _source(F.col("site")), "_c": _source(F.col("scanner"))})
         df = stage(df)
@@ -99,7 +99,7 @@ def pixel_sizes(images: DataFrame, runs: DataFrame | None = None, classify: bool
         df = df.withColumns({"predicted": F.lit(None).cast("string"), "probability": F.lit(None).cast("double")})
     agrees = F.array_contains("_fits", F.col("predicted"))
     by_evidence = F.when(F.array_contains("_fits", F.lit("um")), F.lit("um")).otherwise(F.get("_fits", F.lit(0)))
-    unit = F.when(F.col("value").isNull(), None).otherwise(F.coalesce("stated", F.when(agrees & (F.col("probability") >= CONFIDENT) & (F.col("predicted") == by_evidence), F.col("predicted")), by_evidence, "predicted"))
+    unit = F.when(F.col("value").isNull(), None).otherwise(F.coalesce("stated", F.when(agrees & (F.col("probability") >= CONFIDENT), F.col("predicted")), by_evidence, "predicted"))
     sure = F.col("stated").isNotNull() | (F.size("_fits") == 1) | (agrees & (F.col("probability") >= CONFIDENT))
     return df.withColumn("unit", unit).select(
         "image_id",
@@ -149,14 +149,15 @@ def run_evidence(features: DataFrame, masks: DataFrame) -> DataFrame:
     )
 
 
-def run_units(features: DataFrame, masks: DataFrame, images: DataFrame, classify: bool = True) -> DataFrame:
+def run_units(features: DataFrame, masks: DataFrame, images: DataFrame, classify: bool = True, evidence: DataFrame | None = None) -> DataFrame:
     """One row per run with the units of its areas and centroid rows and the factors to pixels.
 
     Columns: ``image_id, tool, n, area_unit, area_factor, area_status, area_probability,
     row_unit, row_factor, row_status, row_probability``; a converted value is the recorded one
-    times its factor. With ``classify=False`` the evidence alone names unstated units."""
-    runs = run_evidence(features, masks)
-    if classify:
+    times its factor. With ``classify=False`` the evidence alone names unstated units.
+    ``evidence`` is the result of ``run_evidence`` where it is written already."""
+    runs = run_evidence(features, masks) if evidence is None else evidence
+    if classify and evidence is None:
         runs = stage(runs)
     sizes = pixel_sizes(images, runs if classify else None, classify=False).select(F.col("image_id").alias("_pi"), "x_um", "y_um")
     frame = images.select(F.col("image_id").alias("_fi"), "site", F.col("n_rows").cast("double").alias("_rows"))
@@ -246,11 +247,12 @@ def convert_features(features: DataFrame, runs: DataFrame) -> DataFrame:
 
 def other_units(features: DataFrame, masks: DataFrame, images: DataFrame) -> DataFrame:
     """``image_id, cell_id, field`` of each value recorded in another unit than the common one."""
-    runs = stage(run_units(features, masks, images))
+    evidence = stage(run_evidence(features, masks))
+    runs = stage(run_units(features, masks, images, evidence=evidence))
     foreign = runs.where("area_unit <> 'px' or row_unit <> 'px'")
     rows = with_units(features.select("image_id", "cell_id", "tool", "area", "centroid_row"), foreign).where("unit_area is not null")
     area, row = finite(F.col("area")), finite(F.col("centroid_row"))
     fields = F.array(F.when((F.col("unit_area") != "px") & area.isNotNull() & (area != 0), F.lit("area")), F.when((F.col("unit_row") != "px") & row.isNotNull(), F.lit("centroid_row")))
     cells = rows.select("image_id", "cell_id", F.explode(F.filter(fields, lambda x: x.isNotNull())).alias("field")).where("image_id is not null and cell_id is not null").distinct()
-    sizes = pixel_sizes(images, run_evidence(features.limit(0), masks)).where("value is not null and unit <> 'um'").select("image_id", F.lit(0).alias("cell_id"), F.lit("resolution").alias("field"))
+    sizes = pixel_sizes(images, evidence).where("value is not null and unit <> 'um'").select("image_id", F.lit(0).alias("cell_id"), F.lit("resolution").alias("field"))
     return cells.unionByName(sizes)

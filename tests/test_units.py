@@ -101,6 +101,28 @@ def test_converted(spark, tables, classify):
     assert odd[1].area_px == 0 and odd[2].area_px is None and odd[2].centroid_row_px is None
 
 
+def test_found_sizes_see_the_runs(spark, tables, monkeypatch):
+    seen, plain = [], units.pixel_sizes
+    monkeypatch.setattr(units, "pixel_sizes", lambda images, runs=None, classify=True: seen.append((runs, classify)) or plain(images, runs, classify))
+    units.other_units(*tables)
+    (runs,) = [r for r, classify in seen if classify]
+    assert runs.where("area_stated = 'um2' and ratio > 0").count() == 12
+
+
+def test_pixel_sizes_by_runs_and_forest(spark):
+    # 950 is plausible as nm (0.95) and as px/mm (1.053), 1100 as 1.1 and as 0.909
+    stated = [((1.0 * v, 1.0 * v), {"unit": u}) for k in range(60) for v, u in [(920 + k, "px/mm"), (0.3 + k / 200, "um")]]
+    pictures = images(spark, stated + [((950.0, 950.0), {}), ((0.4, 0.4), {}), ((0.5, 0.5), {})])
+    n = len(stated)
+    nothing = spark.createDataFrame([], "image_id bigint, area_stated string, ratio double")
+    out = {r.image_id: r for r in units.pixel_sizes(pictures, nothing).collect()}
+    assert (out[n].unit, out[n + 1].unit) == ("px/mm", "um") and out[n].status == "converted"
+    # areas of a run choose among the plausible units, but an implausible choice is none
+    runs = spark.createDataFrame([(0, "um2", 0.909**2), (1, "um2", 9.0)], nothing.schema)
+    two = units.pixel_sizes(images(spark, [((1100.0, 1100.0), {}), ((0.5, 0.5), {})]), runs, classify=False).collect()
+    assert {r.image_id: r.unit for r in two} == {0: "px/mm", 1: "um"}
+
+
 def test_empty(spark):
     empty = [spark.createDataFrame([], s) for s in (FEATURES, MASKS, IMAGES)]
     assert units.other_units(*empty).count() == 0
