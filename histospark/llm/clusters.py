@@ -7,7 +7,7 @@ Grid cells that hold less than a fixed share of all points are set aside as back
 so at most ``1 / DENSE_SHARE`` remain, whatever the number of points. Over these, across
 the cluster, each node whose dispersion exceeds the limit is split in two by k-means, the
 largest dispersions and all others above the limit in the same round, until every leaf is
-compact. Leaves that no gap separates, i.e. that meet in grid cells nearly as full as
+compact; what a gap sets apart within a leaf becomes a leaf too. Leaves that no gap separates, i.e. that meet in grid cells nearly as full as
 theirs, make a group.
 Every cell then belongs to the group nearest by its covariance, or to none if it lies far
 from all.
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,11 @@ DENSE_SHARE = 2e-5
 #: Largest standard deviation along any direction of a compact leaf, in units of the columns'.
 COMPACT = 0.3
 MAX_LEAVES = 1024
-#: Share of all points below which adjoining leaves are a clump of artefacts and no group.
-LEAST_GROUP = 0.002
+#: Share of all points below which a leaf joins no two others: it goes to the neighbour it borders on most.
+SMALL_LEAF = 0.002
+#: Points of the fullest grid cell, as a multiple of the background's bound, below which joined leaves that are
+#: a small share of all points are scattered artefacts and no group.
+CROWDED = 2.0
 #: Squared distance from a group's centre, in units of its covariance, beyond which a cell isn't of it.
 FAR = 45.0
 #: Two leaves adjoin where two neighbouring grid cells of theirs both hold this share of the lower of their peaks.
@@ -87,6 +91,36 @@ def _nearer(centres: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame | Co
     return F.when(side > 0, 1).otherwise(0)
 
 
+def _apart(grid: pa.Table, least: float) -> np.ndarray:
+    """The leaf of each grid cell, where a part that a gap sets apart within its leaf and that holds a group has its own.
+
+    A part of few of all points hardly widens a leaf that holds others too, so dispersion can't find it."""
+    at = {c: i for i, c in enumerate(zip(*(grid[f"g{i}"].to_pylist() for i in range(D))))}
+    offsets = list(itertools.product((-1, 0, 1), repeat=D))
+    part = np.full(len(at), -1)
+    for cell, i in at.items():
+        if part[i] >= 0:
+            continue
+        part[i], todo = i, [cell]
+        while todo:
+            c = todo.pop()
+            for o in offsets:
+                near = (c[0] + o[0], c[1] + o[1], c[2] + o[2], c[3] + o[3])
+                k = at.get(near)
+                if k is not None and part[k] < 0:
+                    part[k] = i
+                    todo.append(near)
+    n, node = grid["n"].to_numpy(), grid["node"].to_numpy().copy()
+    holds = [i for i in np.unique(part) if n[part == i].sum() >= MIN_POINTS and n[part == i].max() >= CROWDED * least]
+    new = 1 << 40
+    for k in np.unique(node):
+        own = [(n[there].sum(), there) for i in holds for there in [(part == i) & (node == k)] if there.any()]
+        for _, there in sorted(own, key=lambda x: -x[0])[1:]:
+            node[there] = new
+            new += 1
+    return node
+
+
 def find_groups(cells: DataFrame) -> Groups | None:
     """Groups of the points of ``cells`` (from ``shapes``, written before)."""
     whole = cells.dropna(subset=SHAPE)
@@ -100,7 +134,8 @@ def find_groups(cells: DataFrame) -> Groups | None:
     z = [(F.col(c) - float(mean[i])) / float(scale[i]) for i, c in enumerate(SHAPE)]
     points = whole.select(*[F.floor(v / width).cast("int").alias(f"g{i}") for i, v in enumerate(z)], *[v.alias(f"z{i}") for i, v in enumerate(z)])
     grid = points.groupBy(*[f"g{i}" for i in range(D)]).agg(F.count("*").alias("n"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(D)], *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}{j}") for i, j in _PAIRS])
-    dense = stage(grid.where(F.col("n") >= max(2.0, DENSE_SHARE * stats.n)).withColumn("node", F.lit(1).cast("bigint")).coalesce(8))
+    least = max(2.0, DENSE_SHARE * stats.n)
+    dense = stage(grid.where(F.col("n") >= least).withColumn("node", F.lit(1).cast("bigint")).coalesce(8))
 
     rounds = 0
     single: set[int] = set()
@@ -108,9 +143,10 @@ def find_groups(cells: DataFrame) -> Groups | None:
         nodes = {r.node: _moments(r) for r in dense.groupBy("node").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS]).collect()}
         spread = {k: np.linalg.eigh(c) for k, (_, _, c) in nodes.items()}
         split = sorted((k for k, (v, _) in spread.items() if v[-1] > COMPACT**2 and k not in single), key=lambda k: -spread[k][0][-1])
-        split = split[: max(0, MAX_LEAVES - len(nodes))]
         if not split:
             break
+        if len(nodes) + len(split) > MAX_LEAVES:
+            raise ValueError(f"more than {MAX_LEAVES} leaves: the dispersion limit leaves too many parts")
         rounds += 1
         centres = {k: (nodes[k][1] - np.sqrt(v[-1]) * 0.8 * e[:, -1], nodes[k][1] + np.sqrt(v[-1]) * 0.8 * e[:, -1]) for k in split for v, e in [spread[k]]}
         for _ in range(LLOYD_ROUNDS):
@@ -130,13 +166,18 @@ def find_groups(cells: DataFrame) -> Groups | None:
         if divide:
             dense = stage(dense.withColumn("node", F.when(F.col("node").isin(divide), F.col("node") * 2 + _nearer({k: centres[k] for k in divide})).otherwise(F.col("node"))))
 
+    held = dense.toArrow()  # at most 1 / DENSE_SHARE rows
+    node = _apart(held, least)
+    if (node != held["node"].to_numpy()).any():
+        dense = stage(cells.sparkSession.createDataFrame(held.drop_columns("node").append_column("node", pa.array(node))))
+        nodes = {r.node: _moments(r) for r in dense.groupBy("node").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS]).collect()}
+
     offsets = [o for o in itertools.product((-1, 0, 1), repeat=D) if o > (0,) * D]
     near = dense.select("node", "n", F.explode(F.array(*[F.struct(*[(F.col(f"g{i}") + o[i]).alias(f"h{i}") for i in range(D)]) for o in offsets])).alias("h")).select("node", "n", "h.*")
     there = dense.select(F.col("node").alias("other"), F.col("n").alias("m"), *[F.col(f"g{i}").alias(f"h{i}") for i in range(D)])
     # at most MAX_LEAVES squared
     links = near.join(there, [f"h{i}" for i in range(D)]).where("node <> other").groupBy("node", "other").agg(F.max(F.least("n", "m")).alias("border")).collect()
     peak = {r.node: r.peak for r in dense.groupBy("node").agg(F.max("n").alias("peak")).collect()}
-    large = {k for k, v in nodes.items() if v[0] >= LEAST_GROUP * stats.n}
     group = {k: k for k in nodes}
 
     def root(k: int) -> int:
@@ -144,19 +185,30 @@ def find_groups(cells: DataFrame) -> Groups | None:
             k = group[k]
         return k
 
-    for r in links:
-        if {r.node, r.other} <= large and r.border >= VALLEY * min(peak[r.node], peak[r.other]):
-            a, b = root(r.node), root(r.other)
-            group[max(a, b)] = min(a, b)
+    def join(k: int, m: int) -> None:
+        a, b = root(k), root(m)
+        group[max(a, b)] = min(a, b)
+
+    large = {k for k, v in nodes.items() if v[0] >= SMALL_LEAF * stats.n}
+    meet = [r for r in links if r.border >= VALLEY * min(peak[r.node], peak[r.other])]
+    for r in meet:
+        if {r.node, r.other} <= large:
+            join(r.node, r.other)
+    # a small leaf lies at a group's edge or between two, so it takes one way up only
+    for k in sorted(nodes.keys() - large):
+        up = [(r.border, peak[m], m) for r in meet if k in (r.node, r.other) for m in [r.other if r.node == k else r.node] if m in large or (peak[m], m) > (peak[k], k)]
+        if up:
+            join(k, max(up)[2])
     merged: dict[int, list[tuple[float, np.ndarray, np.ndarray]]] = {}
     for k, v in nodes.items():
         merged.setdefault(root(k), []).append(v)
     found = []
-    for parts in merged.values():
+    for name, parts in merged.items():
         n = sum(p[0] for p in parts)
         m = sum(p[0] * p[1] for p in parts) / n
         c = sum(p[0] * (p[2] + np.outer(p[1] - m, p[1] - m)) for p in parts) / n
-        if n >= max(5, LEAST_GROUP * stats.n):
+        full = max(peak[k] for k in nodes if root(k) == name)
+        if n >= MIN_POINTS and (n >= SMALL_LEAF * stats.n or full >= CROWDED * least):
             # the least variance is that of a grid cell, so that a thin group isn't a point
             found.append((n, m, np.linalg.inv(c + np.eye(D) * width**2 / 48)))
     found.sort(key=lambda x: -x[0])

@@ -41,6 +41,20 @@ def test_groups(spark):
     assert few is None and clusters.assign(cells, few).where("group_id is not null").count() == 0
 
 
+def test_small_groups_set_apart(spark, monkeypatch):
+    kinds = [(12_000, (2.0, 1.05, 0.3, 1.1)), (8000, (2.7, 0.9, 0.45, 1.0)), (30, (3.6, 0.5, 0.9, 0.8))]
+    rows = [(k, i, float(10 ** rng.normal(m[0], 0.03)), *map(float, rng.normal(m[1:], 0.01)), "?") for k, (n, m) in enumerate(kinds) for i in range(n)]
+    cells = clusters.shapes(spark.createDataFrame(rows, CELLS)).cache()
+    groups = clusters.find_groups(cells)
+    assert len(groups.centres) == 3
+    out = clusters.assign(cells, groups).where("image_id = 2").groupBy("group_id").count().collect()
+    assert max(r["count"] for r in out if r.group_id) >= 28
+    monkeypatch.setattr(clusters, "MAX_LEAVES", 1)
+    monkeypatch.setattr(clusters, "COMPACT", 0.001)
+    with pytest.raises(ValueError):
+        clusters.find_groups(cells)
+
+
 ROWS = "image_id bigint, day date, tie bigint, a double, b double"
 
 
