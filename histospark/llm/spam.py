@@ -2,21 +2,22 @@
 
 Each text is stripped of cue numbers, times and mark-up and measured in blocks of a
 fixed number of characters, the last with what is left: the compressed size of a block
-over its length, with code points as single symbols so that scripts compare. A document's
-mean over its blocks, by their length, is
-normalized by the median of all documents in its script, for the recorded language is
-often wrong and languages of one script compress alike. Extreme redundancy flags a
-document; a low density of sentence punctuation confirms it. Confirmed documents on one
-side and varied, punctuated ones on the other give, over the whole corpus, the words
-that speak for keyword lists and for speech. This lexicon then decides on every document,
-flagged or not: a case is a document most of whose words stand in lines whose words speak
-for lists. Compression and punctuation choose its seeds, and decide alone only where fewer
-than ``MIN_WORDS`` words of a document are known; by themselves they find too few. The
-words are counted a second time with the documents that the first count settles.
-
-Defined results: null, empty and blank texts and texts of fewer than ``2 * MIN_WORDS`` words,
-fewer than ``MIN_WORDS`` of them known, are no cases; texts of any length are read whole; repeated rows are judged alike;
-an empty table gives no rows; columns besides ``doc_id, text, lang`` are ignored.
+over its length, with code points as single symbols so that scripts compare. The logarithm
+of this ratio is normalized by length and language: what is usual for a block of its length
+is a curve through the medians of the whole corpus, one for each script, and each language
+of a script has a level of its own (``Usual``). The mean excess over a document's blocks, by
+their length, is its redundancy (below 0). Redundancy flags a document, a low density of
+sentence punctuation confirms it, and both count together: the fewer lines end like
+sentences, the less redundancy it takes. ``score`` is redundancy (``MOST`` at most) plus ``ENDS_WEIGHT`` times
+the share of lines that end like sentences; below ``SURE`` a document of ``SURE_WORDS`` words
+is a case, above ``FLAGGED`` it is none. Between the two a check follows: words of documents that are surely
+cases and of those that surely aren't, counted over the whole corpus, say which lines speak
+for lists, and a flagged document is a case if most of its words stand in such lines.
+
+Defined results: null, empty and blank texts and texts of fewer than ``2 * MIN_WORDS`` words
+are no cases; where fewer than ``MIN_WORDS`` of a flagged document's words are known, ``LIMIT``
+decides; texts of any length are read whole; repeated rows are judged alike; an empty table
+gives no rows; columns besides ``doc_id, text, lang`` are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histospark.llm.bpe import chunks
@@ -39,12 +40,18 @@ from histospark.runtime import over, stage
 
 #: Characters of a block.
 BLOCK = 600
-#: Redundancy, as a share of the language's median, below which a document is flagged.
-REDUNDANT = 0.75
-#: Share of a flagged document's lines that end like sentences, up to which it is confirmed.
-FEW_ENDS = 0.12
-#: The same share from which a document that isn't flagged counts as speech.
-MANY_ENDS = 0.55
+#: Weight of the share of lines that end like sentences beside the logarithm of redundancy.
+ENDS_WEIGHT = 2.0
+#: Scores below which a document is surely a case, is one if no check can be made, and is flagged for the check.
+SURE, LIMIT, FLAGGED = 0.5, 0.88, 1.3
+#: Words that a document needs to be surely a case: compression says little about shorter ones.
+SURE_WORDS = 24
+#: Redundancy below which more of it doesn't count: a refrain may be as redundant as can be, and punctuation must confirm.
+MOST = -1.0
+#: Block lengths are binned by this many steps a doubling.
+STEPS = 3
+#: Blocks by which a script's curve and a language's level are held to that of all.
+HELD = 30.0
 #: A word counts for the check if it is in this share of all documents, and in two at least.
 #: The number of such words is at most the mean number of words of a document over this share.
 MIN_SHARE = 1e-4
@@ -101,15 +108,16 @@ def plain_lines(text: str, lang: str | None = None) -> str:
     return re.sub(r"\s*\n\s*", "\n", text).strip().lower()
 
 
-def redundancy(body: str) -> float:
-    """Mean over blocks, by their length, of compressed size by length, code points being single symbols.
+def block_sizes(body: str) -> tuple[list[int], list[int]]:
+    """Lengths and compressed sizes of the blocks of a text, code points being single symbols.
 
     A rest of at most half a block belongs to the last block."""
     points = np.frombuffer(body.encode("utf-32-le"), np.uint32)
     symbols = np.unique(points, return_inverse=True)[1]
     raw = symbols.astype(np.uint8 if symbols.max(initial=0) < 256 else np.uint16)
     starts = range(0, max(1, len(raw) - BLOCK // 2), BLOCK)
-    return sum(len(zlib.compress(raw[i:j].tobytes(), 6)) for i, j in zip(starts, [*starts[1:], len(raw)])) / max(1, len(raw))
+    ends = [*starts[1:], len(raw)]
+    return [j - i for i, j in zip(starts, ends)], [len(zlib.compress(raw[i:j].tobytes(), 6)) for i, j in zip(starts, ends)]
 
 
 def _hash(word: str) -> int:
@@ -157,8 +165,16 @@ def _script(body: str) -> str:
     return str(int(np.bincount(np.searchsorted(edges, letters, "right"), minlength=1).argmax()))
 
 
+_MEASURED = "doc_id bigint, script string, lang string, n_words int, ends double, lengths array<int>, sizes array<int>, tokens array<int>"
+
+
+def _lists(values: list, kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else [], kind))
+
+
 def measure(documents: DataFrame) -> DataFrame:
-    """``doc_id, language, n_words, redundancy, ends, tokens`` of every document with text."""
+    """Of every document with text: script, recorded language, words, sentence ends, block lengths and sizes, word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Tokens()
@@ -169,18 +185,70 @@ def measure(documents: DataFrame) -> DataFrame:
                 if not body:
                     continue
                 tokens = np.array(words.of(body), np.int32)
-                lines = body.count("\n") + 1
-                rows.append((doc, _script(body), int((tokens > 0).sum()), redundancy(body), len(_end.findall(body)) / lines, tokens))
-            doc, language, n, z, ends, tokens = zip(*rows) if rows else ((),) * 6
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-            flat = np.concatenate(tokens) if tokens else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(language, pa.string()), pa.array(n, pa.int32()), pa.array(z, pa.float64()), pa.array(ends, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["doc_id", "language", "n_words", "redundancy", "ends", "tokens"],
-            )
+                code = (lang or "").strip().lower()[:2]
+                rows.append((doc, _script(body), code if code.isascii() and code.isalpha() else "", int((tokens > 0).sum()), len(_end.findall(body)) / (body.count("\n") + 1), *block_sizes(body), tokens))
+            doc, script, lang, n, ends, lengths, sizes, tokens = map(list, zip(*rows)) if rows else ([],) * 8
+            columns = [pa.array(doc, pa.int64()), pa.array(script, pa.string()), pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(ends, pa.float64()), _lists(lengths, pa.int32()), _lists(sizes, pa.int32()), _lists(tokens, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _MEASURED.split(", ")])
 
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    return rows.mapInArrow(run, "doc_id bigint, language string, n_words int, redundancy double, ends double, tokens array<int>")
+    return rows.mapInArrow(run, _MEASURED)
+
+
+class Usual:
+    """The usual logarithm of the compression ratio by length, script and language.
+
+    ``medians`` has ``script, lang, bin, n, y``: the number of blocks and their median. A quadratic in
+    the logarithm of the length is fitted to all, each script's deviation from it is fitted with
+    ``HELD`` blocks of no deviation, and so is each language's level within its script."""
+
+    def __init__(self, medians: pd.DataFrame) -> None:
+        self.rows: list[tuple[str, str, float, float, float]] = []
+        if medians.empty:
+            return
+        x, y, n = medians["bin"].to_numpy(float) / STEPS, medians["y"].to_numpy(float), medians["n"].to_numpy(float)
+        self.middle = float(np.average(x, weights=n))
+        basis = np.vander(x - self.middle, 3, increasing=True)
+
+        def fit(rows: np.ndarray, left: np.ndarray, degree: int) -> np.ndarray:
+            b, w = basis[rows][:, : degree + 1], n[rows]
+            c = np.linalg.solve(b.T @ (b * w[:, None]) + np.eye(degree + 1) * HELD, b.T @ (w * left[rows]))
+            return np.pad(c, (0, 2 - degree))
+
+        every = np.arange(len(x))
+        b = basis * np.sqrt(n)[:, None]
+        pooled = np.linalg.lstsq(b, y * np.sqrt(n), rcond=None)[0]
+        script = medians["script"].to_numpy()
+        for s in np.unique(script):
+            own = every[script == s]
+            curve = pooled + fit(own, y - basis @ pooled, 2)
+            lang = medians["lang"].to_numpy()[own]
+            for code in np.unique(lang):
+                level = curve + fit(own[lang == code], y - basis @ curve, 0)
+                self.rows.append((str(s), str(code), *(float(v) for v in level)))
+
+    def table(self, like: DataFrame) -> DataFrame:
+        """A row of three coefficients for each script and two-letter code: at most some thousands."""
+        return like.sparkSession.createDataFrame(self.rows, "script string, lang string, c0 double, c1 double, c2 double")
+
+
+def _bin(length: Column) -> Column:
+    return F.round(F.log2(length) * STEPS).cast("int")
+
+
+def scored(measured: DataFrame) -> DataFrame:
+    """``measured`` with ``redundancy`` and ``score``."""
+    blocks = measured.select("script", "lang", F.explode(F.arrays_zip("lengths", "sizes")).alias("b"))
+    y = F.log(F.col("b.sizes") / F.col("b.lengths"))
+    medians = blocks.groupBy("script", "lang", _bin(F.col("b.lengths")).alias("bin")).agg(F.count("*").alias("n"), F.percentile_approx(y, 0.5, 1000).alias("y"))
+    # scripts, two-letter codes and bins of lengths up to one and a half blocks: a bounded table
+    usual = Usual(medians.toPandas())
+    middle = usual.middle if usual.rows else 0.0
+    x = lambda b: F.log2(b["lengths"].cast("double")) - middle
+    excess = F.aggregate(F.arrays_zip("lengths", "sizes"), F.lit(0.0), lambda a, b: a + b["lengths"] * (F.log(b["sizes"] / b["lengths"]) - F.col("c0") - F.col("c1") * x(b) - F.col("c2") * x(b) * x(b)))
+    total = F.aggregate("lengths", F.lit(0.0), lambda a, b: a + b)
+    rows = measured.join(F.broadcast(usual.table(measured)), ["script", "lang"]).withColumn("redundancy", over(excess, total))
+    return rows.withColumn("score", F.greatest("redundancy", F.lit(MOST)) + ENDS_WEIGHT * F.col("ends")).drop("c0", "c1", "c2")
 
 
 class Lexicon:
@@ -240,38 +308,36 @@ def _counted(labelled: DataFrame) -> tuple[pd.DataFrame, int, int]:
     return counts.toArrow().to_pandas(), totals.a, totals.b
 
 
-def _shares(measured: DataFrame, lexicon: Lexicon) -> DataFrame:
-    held = measured.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.scores))
+def _shares(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``doc_id, list_share, n_known`` of ``rows``."""
+    held = rows.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.scores))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon.__new__(Lexicon)
         own.words, own.scores = held.value
         for batch in batches:
-            share, known = own.list_share(*_flat(batch.column(batch.schema.get_field_index("tokens"))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share, pa.float64()), pa.array(known.astype(np.int32))], [*batch.schema.names, "list_share", "n_known"])
+            share, known = own.list_share(*_flat(batch.column(6)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(share, pa.float64()), pa.array(known.astype(np.int32))], [*batch.schema.names[:6], "list_share", "n_known"])
+
+    return rows.select(*_JUDGED, "tokens").mapInArrow(run, "doc_id bigint, n_words int, redundancy double, ends double, score double, enough boolean, list_share double, n_known int")
+
 
-    return measured.mapInArrow(run, "doc_id bigint, redundancy double, ends double, n_words int, tokens array<int>, list_share double, n_known int")
+_JUDGED = ["doc_id", "n_words", "redundancy", "ends", "score", "enough"]
 
 
 def judge(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_words, redundancy, ends, list_share, is_list`` of every document with text.
-
-    ``redundancy`` is normalized by language, ``list_share`` the result of the check."""
-    measured = stage(measure(documents))
-    usual = measured.groupBy("language").agg(F.percentile_approx("redundancy", 0.5, 1000).alias("usual"), F.count("*").alias("_n"))
-    overall = measured.agg(F.percentile_approx("redundancy", 0.5, 1000)).first()[0] or 1.0
-    # one row for each of ten scripts
-    usual = usual.select("language", F.when(F.col("_n") >= 30, F.col("usual")).otherwise(overall).alias("usual"))
-    rows = measured.join(F.broadcast(usual), "language").select("doc_id", over(F.col("redundancy"), F.col("usual")).alias("redundancy"), "ends", "n_words", "tokens")
-    flagged = F.col("redundancy") < REDUNDANT
-    confirmed = flagged & (F.col("ends") <= FEW_ENDS) & (F.col("n_words") >= 2 * MIN_WORDS)
-    seed = F.when(confirmed, 1).when(~flagged & (F.col("ends") >= MANY_ENDS), 0).otherwise(-1)
-    first = Lexicon(*_counted(rows.withColumn("label", seed)))
-    settled = F.when(F.col("n_known") < MIN_WORDS, -1).when(F.col("list_share") > 0.6, 1).when(F.col("list_share") < 0.2, 0).otherwise(-1)
-    second = Lexicon(*_counted(_shares(rows, first).withColumn("label", settled)))
-    # where the lexicon knows too few of the words, the flag and its confirmation are all there is
-    is_list = F.when(F.col("n_known") >= MIN_WORDS, F.col("list_share") > 0.5).otherwise(F.coalesce(confirmed, F.lit(False)))
-    return _shares(rows, second).select("doc_id", "n_words", "redundancy", "ends", "list_share", is_list.alias("is_list"))
+    """``doc_id, n_words, redundancy, ends, score, list_share, is_list`` of every document with text.
+
+    ``list_share`` is the result of the check, NULL where none is made."""
+    rows = scored(stage(measure(documents))).withColumn("enough", F.col("n_words") >= 2 * MIN_WORDS)
+    score = F.col("score")
+    sure = (score < SURE) & (F.col("n_words") >= SURE_WORDS)
+    lexicon = Lexicon(*_counted(rows.withColumn("label", F.when(sure, 1).when(score >= FLAGGED, 0).otherwise(-1))))
+    unsure = F.col("enough") & (score < FLAGGED) & ~sure
+    checked = _shares(rows.where(unsure), lexicon)
+    verdict = F.when(F.col("n_known") >= MIN_WORDS, F.col("list_share") > 0.5).otherwise(score < LIMIT)
+    clear = rows.where(~unsure).select(*_JUDGED, F.lit(None).cast("double").alias("list_share"), sure.alias("is_list"))
+    return clear.unionByName(checked.select(*_JUDGED, "list_share", verdict.alias("is_list"))).drop("enough")
 
 
 def list_pages(documents: DataFrame) -> DataFrame:

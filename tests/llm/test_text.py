@@ -3,6 +3,7 @@ import itertools
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from histospark.llm import bpe, mix, spam
@@ -52,15 +53,21 @@ def test_words_of_a_page():
     assert t.of("b u y n o w") == [spam.SPACED] and t.of("x1 7\ny2") == [t.of("x9")[0], spam.NUMBER, 0, t.of("z3")[0]]
 
 
-def test_redundancy_reads_the_tail():
+def ratio(body):
+    lengths, sizes = spam.block_sizes(body)
+    assert sum(lengths) == len(body)
+    return sum(sizes) / sum(lengths)
+
+
+def test_blocks_read_the_tail():
     rng = np.random.default_rng(3)
     letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
     for n in (spam.BLOCK, 3 * spam.BLOCK):
         varied = letters(n)
         tail = letters(spam.BLOCK // 2)
-        assert spam.redundancy(varied + "ab" * (spam.BLOCK // 4)) < 0.95 * spam.redundancy(varied + tail)
+        assert ratio(varied + "ab" * (spam.BLOCK // 4)) < 0.95 * ratio(varied + tail)
     block = letters(spam.BLOCK)
-    assert abs(spam.redundancy(block * 2) - spam.redundancy(block)) < 1e-9 and spam.redundancy("a") > 0
+    assert abs(ratio(block * 2) - ratio(block)) < 1e-9 and ratio("a") > 0
 
 
 def speech(rng, n):
@@ -95,6 +102,19 @@ def test_pages_of_unknown_words(spark):
     assert {r.doc_id for r in spam.list_pages(df).collect()} == set(range(200, 212)) | {300}
 
 
+def test_usual_ratio():
+    bins = np.arange(20, 30)
+    x = bins / spam.STEPS
+    medians = pd.concat([pd.DataFrame({"script": s, "lang": lang, "bin": bins, "n": 1000, "y": a - 0.2 * x}) for s, lang, a in (("0", "en", 1.0), ("0", "de", 1.3), ("5", "ar", 0.5))])
+    usual = spam.Usual(medians)
+    level = {(s, lang): c0 + c1 * (8 - usual.middle) + c2 * (8 - usual.middle) ** 2 for s, lang, c0, c1, c2 in usual.rows}
+    assert abs(level["0", "en"] + 0.6) < 0.03 and abs(level["0", "de"] + 0.3) < 0.03 and abs(level["5", "ar"] + 1.1) < 0.03
+    # a language of one block is taken for its script's
+    few = spam.Usual(pd.concat([medians, pd.DataFrame({"script": "0", "lang": "xx", "bin": [24], "n": 1, "y": 9.0})]))
+    assert abs({r[:2]: r[2] for r in few.rows}["0", "xx"] - np.mean([{r[:2]: r[2] for r in few.rows}["0", k] for k in ("en", "de")])) < 0.5
+    assert spam.Usual(medians.iloc[:0]).rows == []
+
+
 DOCS = "doc_id bigint, text string, source string, n_tokens string"
 TARGETS = "source string, target_share double, max_repeats int, blocks string"
 
