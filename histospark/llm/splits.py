@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from histospark.functions.imageref import digits, image_number, patient_number
+from histospark.llm.imageref import digits, image_number, patient_number
 from histospark.operators.forest import Forest, spanning_forest
 from histospark.runtime import stage
 
