@@ -2,12 +2,13 @@
 
 Pixel sizes come out in micrometres per pixel, areas and centroid rows in pixels.
 The unit is the stated one where a statement exists. Where none does, a calibrated
-random forest, trained on the stated cases, predicts it from magnitude, source and
-neighbouring fields, and an arithmetic check follows: the area in pixels that
-``perimeter`` and ``circularity`` imply, the height of the image, and the range of
-pixel sizes of a light microscope. A prediction that is confident and agrees is
-converted; one the evidence contradicts is replaced if the evidence names a unit;
-``status`` is ``review`` where neither settles the unit.
+random forest, trained on the stated cases, predicts it from magnitude, site, scanner or
+tool, and neighbouring fields. A confident prediction decides, and an arithmetic check
+follows: the area in pixels that ``perimeter`` and ``circularity`` imply, the height of the
+image, and the range of pixel sizes of a light microscope. Where the check contradicts the
+prediction, or the forest isn't confident, the one unit that the check leaves is taken;
+where it leaves several or none, the best guess is converted and ``status`` is ``review``,
+which every converted row carries, with the probability.
 
 Defined results: NULL, NaN and infinite values stay NULL and convert to NULL; an
 area of 0 stays 0; a pixel size that is not positive is unset; rows without
@@ -19,12 +20,13 @@ inputs are ignored.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histospark.functions import unittext as U
-from histospark.functions.calibrated import train
+from histospark.functions.calibrated import CalibratedForest, train
 from histospark.runtime import finite, over, stage
 
 #: µm per pixel that a light microscope can have.
@@ -45,21 +47,23 @@ def _log(c: Column) -> Column:
     return F.when(c > 0, F.log10(c)).otherwise(F.lit(_UNKNOWN))
 
 
-def _source(c: Column) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(c, F.lit(""))), F.lit(64)).cast("double")
+@dataclass
+class Settled:
+    """``runs`` as of ``run_units``, ``sizes`` as of ``pixel_sizes``, and the forests by field."""
 
+    runs: DataFrame
+    sizes: DataFrame
+    forests: dict[str, CalibratedForest]
 
-def _inside(c: Column) -> Column:
-    return c.between(*PLAUSIBLE)
 
-
-def pixel_sizes(images: DataFrame, runs: DataFrame | None = None, classify: bool = True) -> DataFrame:
+def pixel_sizes(images: DataFrame, runs: DataFrame | None = None, classify: bool = True, forests: dict[str, CalibratedForest] | None = None) -> DataFrame:
     """One row per image: ``image_id, value, unit, stated, x_um, y_um, status, probability``.
 
     ``value`` is the pixel width as recorded, in ``resolution`` or in a text of ``metadata``;
     ``x_um`` and ``y_um`` are converted, NULL where no size is set. A null or unset height beside
     a width means square pixels, and the reverse. ``runs`` (from ``run_evidence``) gives the size
-    that a run's areas in square micrometres imply, as a neighbouring field."""
+    that a run's areas in square micrometres imply, as a neighbouring field. The forest is added
+    to ``forests``."""
     rx, ry = (finite(F.col(f"resolution.{k}_um")) for k in "xy")
     rx, ry = F.when(rx > 0, rx), F.when(ry > 0, ry)
     text = F.concat_ws(" ; ", F.transform(F.map_entries("metadata"), lambda e: F.concat(U.plain(e["key"]), F.lit("="), F.coalesce(U.plain(e["value"]), F.lit("")))))
@@ -91,10 +95,13 @@ def pixel_sizes(images: DataFrame, runs: DataFrame | None = None, classify: bool
     # the runs choose among the plausible units and can't rule out all of them
     df = df.withColumn("_fits", F.transform(F.when(F.size(implied) > 0, implied).otherwise(F.col("_plausible")), lambda s: s["unit"])).drop("_plausible")
     if classify:
-        df = df.withColumns({"_m": _log(F.col("value")), "_n": _log(F.col("value") / F.col("implied_um")), "_s": _source(F.col("site")), "_c": _source(F.col("scanner"))})
+        df = df.withColumns({"_m": _log(F.col("value")), "_n": _log(F.col("value") / F.col("implied_um"))})
         df = stage(df)
         known = df.where("value is not null and stated is not null")
-        df = train(known, "stated", ["_m", "_n", "_s", "_c"], ["image_id"], LENGTH_UNITS, MAX_TRAINING_ROWS).predict(df).drop("_m", "_n", "_s", "_c")
+        forest = train(known, "stated", ["_m", "_n"], ["image_id"], LENGTH_UNITS, ["site", "scanner"], MAX_TRAINING_ROWS)
+        if forests is not None:
+            forests["resolution"] = forest
+        df = forest.predict(df).drop("_m", "_n")
     else:
         df = df.withColumns({"predicted": F.lit(None).cast("string"), "probability": F.lit(None).cast("double")})
     agrees = F.array_contains("_fits", F.col("predicted"))
@@ -149,17 +156,22 @@ def run_evidence(features: DataFrame, masks: DataFrame) -> DataFrame:
     )
 
 
-def run_units(features: DataFrame, masks: DataFrame, images: DataFrame, classify: bool = True, evidence: DataFrame | None = None) -> DataFrame:
-    """One row per run with the units of its areas and centroid rows and the factors to pixels.
+def settle(features: DataFrame, masks: DataFrame, images: DataFrame, classify: bool = True) -> Settled:
+    """Units of all runs and images. Evidence and pixel sizes are written, for both are read more than once."""
+    evidence = stage(run_evidence(features, masks))
+    forests: dict[str, CalibratedForest] = {}
+    sizes = stage(pixel_sizes(images, evidence, classify, forests))
+    return Settled(run_units(evidence, images, sizes, classify, forests), sizes, forests)
+
+
+def run_units(runs: DataFrame, images: DataFrame, sizes: DataFrame, classify: bool = True, forests: dict[str, CalibratedForest] | None = None) -> DataFrame:
+    """One row per run (of ``run_evidence``) with the units of its areas and centroid rows and the factors to pixels.
 
     Columns: ``image_id, tool, n, area_unit, area_factor, area_status, area_probability,
     row_unit, row_factor, row_status, row_probability``; a converted value is the recorded one
-    times its factor. With ``classify=False`` the evidence alone names unstated units.
-    ``evidence`` is the result of ``run_evidence`` where it is written already."""
-    runs = run_evidence(features, masks) if evidence is None else evidence
-    if classify and evidence is None:
-        runs = stage(runs)
-    sizes = pixel_sizes(images, runs if classify else None, classify=False).select(F.col("image_id").alias("_pi"), "x_um", "y_um")
+    times its factor. With ``classify=False`` the evidence alone names unstated units. ``sizes``
+    is the result of ``pixel_sizes``; the forests are added to ``forests``."""
+    sizes = sizes.select(F.col("image_id").alias("_pi"), "x_um", "y_um")
     frame = images.select(F.col("image_id").alias("_fi"), "site", F.col("n_rows").cast("double").alias("_rows"))
     frame = frame.join(sizes, F.col("_fi") == F.col("_pi"), "left").drop("_pi").groupBy("_fi").agg(F.first("site").alias("site"), F.max("_rows").alias("_rows"), F.max("x_um").alias("x_um"), F.max("y_um").alias("y_um"))
     df = runs.join(frame, F.col("image_id") == F.col("_fi"), "left").drop("_fi")
@@ -189,8 +201,6 @@ def run_units(features: DataFrame, masks: DataFrame, images: DataFrame, classify
                     "_e": F.when(ratio > 0, F.least(F.abs(F.log10(ratio)), F.lit(20.0))).otherwise(_UNKNOWN),
                     "_p": F.coalesce(F.log10(ratio / pixel), F.lit(_UNKNOWN)),
                     "_m": _log(F.col("mean_area")),
-                    "_s": _source(F.col("site")),
-                    "_t": _source(F.col("tool")),
                     "_h": _log(top),
                     "_k": _log(over(top, height)),
                     "_f": F.coalesce(F.col("fine_rows"), F.lit(-1.0)),
@@ -198,9 +208,11 @@ def run_units(features: DataFrame, masks: DataFrame, images: DataFrame, classify
                 }
             )
         )
-        areas = train(df, "area_stated", ["_q", "_e", "_p", "_m", "_s", "_t"], ["image_id", "tool"], AREA_UNITS, MAX_TRAINING_ROWS)
+        areas = train(df, "area_stated", ["_q", "_e", "_p", "_m"], ["image_id", "tool"], AREA_UNITS, ["site", "tool"], MAX_TRAINING_ROWS)
         df = areas.predict(df).withColumnsRenamed({"predicted": "_area_predicted", "probability": "_area_probability"})
-        rows = train(df, "row_stated", ["_h", "_k", "_f", "_l", "_s", "_t"], ["image_id", "tool"], ROW_UNITS, MAX_TRAINING_ROWS)
+        rows = train(df, "row_stated", ["_h", "_k", "_f", "_l"], ["image_id", "tool"], ROW_UNITS, ["site", "tool"], MAX_TRAINING_ROWS)
+        if forests is not None:
+            forests |= {"area": areas, "centroid_row": rows}
         df = rows.predict(df).withColumnsRenamed({"predicted": "_row_predicted", "probability": "_row_probability"})
     else:
         nothing, zero = F.lit(None).cast("string"), F.lit(0.0)
@@ -230,14 +242,15 @@ def run_units(features: DataFrame, masks: DataFrame, images: DataFrame, classify
 
 def with_units(features: DataFrame, runs: DataFrame) -> DataFrame:
     """``features`` with the columns ``unit_*`` of their run; joined by run, not broadcast."""
-    r = runs.select(
-        F.col("image_id").alias("_ri"), F.col("tool").alias("_rt"), F.col("area_unit").alias("unit_area"), F.col("area_factor").alias("unit_area_factor"), F.col("row_unit").alias("unit_row"), F.col("row_factor").alias("unit_row_factor")
-    )
+    of_run = ("area_unit", "area_factor", "area_status", "area_probability", "row_unit", "row_factor", "row_status", "row_probability")
+    r = runs.select(F.col("image_id").alias("_ri"), F.col("tool").alias("_rt"), *[F.col(c).alias("unit_" + c.removesuffix("_unit")) for c in of_run])
     return features.join(r, F.col("image_id").eqNullSafe(F.col("_ri")) & F.col("tool").eqNullSafe(F.col("_rt")), "left").drop("_ri", "_rt")
 
 
 def convert_features(features: DataFrame, runs: DataFrame) -> DataFrame:
-    """Rows of ``features`` with ``area_px`` and ``centroid_row_px`` beside their own columns."""
+    """Rows of ``features`` with ``area_px`` and ``centroid_row_px`` beside their own columns.
+
+    ``unit_area_status`` and ``unit_row_status`` are ``review`` where the unit isn't sure."""
     df = with_units(features, runs)
     whole = F.col("area") * F.col("unit_area_factor")
     # an area counts pixels, so a converted one within its rounding of a whole number is that number
@@ -245,14 +258,29 @@ def convert_features(features: DataFrame, runs: DataFrame) -> DataFrame:
     return df.withColumns({"area_px": finite(area), "centroid_row_px": finite(F.col("centroid_row") * F.col("unit_row_factor"))})
 
 
-def other_units(features: DataFrame, masks: DataFrame, images: DataFrame) -> DataFrame:
+def other_units(features: DataFrame, settled: Settled) -> DataFrame:
     """``image_id, cell_id, field`` of each value recorded in another unit than the common one."""
-    evidence = stage(run_evidence(features, masks))
-    runs = stage(run_units(features, masks, images, evidence=evidence))
-    foreign = runs.where("area_unit <> 'px' or row_unit <> 'px'")
+    foreign = stage(settled.runs).where("area_unit <> 'px' or row_unit <> 'px'")
     rows = with_units(features.select("image_id", "cell_id", "tool", "area", "centroid_row"), foreign).where("unit_area is not null")
     area, row = finite(F.col("area")), finite(F.col("centroid_row"))
     fields = F.array(F.when((F.col("unit_area") != "px") & area.isNotNull() & (area != 0), F.lit("area")), F.when((F.col("unit_row") != "px") & row.isNotNull(), F.lit("centroid_row")))
     cells = rows.select("image_id", "cell_id", F.explode(F.filter(fields, lambda x: x.isNotNull())).alias("field")).where("image_id is not null and cell_id is not null").distinct()
-    sizes = pixel_sizes(images, evidence).where("value is not null and unit <> 'um'").select("image_id", F.lit(0).alias("cell_id"), F.lit("resolution").alias("field"))
+    sizes = settled.sizes.where("value is not null and unit <> 'um'").select("image_id", F.lit(0).alias("cell_id"), F.lit("resolution").alias("field"))
     return cells.unionByName(sizes)
+
+
+def to_review(settled: Settled) -> DataFrame:
+    """``image_id, tool, field, unit, probability, n``: the runs and images whose unit a person should settle.
+
+    ``n`` is the number of rows of the run; ``tool`` is NULL for pixel sizes."""
+    fields = {"area": "area", "row": "centroid_row"}
+    parts = [settled.runs.where(f"{k}_status = 'review'").select("image_id", "tool", F.lit(name).alias("field"), F.col(f"{k}_unit").alias("unit"), F.col(f"{k}_probability").alias("probability"), "n") for k, name in fields.items()]
+    sizes = settled.sizes.where("status = 'review'").select("image_id", F.lit(None).cast("string").alias("tool"), F.lit("resolution").alias("field"), "unit", "probability", F.lit(1).cast("bigint").alias("n"))
+    return parts[0].unionByName(parts[1]).unionByName(sizes)
+
+
+def accuracy(spark: SparkSession, forests: dict[str, CalibratedForest]) -> DataFrame:
+    """A row per field: the rows its forest was fitted on, and its accuracy and calibration on those held out."""
+    number = lambda v: None if math.isnan(v) else float(v)
+    rows = [(k, f.n_training, f.n_held_out, number(f.held_out_accuracy), number(f.calibration_error)) for k, f in sorted(forests.items())]
+    return spark.createDataFrame(rows, "field string, n_training int, n_held_out int, held_out_accuracy double, calibration_error double")

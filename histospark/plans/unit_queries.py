@@ -13,21 +13,32 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.other_units(*_tables(spark, sf_dir))
+    features, masks, images = _tables(spark, sf_dir)
+    return units.other_units(features, units.settle(features, masks, images))
 
 
 def p2_pixel_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image's pixel size in µm per pixel, with the way its unit was settled."""
-    features, masks, images = _tables(spark, sf_dir)
-    return units.pixel_sizes(images, units.run_evidence(features, masks))
+    return units.settle(*_tables(spark, sf_dir)).sizes
 
 
 def p2_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row's area and centroid row in pixels, beside the recorded values."""
+    """Every row's area and centroid row in pixels, beside the recorded values, and how sure their units are."""
     features, masks, images = _tables(spark, sf_dir)
-    rows = units.convert_features(features, units.run_units(features, masks, images))
-    return rows.select("image_id", "cell_id", "tool", "area", "unit_area", "area_px", "centroid_row", "unit_row", "centroid_row_px")
+    rows = units.convert_features(features, units.settle(features, masks, images).runs)
+    sure = [f"unit_{k}_{c}" for k in ("area", "row") for c in ("status", "probability")]
+    return rows.select("image_id", "cell_id", "tool", "area", "unit_area", "area_px", "centroid_row", "unit_row", "centroid_row_px", *sure)
+
+
+def p2_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs and images whose unit neither the forest nor the check settles."""
+    return units.to_review(units.settle(*_tables(spark, sf_dir)))
+
+
+def p2_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and calibration of the forests on held-out statements."""
+    return units.accuracy(spark, units.settle(*_tables(spark, sf_dir)).forests)
 
 
-QUERIES = {"p2_found": p2_found, "p2_pixel_sizes": p2_pixel_sizes, "p2_converted": p2_converted}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pixel_sizes, p2_converted, p2_review, p2_accuracy)}
 SQL: dict[str, str] = {}

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from histospark.functions import calibrated, imageref, unittext
+from histospark.functions import calibrated, unittext
 from histospark.operators import units
+from histospark.runtime import stage_observed
 
 FEATURES = "image_id bigint, cell_id int, area double, perimeter double, circularity double, centroid_row double, tool string, unit_note string"
 MASKS = "image_id bigint, model_info map<string,string>"
@@ -27,13 +28,6 @@ def test_statements(spark):
     assert [tuple(x) for x in column(spark, texts, lambda c: F.struct(*unittext.statement(unittext.plain(c))))] == want
 
 
-def test_references(spark):
-    refs = ["IMG-0001224", "1063.tif", "IMG1166_v2.png", " 42 ", "#７", "image no. 12", "none", None]
-    assert column(spark, refs, imageref.image_number) == [1224, 1063, 1166, 42, 7, 12, None, None]
-    patients = ["PT_0000010", "pat. no. 0000019", " #22 ", "Pt.5", "P-000003", "PT-０００３", "pt7", "Patient 8", "0", "n.n.", "-", "", None]
-    assert column(spark, patients, imageref.patient_number) == [10, 19, 22, 5, 3, 3, 7, 8, None, None, None, None, None]
-
-
 def images(spark, rows):
     return spark.createDataFrame([(i, "s", 512, 512, *r, "x") for i, r in enumerate(rows)], IMAGES)
 
@@ -84,7 +78,7 @@ def tables(spark):
 
 
 def test_found(spark, tables):
-    found = {(r.image_id, r.cell_id, r.field) for r in units.other_units(*tables).collect()}
+    found = {(r.image_id, r.cell_id, r.field) for r in units.other_units(tables[0], units.settle(*tables)).collect()}
     want = {(i, k + 1, "area") for i in range(60) if i % 4 for k in range(12)} | {(i, k + 1, "centroid_row") for i in range(0, 48, 5) for k in range(12)}
     assert found == want
 
@@ -92,7 +86,7 @@ def test_found(spark, tables):
 @pytest.mark.parametrize("classify", [True, False])
 def test_converted(spark, tables, classify):
     features, masks, pictures = tables
-    out = units.convert_features(features, units.run_units(features, masks, pictures, classify)).collect()
+    out = units.convert_features(features, units.settle(features, masks, pictures, classify).runs).collect()
     assert len(out) == features.count()
     for r in out:
         if r.image_id < 99:
@@ -101,12 +95,22 @@ def test_converted(spark, tables, classify):
     assert odd[1].area_px == 0 and odd[2].area_px is None and odd[2].centroid_row_px is None
 
 
-def test_found_sizes_see_the_runs(spark, tables, monkeypatch):
+def test_routing(spark, tables):
+    settled = units.settle(*tables)
+    assert {r.field: r.n_training for r in units.accuracy(spark, settled.forests).collect()} == {"resolution": 0, "area": 35, "centroid_row": 35}
+    review = units.to_review(settled).collect()
+    assert {(r.image_id, r.field) for r in review} >= {(99, "area")} and all(r.n > 0 for r in review)
+    # nothing is stated and neither perimeters nor circularities tell: the best guess goes to review
+    blind = tables[0].withColumns({"perimeter": F.lit(None).cast("double"), "unit_note": F.lit(None).cast("string"), "tool": F.lit("b")})
+    runs = units.settle(tables[0].unionByName(blind), *tables[1:]).runs.where("tool = 'b'")
+    assert {r.area_status for r in runs.collect()} == {"review"}
+
+
+def test_sizes_see_the_runs(spark, tables, monkeypatch):
     seen, plain = [], units.pixel_sizes
-    monkeypatch.setattr(units, "pixel_sizes", lambda images, runs=None, classify=True: seen.append((runs, classify)) or plain(images, runs, classify))
-    units.other_units(*tables)
-    (runs,) = [r for r, classify in seen if classify]
-    assert runs.where("area_stated = 'um2' and ratio > 0").count() == 12
+    monkeypatch.setattr(units, "pixel_sizes", lambda images, runs, *rest: seen.append(runs) or plain(images, runs, *rest))
+    units.settle(*tables)
+    assert seen[0].where("area_stated = 'um2' and ratio > 0").count() == 12
 
 
 def test_pixel_sizes_by_runs_and_forest(spark):
@@ -125,7 +129,20 @@ def test_pixel_sizes_by_runs_and_forest(spark):
 
 def test_empty(spark):
     empty = [spark.createDataFrame([], s) for s in (FEATURES, MASKS, IMAGES)]
-    assert units.other_units(*empty).count() == 0
+    settled = units.settle(*empty)
+    assert units.other_units(empty[0], settled).count() == 0 and units.to_review(settled).count() == 0
+
+
+@pytest.mark.parametrize("labels", [["px", "um"], ["um", "px", "mm"]])
+def test_forest_after_an_observed_table(spark, labels):
+    """Of two classes the forest's summary would hold the session, which can't be sent once it has observed."""
+    _, seen = stage_observed(spark.range(10), n=F.count("*"))
+    rows = [(i, labels[i % 2], "s" if i % 2 else None, float(i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, label string, site string, y double")
+    model = calibrated.train(df, "label", ["y"], ["k"], labels, ["site"])
+    assert seen["n"] == 10 and all(r.predicted == r.label for r in model.predict(df).collect())
+    # an unknown category is predicted all the same
+    assert model.predict(df.limit(3).withColumn("site", F.lit("new"))).count() == 3 and model.calibration_error < 0.1
 
 
 def test_held_out_accuracy(spark):
