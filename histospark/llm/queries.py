@@ -10,9 +10,9 @@ from histospark.runtime import load, stage
 
 
 def _pixels(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """``features`` with areas and centroid rows in pixels, units being settled by the evidence."""
+    """``features`` with areas and centroid rows in pixels, units being settled as in p2."""
     features, masks, images = (load(spark, sf_dir, t) for t in ("features", "masks", "images"))
-    runs = units.run_units(features, masks, images, classify=False)
+    runs = stage(units.settle(features, masks, images).runs)
     return units.convert_features(features.select("image_id", "tool", "area", "centroid_row", *columns), runs)
 
 
