@@ -102,20 +102,20 @@ def p4_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image_id", "n", *[rows[c].alias(c) for c in ("p05", "p25", "p50", "p75", "p95")])
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mix.Source], int]:
-    tokens = mix.counted(load(spark, sf_dir, "documents"))
-    sources, total = mix.plan(tokens, load(spark, sf_dir, "mix_targets"))
-    return mix.mixture(tokens, sources), sources, total
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mix.Source], int]:
+    asked = mix.asked(load(spark, sf_dir, "mix_targets"))
+    pieces = mix.packed(load(spark, sf_dir, "documents"), [name for name, _, _ in asked])
+    return pieces, *mix.plan(pieces, asked)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every slot of the mixture with the spans of documents that fill it."""
-    return _mixed(spark, sf_dir)[0]
+    """Every slot of the mixture with its token ids and the spans of documents that they are of."""
+    return mix.mixture(*_packed(spark, sf_dir)[:2])
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares and repeats of every source."""
-    return mix.report(*_mixed(spark, sf_dir))
+    return mix.report(spark, *_packed(spark, sf_dir)[1:])
 
 
 QUERIES = {

@@ -1,6 +1,8 @@
 import base64
 import itertools
+import math
 import os
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -121,38 +123,72 @@ TARGETS = "source string, target_share double, max_repeats int, blocks string"
 
 def test_permutation_and_counts():
     for size in (1, 2, 3, 10, 257, 1000):
-        assert sorted(mix.permuted(np.arange(size), size, 5)) == list(range(size))
-    totals, ends = np.array([50, 0, 333, 17]), [min(i * 64, 400) for i in range(8)]
-    counts, before = zip(*(mix.shard_counts(totals, ends, s, 3) for s in range(7)))
-    assert (np.sum(counts, 0) == totals).all() and [c.sum() for c in counts] == [64] * 6 + [16]
+        there = mix.permuted(np.arange(size), size, 5)
+        assert sorted(there) == list(range(size)) and (mix.permuted(there, size, 5, True) == np.arange(size)).all()
+    totals = [50, 0, 333, 17]
+    tree = mix.Shards(totals, 64, 3)
+    counts, before = zip(*(tree.counts(s) for s in range(7)))
+    assert (np.sum(counts, 0) == totals).all() and [sum(c) for c in counts] == [64] * 6 + [16]
     assert (np.cumsum([np.zeros(4, int), *counts[:-1]], axis=0) == before).all()
 
 
+@pytest.mark.parametrize("good,bad,n", [(7, 5, 4), (5, 7, 9), (40, 3, 21), (1, 1, 1), (300, 500, 600)])
+def test_hypergeometric_is_exact(good, bad, n):
+    rng = np.random.default_rng(1)
+    size = 20_000
+    seen = Counter(mix.hypergeometric(good, bad, n, rng) for _ in range(size))
+    assert sum(abs(seen[k] / size - math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n)) for k in range(max(0, n - bad), min(good, n) + 1)) < 0.06
+    assert min(seen) >= max(0, n - bad) and max(seen) <= min(good, n)
+
+
+def test_hypergeometric_of_huge_numbers():
+    rng = np.random.default_rng(2)
+    good, bad, n = 6 * 10**13, 10**14, 3 * 10**12
+    x = np.array([mix.hypergeometric(good, bad, n, rng) for _ in range(4000)], float) - n * 0.375
+    sd = math.sqrt(n * 0.375 * 0.625 * (1 - n / (good + bad)))
+    assert abs(x.mean() / sd) < 0.08 and abs(x.std() / sd - 1) < 0.05
+    assert mix.hypergeometric(good, 0, n, rng) == n and mix.hypergeometric(0, bad, n, rng) == 0 and mix.hypergeometric(good, bad, good + bad, rng) == good
+
+
 def test_mixture(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(rng.choice(["red", "fox", "runs", "far"], rng.integers(1, 60))), s, "x") for i, s in enumerate(itertools.chain(["big "] * 150, ["Small"] * 12, [None] * 5, ["untargeted"] * 9, ["\tsmall"] * 3))]
-    rows += [(1000, None, "big", "x"), (1001, "", "small", "x")]
+    rows += [(1000, None, "big", "x"), (1001, "", "small", "x"), (1002, "fox " * 3000, "big", "x")]
+    documents = spark.createDataFrame(rows, DOCS).repartition(5)
     targets = spark.createDataFrame([("big", 0.6, 1, "y"), ("SMALL ", 0.3, 3, "y"), ("absent", 0.1, 2, "y"), (None, 0.5, 1, "y")], TARGETS)
-    tokens = mix.counted(spark.createDataFrame(rows, DOCS))
-    sources, total = mix.plan(tokens, targets, block=16)
-    size = {r.doc_id: r.n_tokens for r in tokens.collect()}
-    assert total == sum(size.values()) and [s.name for s in sources] == ["absent", "big", "small"]
+    asked = mix.asked(targets)
+    ids = {r.doc_id: r.ids for r in bpe.encode(documents).collect()}
+    pieces = mix.packed(documents, [a[0] for a in asked], block=16)
+    sources, total = mix.plan(pieces, asked, block=16)
+    assert total == sum(map(len, ids.values())) and [s.name for s in sources] == ["absent", "big", "small"]
     small = sources[2]
     assert small.documents == 16 and small.tokens * 3 == small.quota and sources[0].slots == 0
-    held = {(r.source_no, r.block_index): r for r in mix.blocks(tokens, sources, block=16).collect()}
+    assert sum(s.quota for s in sources) == min(total, sum(s.tokens * s.repeats for s in sources))
+    held = {(r.source_no, r.block_index): r for r in mix.blocks(pieces, sources, block=16).collect()}
     covered = {}
-    for r in held.values():
-        assert r.n_tokens == sum(s.to_token - s.from_token for s in r.spans) <= 16
-        for s in r.spans:
-            covered.setdefault(s.doc_id, []).append((s.from_token, s.to_token))
+    for (s, b), r in held.items():
+        assert len(r.ids) == (16 if b < sources[s].blocks - 1 else sources[s].tokens - 16 * b)
+        assert r.ids == [t for x in r.spans for t in ids[x.doc_id][x.from_token : x.to_token]]
+        for x in r.spans:
+            covered.setdefault(x.doc_id, []).append((x.from_token, x.to_token))
+    assert set(covered) == {d for d, _, s, _ in rows if s and s.strip().lower() in ("big", "small") and ids[d]}
     for doc, parts in covered.items():
         parts.sort()
-        assert parts[0][0] == 0 and parts[-1][1] == size[doc] and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
-    used = mix.slots(spark, sources, shard=7).collect()
+        assert parts[0][0] == 0 and parts[-1][1] == len(ids[doc]) and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+    used = mix.slots(spark, sources, block=16, shard=7).collect()
     assert len(used) == sum(s.slots for s in sources) == len({(r.source_no, r.repeat, r.block_index) for r in used})
-    assert all(r.repeat < sources[r.source_no].repeats and (r.source_no, r.block_index) in held for r in used)
+    assert all(r.repeat < sources[r.source_no].repeats and 0 < r.n_tokens <= len(held[r.source_no, r.block_index].ids) for r in used)
     assert len({(r.shard, r.position) for r in used}) == len(used)
-    report = {r.source: r for r in mix.report(mix.mixture(tokens, mix.plan(tokens, targets)[0]), mix.plan(tokens, targets)[0], total).collect()}
+    for i, s in enumerate(sources):
+        assert sum(r.n_tokens for r in used if r.source_no == i) == s.quota
+    whole = mix.packed(documents, [a[0] for a in asked])
+    sources, _ = mix.plan(whole, asked)
+    mixed = mix.mixture(whole, sources).collect()
+    assert all(len(r.ids) == r.n_tokens for r in mixed) and sum(r.n_tokens for r in mixed) == sum(s.quota for s in sources)
+    report = {r.source: r for r in mix.report(spark, sources, total).collect()}
     assert set(report) == {"absent", "big", "small"} and abs(sum(r.actual_share for r in report.values()) - 1) < 1e-9 and report["absent"].tokens_used == 0
-    none, zero = mix.plan(tokens.limit(0), targets)
-    assert zero == 0 and mix.mixture(tokens.limit(0), none).count() == 0 and mix.report(mix.mixture(tokens.limit(0), none), none, 0).count() == 3
+    empty = mix.packed(documents.limit(0), [a[0] for a in asked])
+    none, zero = mix.plan(empty, asked)
+    assert zero == 0 and mix.mixture(empty, none).count() == 0 and mix.report(spark, none, 0).count() == 3
+    nothing, all_ = mix.plan(whole, mix.asked(targets.limit(0)))
+    assert all_ == total and mix.mixture(whole, nothing).count() == 0
