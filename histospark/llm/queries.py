@@ -68,14 +68,22 @@ def p8_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.judge(load(spark, sf_dir, "documents"))
 
 
-
-def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records chosen for every row of ``subset_requests``."""
+def _populations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     populations = {
         "features": subset.cell_records(_pixels(spark, sf_dir, "cell_id")),
         "patches": subset.patch_records(load(spark, sf_dir, "patches"), load(spark, sf_dir, "annotation_tasks")),
     }
-    return subset.subsets(load(spark, sf_dir, "subset_requests"), populations)
+    return load(spark, sf_dir, "subset_requests"), populations
+
+
+def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records chosen for every row of ``subset_requests``."""
+    return subset.subsets(*_populations(spark, sf_dir))
+
+
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records of each density there are, and how many of them are chosen."""
+    return subset.coverage(*_populations(spark, sf_dir))
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +128,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_subset, p3_found, p3_cells, p3_groups, p4_percentiles, p4_combined, p4_perimeter, p5_found, p5_forest, p5_splits, p6_ids, p7_mix, p7_shares, p8_found, p8_judged)
+    for f in (p1_subset, p1_coverage, p3_found, p3_cells, p3_groups, p4_percentiles, p4_combined, p4_perimeter, p5_found, p5_forest, p5_splits, p6_ids, p7_mix, p7_shares, p8_found, p8_judged)
 }
 SQL = {
     "p4_perimeter": """

@@ -4,14 +4,14 @@ A record's density is the mean, over REPEATS locality-sensitive hashes, of the n
 records in its bucket. Buckets are counted exactly, by repeat and 64-bit hash: near records
 are brought into chunks of at most ``1 << CHUNK_BITS``, each chunk counts its own buckets,
 the counts are added up over all chunks and come back to the chunks that have the bucket.
-So no table of all buckets is ever in one place. A second pass draws a weighted sample
-without replacement: the records with the least ``-ln(u) / weight``, u being a hash of
-record and request and the weight one over the density.
+So no table of all buckets is ever in one place. A second pass, one for all requests, draws
+weighted samples without replacement: the records with the least ``-ln(u) / weight``, u being
+a hash of record and request and the weight one over the density.
 
 Defined results: a population of no more records than asked for is taken whole; repeated
 rows are one record; a NULL, NaN or infinite coordinate is a place of its own; equal
 records share a bucket, so together they weigh about as much as one; an unknown
-population gives no rows.
+population gives no rows; a request that is repeated counts once, with its greatest size.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histospark.llm.splits import task_images
@@ -33,6 +33,8 @@ CHUNK_BITS = 16
 SIDE = 1.0
 #: Requests that may be answered at once, since their table is collected.
 MAX_REQUESTS = 1000
+#: Bins of the keys below a request's threshold.
+BINS = 65_536
 _KEYS = ["image_id", "cell_id", "task_id", "patch_id"]
 
 
@@ -131,25 +133,88 @@ def densities(records: DataFrame) -> DataFrame:
     return records.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(look, schema)
 
 
-def choose(dense: DataFrame, request: int, size: int, seed: int = 1) -> DataFrame:
-    """``size`` records of ``dense`` (with ``density``), each drawn in inverse proportion to it."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(request), *[F.coalesce(F.col(k).cast("bigint"), F.lit(-1)) for k in _KEYS]), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    drawn = dense.withColumn("_order", -F.log(u) * F.col("density"))
-    return drawn.orderBy("_order", *_KEYS).limit(size).drop("_order")
+def _threshold(bands: list, size: int) -> float:
+    """A key below which about ``size`` records' keys lie, and very probably no fewer; infinite if there aren't more records."""
+    n = np.array([b.n for b in bands], float)
+    if n.sum() <= size:
+        return float("inf")
+    density = np.array([b.density for b in bands])
+    wanted = min(size + 6 * size**0.5 + 12, n.sum() - 0.5)
+    low, high = 0.0, float(density.max())
+    while (n * -np.expm1(-high / density)).sum() < wanted:
+        high *= 2
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (n * -np.expm1(-middle / density)).sum() < wanted else (low, middle)
+    return high
+
+
+def choose(dense: DataFrame, sizes: dict[int, int], seed: int = 1) -> DataFrame:
+    """``request_id, _KEYS, density``: for each request its ``size`` records of ``dense``, drawn in inverse proportion to the density.
+
+    All requests are answered in one pass over ``dense``: a record's key for a request has the
+    exponential distribution of its weight, so a few sums tell about how many keys lie below a
+    threshold. Records below it are written, as many as are asked for and a few more; of those
+    the least are taken by counts of the bins of their keys, and only the bin in which the size
+    is reached is ranked."""
+    bands = dense.groupBy(F.floor(F.log2("density") * 8).alias("band")).agg(F.count("*").alias("n"), F.avg("density").alias("density")).collect()  # eight for each doubling
+    limits = {r: _threshold(bands, n) for r, n in sizes.items()}
+    u = lambda r: (F.pmod(F.xxhash64(F.lit(seed), r, *[F.coalesce(F.col(k).cast("bigint"), F.lit(-1)) for k in _KEYS]), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    while True:
+        asked = F.array(*[F.struct(F.lit(r).cast("bigint").alias("id"), F.lit(n).cast("bigint").alias("size"), F.lit(limits[r]).alias("limit")) for r, n in sizes.items()])
+        drawn = F.filter(F.transform(asked, lambda q: F.struct(q["id"].alias("request_id"), q["size"].alias("size"), q["limit"].alias("limit"), (-F.log(u(q["id"])) * F.col("density")).alias("key"))), lambda d: d["key"] <= d["limit"])
+        near = stage(dense.select(*_KEYS, "density", F.explode(drawn).alias("d")).select(*_KEYS, "density", "d.*"))
+        found = {r.request_id: r["count"] for r in near.groupBy("request_id").count().collect()}  # MAX_REQUESTS rows
+        short = [r for r, n in sizes.items() if limits[r] < float("inf") and found.get(r, 0) < n]
+        if not short:
+            break
+        limits |= {r: limits[r] * 2 for r in short}
+    near = near.withColumn("bin", F.when(F.col("limit") < float("inf"), F.floor(F.col("key") / F.col("limit") * BINS)).otherwise(0))
+    up = Window.partitionBy("request_id").orderBy("bin")
+    bins = near.groupBy("request_id", "bin").agg(F.count("*").alias("n")).select(F.col("request_id").alias("_r"), F.col("bin").alias("_b"), "n", (F.sum("n").over(up) - F.col("n")).alias("before"))
+    near = near.join(bins, (F.col("request_id") == F.col("_r")) & (F.col("bin") == F.col("_b"))).where("before < size")
+    columns = ["request_id", *_KEYS, "density"]
+    last = near.where("before + n > size").withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("key", *_KEYS))).where("before + rank <= size")
+    return near.where("before + n <= size").select(*columns).unionByName(last.select(*columns))
+
+
+def _asked(requests: DataFrame, populations: dict[str, DataFrame]) -> dict[str, dict[int, int]]:
+    rows = requests.where("request_id is not null and subset_size > 0").groupBy("request_id", "population").agg(F.max("subset_size").alias("size")).orderBy("request_id", "population").limit(MAX_REQUESTS + 1).collect()
+    if len(rows) > MAX_REQUESTS:
+        raise ValueError(f"more than {MAX_REQUESTS} requests")
+    out: dict[str, dict[int, int]] = {}
+    for r in rows:
+        if r.population in populations:
+            out.setdefault(r.population, {})[r.request_id] = r["size"]
+    return out
+
+
+_SUBSET = "request_id bigint, population string, image_id bigint, cell_id int, task_id bigint, patch_id int, density double"
+_COVERAGE = "request_id bigint, population string, crowd bigint, n_population bigint, n_chosen bigint"
+
+
+def _union(spark: SparkSession, parts: list[DataFrame], schema: str) -> DataFrame:
+    out = spark.createDataFrame([], schema)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 def subsets(requests: DataFrame, populations: dict[str, DataFrame]) -> DataFrame:
     """``request_id, population, image_id, cell_id, task_id, patch_id, density`` of all chosen records."""
-    asked = requests.where("request_id is not null and subset_size > 0").orderBy("request_id").limit(MAX_REQUESTS + 1).collect()
-    if len(asked) > MAX_REQUESTS:
-        raise ValueError(f"more than {MAX_REQUESTS} requests")
-    dense = {p: stage(densities(populations[p])) for p in sorted({r.population for r in asked if r.population in populations})}
-    out = None
-    for r in asked:
-        if r.population not in dense:
-            continue
-        rows = choose(dense[r.population], r.request_id, r.subset_size).select(F.lit(r.request_id).cast("bigint").alias("request_id"), F.lit(r.population).alias("population"), *_KEYS, "density")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return requests.sparkSession.createDataFrame([], "request_id bigint, population string, image_id bigint, cell_id int, task_id bigint, patch_id int, density double")
-    return out
+    parts = [choose(stage(densities(populations[p])), sizes).withColumn("population", F.lit(p)) for p, sizes in _asked(requests, populations).items()]
+    return _union(requests.sparkSession, parts, _SUBSET)
+
+
+def coverage(requests: DataFrame, populations: dict[str, DataFrame]) -> DataFrame:
+    """Per request and ``crowd``, a density's power of two rounded down, the records there are and those chosen."""
+    parts = []
+    crowd = F.expr("shiftleft(1L, int(floor(log2(density))))").alias("crowd")
+    for p, sizes in _asked(requests, populations).items():
+        dense = stage(densities(populations[p]))
+        every = dense.groupBy(crowd).agg(F.count("*").alias("n_population"), F.lit(0).cast("bigint").alias("n_chosen"))
+        every = every.withColumn("request_id", F.explode(F.array(*[F.lit(r).cast("bigint") for r in sizes])))
+        chosen = choose(dense, sizes).groupBy("request_id", crowd).agg(F.lit(0).cast("bigint").alias("n_population"), F.count("*").alias("n_chosen"))
+        both = every.unionByName(chosen).groupBy("request_id", "crowd").agg(F.sum("n_population").alias("n_population"), F.sum("n_chosen").alias("n_chosen"))
+        parts.append(both.withColumn("population", F.lit(p)))
+    return _union(requests.sparkSession, parts, _COVERAGE)

@@ -104,9 +104,11 @@ def test_densities_and_choice(spark):
     dense = subset.densities(records).cache()
     by = {r.image_id: r for r in dense.groupBy("image_id").agg(F.avg("density").alias("d"), F.count("*").alias("n")).collect()}
     assert by[1].d > 2500 and by[2].d < 3
-    chosen = subset.choose(dense, 1, 40).collect()
+    out = subset.choose(dense, {1: 40, 2: 3000, 3: 10**6, 4: 4031}).collect()
+    chosen = [r for r in out if r.request_id == 1]
     assert len(chosen) == 40 == len({(r.image_id, r.cell_id) for r in chosen}) and sum(r.image_id == 2 for r in chosen) >= 28
-    assert subset.choose(dense, 1, 10**6).count() == 4032
+    assert [sum(r.request_id == q for r in out) for q in (2, 3, 4)] == [3000, 4032, 4031]
+    assert subset.choose(dense.limit(0), {1: 5}).count() == 0
     assert subset.densities(records.limit(0)).count() == 0
 
 
@@ -137,6 +139,17 @@ def test_subsets(spark):
     requests = spark.createDataFrame([(1, "patches", 3), (2, "none", 5), (3, "patches", 100), (4, None, 2), (5, "patches", None)], "request_id bigint, population string, subset_size int")
     out = subset.subsets(requests, {"patches": records}).groupBy("request_id").count().collect()
     assert {r.request_id: r["count"] for r in out} == {1: 3, 3: 32}
+    seen = subset.coverage(requests, {"patches": records}).groupBy("request_id").agg(F.sum("n_population").alias("n"), F.sum("n_chosen").alias("k")).collect()
+    assert {r.request_id: (r.n, r.k) for r in seen} == {1: (32, 3), 3: (32, 32)}
+
+
+def test_draw_follows_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(subset, "BINS", 8)
+    dense = spark.range(3000).select(F.col("id").alias("image_id"), F.lit(None).cast("int").alias("cell_id"), F.lit(None).cast("bigint").alias("task_id"), F.lit(None).cast("int").alias("patch_id"), F.when(F.col("id") < 300, 1.0).otherwise(20.0).alias("density"))
+    out = subset.choose(dense.cache(), {q: 100 for q in range(20)}).collect()
+    assert len(out) == 2000 and all(len({r.image_id for r in out if r.request_id == q}) == 100 for q in range(20))
+    # weights are 300 and 135, and lone records are used up as the draw goes on
+    assert 0.58 < sum(r.image_id < 300 for r in out) / 2000 < 0.72
 
 
 IMAGES = "image_id bigint, site string, metadata map<string,string>, root_id string"
