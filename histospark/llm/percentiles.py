@@ -3,9 +3,10 @@
 Rows are range-partitioned and sorted by group, value and a tie-breaking hash, so that
 neither a large group nor a frequent value goes to one task. One pass over the sorted
 partitions settles every group that lies within a partition, and passes on the sorted
-values, in chunks, of the two groups at its ends. Their counts per partition give each
-chunk's offset in its group; the target positions are located in the chunks and
-neighbouring order statistics are interpolated. Percentiles are exact: the bound of the
+values, in chunks, of the two groups at its ends and of any that is larger than ``WHOLE``, so
+that no group is ever held. Their counts per partition give each chunk's offset in its group;
+the target positions are located in the chunks and neighbouring order statistics are
+interpolated. The number of partitions follows from the number of values. Percentiles are exact: the bound of the
 error is 0. Interpolation is linear between closest ranks.
 
 Along with its percentiles each group keeps a summary of at most ``POINTS`` order
@@ -28,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from histospark.runtime import finite, stage
+from histospark.runtime import finite, stage, stage_observed
 
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 POINTS = 128
 CHUNK = 4096
+#: Values that a task holds of a group; more go on in chunks.
+WHOLE = 16 * CHUNK
+#: Values of a partition of the sort.
+PARTITION = 2_000_000
 _Q = len(QUANTILES)
 _KEYS = "level string, metric string, image_id bigint, day date"
 KEYS = ["level", "metric", "image_id", "day"]
@@ -87,7 +92,7 @@ def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             this = (int(code[a]), int(image[a]), int(day[a]))
             if key is not None and this != key:
                 whole = np.concatenate(held) if held else np.empty(0)
-                if first:
+                if first or sent:
                     chunks(whole, sent)
                     first = False
                 else:
@@ -96,7 +101,7 @@ def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, sent = [], 0
             key = this
             held.append(values[a:b])
-            if first and sum(map(len, held)) >= 16 * CHUNK:  # a group that fills the partition isn't held whole
+            if sum(map(len, held)) >= WHOLE:
                 whole = np.concatenate(held)
                 chunks(whole, sent)
                 held, sent = [], sent + len(whole)
@@ -113,14 +118,14 @@ def percentiles(values: DataFrame, metrics: list[str]) -> DataFrame:
 
     Result: ``level`` (image_day, image or day), ``metric, image_id, day, n``, one column for
     each of QUANTILES, ``rank_error`` (0) and ``summary``, the ordered points that combine."""
-    values = stage(values)  # range partitioning reads it twice
+    values, seen = stage_observed(values, n=F.count("*"))  # range partitioning reads it twice
     levels = [("image_day", True, True), ("image", True, False), ("day", False, True)]
     none_i, none_d = F.lit(-(2**63)).cast("bigint"), F.lit(-(2**31)).cast("int")
     absent_i, absent_d = F.lit(-(2**63) + 1).cast("bigint"), F.lit(-(2**31) + 1).cast("int")
     image, day = F.coalesce("image_id", absent_i), F.coalesce(F.unix_date("day"), absent_d)
     rows = [F.struct(F.lit(i * len(metrics) + k).alias("code"), (image if by_image else none_i).alias("image"), (day if by_day else none_d).alias("day"), finite(F.col(m).cast("double")).alias("value")) for i, (_, by_image, by_day) in enumerate(levels) for k, m in enumerate(metrics)]
     long = values.select(F.explode(F.array(*rows)).alias("r"), "tie").select("r.*", "tie").where("value is not null")
-    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-seen["n"] * len(rows) // PARTITION))
     order = ["code", "image", "day", "value", "tie"]
     ordered = long.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("code", "image", "day", "value", F.spark_partition_id().alias("part"))
     passed = stage(ordered.mapInArrow(_pass, "code int, image bigint, day int, n bigint, part int, start bigint, values array<double>"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from histospark.llm import bpe, clusters, mix, percentiles, spam, splits, subset
 from histospark.operators import units
@@ -104,10 +105,10 @@ def p4_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact medians and quartiles of the perimeters of each image."""
+    """Exact medians, quartiles and outer percentiles of the perimeters of each image, day, and day of an image."""
     measured = percentiles.measurements(load(spark, sf_dir, "features"), ["perimeter"])
-    rows = percentiles.percentiles(measured, ["perimeter"]).where("level = 'image'")
-    return rows.select("image_id", "n", *[rows[c].alias(c) for c in ("p05", "p25", "p50", "p75", "p95")])
+    rows = percentiles.percentiles(measured, ["perimeter"])
+    return rows.select("level", "image_id", "day", "n", *[F.round(c, 9).alias(c) for c in _OUTER])
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mix.Source], int]:
@@ -130,11 +131,12 @@ QUERIES = {
     f.__name__: f
     for f in (p1_subset, p1_coverage, p3_found, p3_cells, p3_groups, p4_percentiles, p4_combined, p4_perimeter, p5_found, p5_forest, p5_splits, p6_ids, p7_mix, p7_shares, p8_found, p8_judged)
 }
+_OUTER = ("p05", "p25", "p50", "p75", "p95")
 SQL = {
-    "p4_perimeter": """
-        WITH measured AS (SELECT DISTINCT image_id, cell_id, tool, extracted_at, perimeter FROM features)
-        SELECT image_id, count(*) AS n,
-               quantile_cont(perimeter, 0.05) AS p05, quantile_cont(perimeter, 0.25) AS p25, quantile_cont(perimeter, 0.5) AS p50,
-               quantile_cont(perimeter, 0.75) AS p75, quantile_cont(perimeter, 0.95) AS p95
-        FROM measured WHERE perimeter IS NOT NULL AND NOT isnan(perimeter) GROUP BY image_id""",
+    "p4_perimeter": f"""
+        WITH measured AS (SELECT DISTINCT image_id, cell_id, tool, extracted_at, perimeter FROM features),
+        there AS (SELECT image_id, CAST(extracted_at AS DATE) AS day, perimeter AS x FROM measured WHERE perimeter IS NOT NULL AND NOT isnan(perimeter)),
+        levels AS (SELECT 'image_day' AS level, image_id, day, x FROM there UNION ALL SELECT 'image', image_id, NULL, x FROM there UNION ALL SELECT 'day', NULL, day, x FROM there)
+        SELECT level, image_id, day, count(*) AS n, {", ".join(f"round(quantile_cont(x, 0.{c[1:]}), 9) AS {c}" for c in _OUTER)}
+        FROM levels GROUP BY level, image_id, day""",
 }

@@ -58,8 +58,11 @@ def test_small_groups_set_apart(spark, monkeypatch):
 ROWS = "image_id bigint, day date, tie bigint, a double, b double"
 
 
-@pytest.mark.parametrize("n", [0, 1, 40, 30_000])
-def test_percentiles(spark, n):
+@pytest.mark.parametrize("n,whole", [(0, 65_536), (1, 65_536), (40, 65_536), (30_000, 65_536), (30_000, 500)])
+def test_percentiles(spark, n, whole, monkeypatch):
+    monkeypatch.setattr(percentiles, "WHOLE", whole)
+    monkeypatch.setattr(percentiles, "CHUNK", min(4096, whole // 3))
+    monkeypatch.setattr(percentiles, "PARTITION", 20_000)
     # one group holds most rows and one value most of those
     data = [(int(i), dt.date(2024, 1, 1 + int(d)), k, float(v), None if k % 5 == 0 else float(v) / 2) for k, (i, d, v) in enumerate(zip(rng.choice([1, 1, 1, 2, 3], n), rng.integers(0, 3, n), np.where(rng.random(n) < 0.4, 7, rng.integers(0, 50, n))))]
     if n:
