@@ -195,11 +195,12 @@ def _needed(number: int, s: Source, block: int, seed: int) -> tuple[int, int]:
 def blocks(pieces: DataFrame, sources: list[Source], block: int = BLOCK) -> DataFrame:
     """``source_no, block_index, ids, spans``: ``block`` ids of a source, fewer in its last block.
 
-    The offsets of tasks are joined without a hint: the planner broadcasts them if they are small."""
+    The offsets of tasks are written, so that the planner knows their size: it broadcasts them if
+    they are small, and else exchanges the pieces once more."""
     number = F.create_map(*[x for i, s in enumerate(sources) for x in (F.lit(s.name), F.lit(i))]) if sources else F.create_map(F.lit(""), F.lit(0))
     own = pieces.withColumn("source_no", F.element_at(number, F.col("source"))).where("source_no is not null")
     before = F.sum("n_tokens").over(Window.partitionBy("source_no").orderBy("part")) - F.col("n_tokens")
-    offsets = own.where("piece < 0").select(F.col("source_no").alias("_s"), F.col("part").alias("_p"), before.alias("_before"))
+    offsets = stage(own.where("piece < 0").select(F.col("source_no").alias("_s"), F.col("part").alias("_p"), before.alias("_before")))
     placed = own.where("piece >= 0").join(offsets, (F.col("source_no") == F.col("_s")) & (F.col("part") == F.col("_p")))
     start = F.col("_before") + F.col("piece") * block
     placed = placed.select("source_no", "ids", "spans", F.floor(start / block).alias("block_index"), F.pmod(start, F.lit(block)).cast("int").alias("at"))
