@@ -1,5 +1,8 @@
 """Groups of cells of alike shape, by bisecting k-means and the gaps between its leaves.
 
+Leaves are reported with their sizes and the cells nearest to their centres (``assign_leaves``,
+``describe``); groups are made of leaves.
+
 Cells are points of log10 area (in pixels), circularity, eccentricity and solidity, each
 divided by its standard deviation over all cells. Points are first summed in the cells of
 a fine grid: counts, sums and products, from which any node's moments follow exactly.
@@ -38,6 +41,8 @@ DENSE_SHARE = 2e-5
 #: Largest standard deviation along any direction of a compact leaf, in units of the columns'.
 COMPACT = 0.3
 MAX_LEAVES = 1024
+#: Side of a grid cell, in units of the columns' standard deviations.
+GRID = 0.35
 #: Share of all points below which a leaf joins no two others: it goes to the neighbour it borders on most.
 SMALL_LEAF = 0.002
 #: Points of the fullest grid cell, as a multiple of the background's bound, below which joined leaves that are
@@ -48,7 +53,8 @@ FAR = 45.0
 #: Two leaves adjoin where two neighbouring grid cells of theirs both hold this share of the lower of their peaks.
 VALLEY = 0.2
 MIN_POINTS = 20
-LLOYD_ROUNDS = 6
+#: Rounds of a node's k-means, which ends when its centres stay.
+LLOYD_ROUNDS = 50
 _PAIRS = list(itertools.combinations_with_replacement(range(D), 2))
 _SUMS = [f"s{i}" for i in range(D)] + [f"q{i}{j}" for i, j in _PAIRS]
 
@@ -63,13 +69,14 @@ def shapes(features: DataFrame) -> DataFrame:
 
 @dataclass
 class Groups:
-    """Centres and inverse covariances in scaled coordinates, largest group first."""
+    """Centres and inverse covariances in scaled coordinates, largest group first; the leaves, and of each its group or 0."""
 
     mean: np.ndarray
     scale: np.ndarray
     centres: np.ndarray
     inverses: np.ndarray
-    leaves: int
+    leaves: np.ndarray
+    group_of_leaf: np.ndarray
     rounds: int
 
 
@@ -129,8 +136,7 @@ def find_groups(cells: DataFrame) -> Groups | None:
         return None
     mean = np.array([stats[f"m{i}"] for i in range(D)])
     scale = np.array([stats[f"d{i}"] or 1.0 for i in range(D)])
-    # fewer points need wider cells to leave no gaps within a group
-    width = float(np.clip(0.25 * (1e5 / stats.n) ** 0.125, 0.25, 0.5))
+    width = GRID
     z = [(F.col(c) - float(mean[i])) / float(scale[i]) for i, c in enumerate(SHAPE)]
     points = whole.select(*[F.floor(v / width).cast("int").alias(f"g{i}") for i, v in enumerate(z)], *[v.alias(f"z{i}") for i, v in enumerate(z)])
     grid = points.groupBy(*[f"g{i}" for i in range(D)]).agg(F.count("*").alias("n"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(D)], *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}{j}") for i, j in _PAIRS])
@@ -156,7 +162,7 @@ def find_groups(cells: DataFrame) -> Groups | None:
                 new[r.node][r.side] = np.array([r[f"s{i}"] for i in range(D)]) / r.n
             moved = max(np.abs(new[k][s] - centres[k][s]).max() for k in split for s in (0, 1))
             centres = {k: tuple(v) for k, v in new.items()}
-            if moved < 0.01:
+            if moved < 0.002:
                 break
         halves = {(r.node, r.side) for r in sides}
         for k in split:
@@ -210,9 +216,11 @@ def find_groups(cells: DataFrame) -> Groups | None:
         full = max(peak[k] for k in nodes if root(k) == name)
         if n >= MIN_POINTS and (n >= SMALL_LEAF * stats.n or full >= CROWDED * least):
             # the least variance is that of a grid cell, so that a thin group isn't a point
-            found.append((n, m, np.linalg.inv(c + np.eye(D) * width**2 / 48)))
+            found.append((n, m, np.linalg.inv(c + np.eye(D) * width**2 / 48), name))
     found.sort(key=lambda x: -x[0])
-    return Groups(mean, scale, np.array([x[1] for x in found]).reshape(-1, D), np.array([x[2] for x in found]).reshape(-1, D, D), len(nodes), rounds)
+    number = {x[3]: i + 1 for i, x in enumerate(found)}
+    leaves = sorted(nodes, key=lambda k: (-nodes[k][0], k))
+    return Groups(mean, scale, np.array([x[1] for x in found]).reshape(-1, D), np.array([x[2] for x in found]).reshape(-1, D, D), np.array([nodes[k][1] for k in leaves]).reshape(-1, D), np.array([number.get(root(k), 0) for k in leaves]), rounds)
 
 
 def nearest(z: np.ndarray, groups: Groups) -> tuple[np.ndarray, np.ndarray]:
@@ -247,6 +255,23 @@ def assign(cells: DataFrame, groups: Groups | None) -> DataFrame:
     return cells.withColumn("_g", of(*SHAPE)).select(*cells.columns, "_g.group_id", "_g.distance")
 
 
+def assign_leaves(cells: DataFrame, groups: Groups | None) -> DataFrame:
+    """Cells of which all of SHAPE is known, with ``leaf_id``, the leaf of the nearest centre, its ``distance``, and ``group_id``, the leaf's group."""
+    whole = cells.dropna(subset=SHAPE)
+    if groups is None:
+        return whole.limit(0).withColumns({"leaf_id": F.lit(None).cast("int"), "distance": F.lit(None).cast("double"), "group_id": F.lit(None).cast("int")})
+
+    @F.pandas_udf("leaf_id int, distance double")
+    def of(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        z = (np.column_stack([a, b, c, d]).astype(float) - groups.mean) / groups.scale
+        d2 = np.column_stack([((z - centre) ** 2).sum(axis=1) for centre in groups.leaves])
+        at = d2.argmin(axis=1)
+        return pd.DataFrame({"leaf_id": at.astype(np.int32) + 1, "distance": np.sqrt(d2[np.arange(len(z)), at])})
+
+    rows = whole.withColumn("_l", of(*SHAPE)).select(*cells.columns, "_l.leaf_id", "_l.distance")
+    return rows.withColumn("group_id", F.nullif(F.get(F.array(*[F.lit(int(g)) for g in groups.group_of_leaf]), F.col("leaf_id") - 1), F.lit(0)))
+
+
 def same_group(pairs: DataFrame, cells: DataFrame, groups: Groups | None) -> DataFrame:
     """``pair_id`` of each pair whose cells are of the same group; only cells of pairs are assigned."""
     ends = pairs.select("pair_id", F.explode(F.array(*[F.struct(F.col(f"image_id_{s}").alias("image_id"), F.col(f"cell_id_{s}").alias("cell_id")) for s in "ab"])).alias("c")).select("pair_id", "c.*")
@@ -255,12 +280,13 @@ def same_group(pairs: DataFrame, cells: DataFrame, groups: Groups | None) -> Dat
     return ends.groupBy("pair_id").agg(F.count("*").alias("n"), F.min("group_id").alias("lo"), F.max("group_id").alias("hi")).where("n >= 2 and lo = hi").select("pair_id")
 
 
-def describe(assigned: DataFrame, typical: int = 5) -> DataFrame:
-    """Per group its size, mean shape and, in rows of their own, its most typical cells.
+def describe(assigned: DataFrame, by: str = "group_id", typical: int = 5) -> DataFrame:
+    """Per group or leaf its size, mean shape, root mean square distance from the centre (``spread``) and, in rows of their own, its most typical cells.
 
     The rank filter is applied within each task before rows are exchanged."""
-    grouped = assigned.where("group_id is not null")
-    size = grouped.groupBy("group_id").agg(F.count("*").alias("n_cells"), *[F.avg(c).alias(f"mean_{c}") for c in SHAPE])
-    nearest_first = Window.partitionBy("group_id").orderBy("distance", "image_id", "cell_id")
-    members = grouped.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= typical).select("group_id", "rank", "image_id", "cell_id", "distance")
-    return members.join(F.broadcast(size), "group_id").select("group_id", "n_cells", *[f"mean_{c}" for c in SHAPE], "rank", "image_id", "cell_id", "distance")  # one row for each group
+    also = ["group_id"] if by != "group_id" else []
+    grouped = assigned.where(F.col(by).isNotNull())
+    size = grouped.groupBy(by).agg(F.count("*").alias("n_cells"), F.sqrt(F.avg(F.col("distance") * F.col("distance"))).alias("spread"), *[F.avg(c).alias(f"mean_{c}") for c in SHAPE])
+    nearest_first = Window.partitionBy(by).orderBy("distance", "image_id", "cell_id")
+    members = grouped.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= typical).select(by, *also, "rank", "image_id", "cell_id", "distance")
+    return members.join(F.broadcast(size), by).select(by, *also, "n_cells", "spread", *[f"mean_{c}" for c in SHAPE], "rank", "image_id", "cell_id", "distance")  # at most MAX_LEAVES rows
