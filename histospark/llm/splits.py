@@ -8,7 +8,8 @@ and edges inside a component or parallel to a lesser one are dropped. Each round
 halves the components that still have edges; each round's tables are written to the
 shared folder. The forest's roots are stratified by size band and dealt systematically:
 within a band, in the order of a hash, the middle of a root's records on the scale of the
-band's records decides its split.
+band's records decides its split. Bands are dealt from the largest families down, each making
+up for what the larger ones missed of the shares.
 
 Defined results: references to images that aren't in ``images`` and to an image itself
 relate nothing; placeholders, 0 and empty patient numbers and null sites name no patient;
@@ -70,6 +71,32 @@ def families(forest: Forest) -> DataFrame:
     return own.join(least, F.col("root") == F.col("_root")).where("node <> root_id").select("root_id", F.col("node").alias("image_id"))
 
 
+def _dealt(placed: DataFrame, shares: list[tuple[str, float]]) -> Column:
+    """The split of a family by its band and its place in it, the larger bands first.
+
+    What the families of a band miss of the shares, for a family isn't divided, is made up for in
+    the next: a band's records are shared out in proportion to what the splits still lack of their
+    part of all records."""
+    out = F.lit(None).cast("string")
+    if not shares:
+        return out
+    total = sum(s for _, s in shares)
+    given = dict.fromkeys((name for name, _ in shares), 0)
+    bands = placed.groupBy("_band").agg(F.sum("_n").alias("n")).orderBy(F.desc("_band")).collect()  # at most 63
+    records = sum(band.n for band in bands)
+    for band in bands:
+        lacks = {name: max(0.0, records * share / total - given[name]) for name, share in shares}
+        all_ = sum(lacks.values())
+        split, reached = F.lit(shares[-1][0]), 1.0
+        for (name, _), (after, _) in list(zip(shares, shares[1:]))[::-1]:
+            reached -= lacks[after] / all_
+            split = F.when(F.col("_middle") < reached, F.lit(name)).otherwise(split)
+        for r in placed.where(F.col("_band") == band["_band"]).groupBy(split.alias("split")).agg(F.sum("_n").alias("n")).collect():
+            given[r.split] += r.n
+        out = F.when(F.col("_band") == band["_band"], split).otherwise(out)
+    return out
+
+
 def split_records(records: DataFrame, family: list[str], targets: DataFrame) -> DataFrame:
     """``records`` with ``split_name``; rows that agree in the columns ``family`` stay together.
 
@@ -89,11 +116,8 @@ def split_records(records: DataFrame, family: list[str], targets: DataFrame) ->
     placed = groups.join(F.broadcast(sums), (F.col("_band") == F.col("_b")) & (F.col("_range") == F.col("_r")))
     within = Window.partitionBy("_band", "_range").orderBy("_hash", *keys)
     middle = (F.col("_before") + F.sum("_n").over(within) - F.col("_n") / 2) / F.col("_all")
-    split, reached = F.lit(shares[-1][0] if shares else None).cast("string"), 1.0
-    for (name, _), (_, after) in list(zip(shares, shares[1:]))[::-1]:
-        reached -= after / total
-        split = F.when(F.col("_middle") < reached, F.lit(name)).otherwise(split)
-    placed = placed.withColumn("_middle", middle).select(*keys, split.alias("split_name"))
+    placed = stage(placed.select(*keys, "_band", "_n", middle.alias("_middle")))
+    placed = placed.withColumn("split_name", _dealt(placed, shares)).select(*keys, "split_name")
     same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(family, keys)]
     on = same[0]
     for x in same[1:]:
