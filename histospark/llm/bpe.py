@@ -1,7 +1,8 @@
 """Byte-level BPE of whole corpora with a public vocabulary, in numpy.
 
-The vocabulary is a file of ranks (base64 token, rank); its path is a parameter and
-each Python worker reads it once. Words, as split by ``PATTERN``, are merged in
+The vocabulary is a file of ranks (base64 token, rank); its path is a parameter. The driver
+reads it and sends it along, so executors need no such file; each Python worker builds its
+tables once. Words, as split by ``PATTERN``, are merged in
 length-bucketed padded matrices: in each round every row merges its leftmost pair of
 least rank, pairs being looked up in an open-addressing hash table, and the row is
 compacted. Words are merged once per worker and looked up afterwards; lines that
@@ -24,7 +25,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -51,9 +54,8 @@ _lines = regex.compile(r"\s*+\S(?:[^\n]*\S)?|\s+")
 class Vocabulary:
     """Ranks and the hash table of all pairs whose concatenation is a token."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, text: bytes) -> None:
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in text.splitlines() if line.strip())}
         self.size = max(self.ranks.values()) + 1
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = {}
@@ -206,8 +208,8 @@ class Vocabulary:
 class Encoder:
     """Texts to ids; keeps what it has merged, within bounds."""
 
-    def __init__(self, path: str) -> None:
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, text: bytes) -> None:
+        self.vocabulary = Vocabulary(text)
         self.words: dict[str, bytes] = {}
         self.lines: dict[str, bytes] = {}
 
@@ -249,14 +251,22 @@ class Encoder:
         return flat, np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[int, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def read_vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """The vocabulary's file, some megabytes at most, for the workers."""
+    with open(path, "rb") as f:
+        text = f.read()
+    return spark.sparkContext.broadcast((xxhash.xxh64_intdigest(text), text))
+
+
+def encoder(vocabulary: Broadcast) -> Encoder:
     """This worker's encoder for a vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key, text = vocabulary.value
+    if key not in _encoders:
+        _encoders[key] = Encoder(text)
+    return _encoders[key]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
@@ -278,25 +288,13 @@ def _ranges(piece: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``doc_id, ids`` of every document."""
+    vocabulary = read_vocabulary(documents.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(vocabulary)
         for batch in chunks(batches, 1):
             flat, offsets = coder.encode(batch.column(1).to_pylist())
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, ids array<int>")
-
-
-def count(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``documents`` without ``text``, with the number of its ids as ``n_tokens``; needs ``doc_id, source``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
-        for batch in chunks(batches, 2):
-            _, offsets = coder.encode(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64())], ["doc_id", "source", "n_tokens"])
-
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")

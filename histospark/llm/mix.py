@@ -91,7 +91,7 @@ class _Stream:
 
 def packed(documents: DataFrame, names: list[str], path: str = bpe.VOCABULARY, block: int = BLOCK) -> DataFrame:
     """Ids of the documents of ``names`` in pieces of ``block`` (_PACKED), written; others are counted only."""
-    wanted = frozenset(names)
+    wanted, vocabulary = frozenset(names), bpe.read_vocabulary(documents.sparkSession, path)
     columns = [x.split()[0] for x in _PACKED.split(f" {_SPANS}")[0].split(", ")]
 
     def table(part: int, rows: list[tuple]) -> pa.RecordBatch:
@@ -121,7 +121,7 @@ def packed(documents: DataFrame, names: list[str], path: str = bpe.VOCABULARY, b
         s.ids, s.held, s.spans = [flat[upto:]], s.held - upto, s.spans[k:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, streams, part = bpe.encoder(path), {}, 0
+        coder, streams, part = bpe.encoder(vocabulary), {}, 0
         for batch in bpe.chunks(batches, 3):
             part = batch.column(0)[0].as_py()
             flat, offsets = coder.encode(batch.column(3).to_pylist())
