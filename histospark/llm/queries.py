@@ -38,6 +38,12 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.describe(clusters.assign(cells, clusters.find_groups(cells)))
 
 
+def p3_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf's group, size, spread and centre-nearest cells."""
+    cells = _cells(spark, sf_dir)
+    return clusters.describe(clusters.assign_leaves(cells, clusters.find_groups(cells)), "leaf_id")
+
+
 def _related(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return load(spark, sf_dir, "images"), load(spark, sf_dir, "masks"), load(spark, sf_dir, "annotation_tasks")
 
@@ -129,7 +135,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_subset, p1_coverage, p3_found, p3_cells, p3_groups, p4_percentiles, p4_combined, p4_perimeter, p5_found, p5_forest, p5_splits, p6_ids, p7_mix, p7_shares, p8_found, p8_judged)
+    for f in (p1_subset, p1_coverage, p3_found, p3_cells, p3_groups, p3_leaves, p4_percentiles, p4_combined, p4_perimeter, p5_found, p5_forest, p5_splits, p6_ids, p7_mix, p7_shares, p8_found, p8_judged)
 }
 _OUTER = ("p05", "p25", "p50", "p75", "p95")
 SQL = {

@@ -35,7 +35,7 @@ def test_groups(spark):
     assert sum(out[50, i] is not None for i in range(8)) <= 1
     pairs = spark.createDataFrame([(1, 0, 1, 0, 2), (2, 0, 1, 1, 1), (3, 0, 1, 60, 2), (4, 0, 1, 999, 1), (1, 0, 1, 0, 2)], "pair_id bigint, image_id_a bigint, cell_id_a int, image_id_b bigint, cell_id_b int")
     assert [r.pair_id for r in clusters.same_group(pairs, cells, groups).collect()] == [1]
-    d = clusters.describe(clusters.assign(cells, groups), 3).collect()
+    d = clusters.describe(clusters.assign(cells, groups), typical=3).collect()
     assert len(d) == 12 and {r.group_id: r.n_cells for r in d}[1] >= 890
     few = clusters.find_groups(cells.limit(5))
     assert few is None and clusters.assign(cells, few).where("group_id is not null").count() == 0
@@ -218,3 +218,8 @@ def test_splits(spark):
     shares = {r.split_name: r["count"] / 4000 for r in splits.split_records(many, ["family"], targets).groupBy("split_name").count().collect()}
     assert abs(shares["train"] - 0.8) < 0.03 and abs(shares["test"] - 0.1) < 0.02
     assert splits.split_records(many.limit(0), ["family"], targets).count() == 0
+    # large families miss the shares, small ones make up for them
+    sizes = [300, 200, 90, 60, 40, 33, *[3] * 80, *[1] * 300]
+    mixed = spark.createDataFrame([(f, None) for f, n in enumerate(sizes) for _ in range(n)], "family bigint, split_name_old string")
+    shares = {r.split_name: r["count"] / sum(sizes) for r in splits.split_records(mixed, ["family"], targets).groupBy("split_name").count().collect()}
+    assert abs(shares["train"] - 0.8) < 0.005 and abs(shares["test"] - 0.1) < 0.005 and abs(shares["validation"] - 0.1) < 0.005
