@@ -5,39 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histospark.operators import tiles
 from histospark.operators.forest import spanning_forest
 from histospark.operators.stencil import along_col, along_row
-from histospark.runtime import stage, stage_observed
-
-#: Columns of a strip; runs of neighbouring rows are compared within a strip only.
-STRIP = 64
-
+from histospark.runtime import stage_observed
 
 def pixel_order() -> Column:
     """Place of a pixel in the scan by rows, from 0."""
     return (F.col("row") - 1).cast("bigint") * F.col("n_cols") + F.col("col") - 1
 
 
-def runs(on: DataFrame) -> DataFrame:
-    """Maximal runs of neighbouring pixels of a row, ``c0`` to ``c1``; ``on`` is sparse.
-
-    A run's ``node`` is its image and the place of its first pixel in the scan."""
-    island = F.col("col") - F.row_number().over(Window.partitionBy("image_id", "row").orderBy("col"))
-    r = on.select("image_id", "n_rows", "n_cols", "row", "col", island.alias("_i")).groupBy("image_id", "n_rows", "n_cols", "row", "_i").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-    node = F.struct("image_id", ((F.col("row") - 1).cast("bigint") * F.col("n_cols") + F.col("c0") - 1).alias("at"))
-    return r.drop("_i").withColumn("node", node)
-
-
 def _component_runs(on: DataFrame) -> DataFrame:
-    """Runs with ``first``, the least node of their component."""
-    r = stage(runs(on))
-    strips = r.withColumn("strip", F.explode(F.sequence(F.floor(F.col("c0") / STRIP), F.floor(F.col("c1") / STRIP))))
-    above = strips.select("image_id", (F.col("row") + 1).alias("row"), "strip", F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("node").alias("a"))
-    pairs = strips.join(above, ["image_id", "row", "strip"]).where("a0 <= c1 and a1 >= c0").where(F.floor(F.greatest("a0", "c0") / STRIP) == F.col("strip"))
-    roots = spanning_forest(pairs.select("a", F.col("node").alias("b"))).roots
-    first = roots.groupBy(F.col("root").alias("_root")).agg(F.min("node").alias("first"))
-    named = roots.join(first, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "first")
-    return r.join(named, F.col("node") == F.col("_node"), "left").withColumn("first", F.coalesce("first", "node")).drop("_node")
+    """Runs within tiles, with ``first``, the least place in the scan of their component.
+
+    Tiles are labelled on their own. Only runs that meet across the border of two tiles become
+    edges, between the tiles' parts of components, and these are contracted."""
+    right, below = (F.col("c1") % tiles.TILE == 0) & (F.col("c1") < F.col("n_cols")), (F.col("row") % tiles.TILE == 0) & (F.col("row") < F.col("n_rows"))
+    r, seen = stage_observed(tiles.component_runs(on), cross=F.count_if(right | below))
+    if not seen["cross"]:
+        return r
+    part = F.struct("image_id", "first")
+    here = r.select("image_id", "row", "tc", "c0", "c1", part.alias("a"), right.alias("_right"), below.alias("_below"))
+    there = r.select("image_id", "row", "tc", F.col("c0").alias("b0"), F.col("c1").alias("b1"), part.alias("b"))
+    down = here.where("_below").withColumn("row", F.col("row") + 1).join(there, ["image_id", "row", "tc"]).where("b0 <= c1 and b1 >= c0")
+    along = here.where("_right").withColumn("tc", F.col("tc") + 1).join(there, ["image_id", "row", "tc"]).where("b0 = c1 + 1")
+    edges = down.select("a", "b").unionByName(along.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = spanning_forest(edges).roots
+    least = roots.groupBy(F.col("root").alias("_root")).agg(F.min("node.first").alias("_least"))
+    named = roots.join(least, F.col("root") == F.col("_root")).select(F.col("node.image_id").alias("_i"), F.col("node.first").alias("_f"), "_least")
+    return r.join(named, (F.col("image_id") == F.col("_i")) & (F.col("first") == F.col("_f")), "left").withColumn("first", F.coalesce("_least", "first")).drop("_i", "_f", "_least")
 
 
 def _pixels_of(r: DataFrame, *columns: str) -> DataFrame:
@@ -47,8 +43,7 @@ def _pixels_of(r: DataFrame, *columns: str) -> DataFrame:
 def components(on: DataFrame) -> DataFrame:
     """Labels of the 4-connected components of the pixels of ``on`` (sparse).
 
-    Labels count from 1 in the order in which a scan by rows meets the components. Rows are
-    reduced to runs, runs of neighbouring rows become edges, and these are contracted."""
+    Labels count from 1 in the order in which a scan by rows meets the components."""
     r = _component_runs(on)
     ranks = r.select("image_id", "first").distinct().withColumn("label", F.row_number().over(Window.partitionBy("image_id").orderBy("first")))
     return _pixels_of(r.join(ranks, ["image_id", "first"]), "label")
@@ -59,8 +54,8 @@ def fill_holes(df: DataFrame) -> DataFrame:
     cut = ["image_id", "n_rows", "n_cols", "row", "col"]
     off = _component_runs(df.where("on = 0").select(*cut))
     outside = (F.col("row") == 1) | (F.col("row") == F.col("n_rows")) | (F.col("c0") == 1) | (F.col("c1") == F.col("n_cols"))
-    holes = off.groupBy(F.col("first").alias("_first")).agg(F.max(outside).alias("outside")).where("not outside")
-    filled = _pixels_of(off.join(holes, F.col("first") == F.col("_first"), "left_semi"))
+    holes = off.groupBy("image_id", "first").agg(F.max(outside).alias("outside")).where("not outside")
+    filled = _pixels_of(off.join(holes, ["image_id", "first"], "left_semi"))
     return df.where("on = 1").select(*cut).unionByName(filled)
 
 
@@ -99,37 +94,16 @@ def grow(labels: DataFrame, steps: int | None, allowed: DataFrame | None = None)
 
     A pixel takes the most frequent label among its labelled neighbours, of several the least.
     ``allowed`` (``image_id, row, col``) holds the pixels that may be taken; ``steps`` None means
-    as many rounds as the longer side of the largest image. A pixel's labelled neighbours all
-    joined in the last round, for else it would have joined before; so a round looks only at
-    the last round's pixels, and new ones are new if they are in neither of the last two."""
-    at = ["image_id", "row", "col"]
-    columns = ["image_id", "n_rows", "n_cols", "row", "col", "label"]
-    labels = stage(labels.select(*columns))
-    if steps is None:
-        steps = labels.agg(F.max(F.greatest("n_rows", "n_cols"))).first()[0] or 0
-    if allowed is not None:
-        allowed = stage(allowed.select(*at))
-    layers, before, front = [labels], None, labels
-    for _ in range(steps):
-        moves = F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr, dc in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
-        near = front.select("image_id", "n_rows", "n_cols", "label", moves.alias("p")).select("image_id", "n_rows", "n_cols", "label", "p.row", "p.col")
-        near = near.where("row between 1 and n_rows and col between 1 and n_cols")
-        votes = F.collect_list("label")  # at most four
-        chosen = F.array_min(F.transform(F.col("_votes"), lambda x: F.struct((-F.size(F.filter("_votes", lambda y: y == x))).alias("n"), x.alias("label"))))["label"]
-        new = near.groupBy("image_id", "n_rows", "n_cols", "row", "col").agg(votes.alias("_votes")).withColumn("label", chosen).select(*columns)
-        taken = front.select(*at) if before is None else front.select(*at).unionByName(before.select(*at))
-        new = new.join(taken, at, "left_anti")
-        if allowed is not None:
-            new = new.join(allowed, at, "left_semi")
-        new, seen = stage_observed(new, n=F.count("*"))
-        if not seen["n"]:
-            break
-        layers.append(new)
-        before, front = front, new
-    out = layers[0]
-    for layer in layers[1:]:
-        out = out.unionByName(layer)
-    return out
+    as many rounds as the longer side of the image. Images of one tile are grown at once; the
+    tiles of others exchange their margins every ``tiles.HALO`` rounds, until none changes."""
+    rounds = F.greatest("n_rows", "n_cols") if steps is None else F.lit(steps)
+    labels = labels.select("image_id", "n_rows", "n_cols", "row", "col", "label")
+    state, seen = stage_observed(tiles.blocks(labels, rounds, allowed), left=F.count_if(F.col("changed") & (F.col("rounds") > 0)))
+    while seen["left"]:
+        # tiles of images that are done keep their state
+        rest = state.where("rounds = 0")
+        state, seen = stage_observed(tiles.grown(state.where("rounds > 0")).unionByName(rest.withColumn("changed", F.lit(False))), left=F.count_if(F.col("changed") & (F.col("rounds") > 0)))
+    return tiles.labelled(state)
 
 
 def relabel(labels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from histospark.functions import rasterfiles
-from histospark.operators import annotate, backends, evaluate, intensity, labeling, masks, measure, models, resample, segment, stencil
+from histospark.operators import annotate, backends, evaluate, intensity, labeling, masks, measure, models, resample, segment, stencil, tiles
 from histospark.sources import images as files
 from histospark.sources.scene import labels_from_arrays, mask_summary, pixels_from_arrays
 
@@ -320,3 +320,37 @@ def test_image_isolation(spark):
     among = labeling.components(binary(spark, {3: a, 4: 1 - a, 9: a}).where("on = 1"))
     assert (dense(alone, 3, a.shape) == dense(among, 3, a.shape)).all()
     assert (dense(among, 9, a.shape) == dense(among, 3, a.shape)).all()
+
+
+def test_tiles_agree_with_whole_images(spark):
+    """Components and growth of images of several tiles, against the same on the whole array."""
+    rng = np.random.default_rng(8)
+    h, w = tiles.TILE * 2 + 9, tiles.TILE + 70
+    on = rng.random((h, w)) < 0.02
+    on[:, 300] = on[5, :] = on[tiles.TILE - 1 : tiles.TILE + 1, :200] = True
+    on[40:900, tiles.TILE] = on[1000, 10:580] = True
+    labels = labels_from_arrays(spark, {3: on.astype(int), 4: np.eye(5)})
+    got = labeling.components(labels).toPandas()
+    row, c0, c1 = tiles.runs_of(*(x.astype(np.int64) for x in np.nonzero(on)))
+    first = tiles.connected(row, c0, c1)
+    want = np.zeros((h, w), int)
+    for r, a, b, k in zip(row, c0, c1, np.unique(first, return_inverse=True)[1]):
+        want[r, a : b + 1] = k + 1
+    out = np.zeros((h, w), int)
+    big = got[got.image_id == 3]
+    out[big.row - 1, big.col - 1] = big.label
+    assert (out == want).all() and len(got[got.image_id == 4]) == 5
+    seeds = np.zeros((h, w), np.int32)
+    seeds[rng.integers(0, h, 12), rng.integers(0, w, 12)] = np.arange(1, 13)
+    free = rng.random((h, w)) < 0.8
+    marks, mask = labels_from_arrays(spark, {3: seeds}), labels_from_arrays(spark, {3: free.astype(int), 9: np.ones((3, 3))})
+    whole = np.where(seeds > 0, seeds, np.where(free, 0, -1)).astype(np.int32)
+    for steps in (tiles.HALO * 2 + 5, None):
+        grown = labeling.grow(marks, steps, mask).toPandas()
+        out = np.full((h, w), 0, np.int32)
+        out[grown.row - 1, grown.col - 1] = grown.label
+        assert (out == np.maximum(tiles.spread(whole, steps or h), 0)).all() and set(grown.image_id) == {3}
+    dense = pixels_from_arrays(spark, {3: on.astype(float)}).withColumn("on", F.col("value").cast("int")).drop("value", "channel")
+    opened = stencil.opening(dense, 3).where("on = 1").count()
+    ring = tiles.inside((h, w), 0, 0, h, w, 1)
+    assert opened == np.where(ring, tiles.extreme(np.where(ring, tiles.extreme(on.astype(int), 1, False), 0), 1, True), 0).sum()
