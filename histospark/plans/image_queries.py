@@ -116,8 +116,9 @@ def optical_density(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {S.SHAPES}, kept AS (
   SELECT image_id, label FROM cell_shape WHERE area BETWEEN 50 AND 5000 AND coalesce(circularity >= 0.3, true) AND coalesce(eccentricity <= 0.95, true)
-    AND (image_id, label) NOT IN (SELECT (image_id, label) FROM cell_px WHERE r IN (1, 64) OR c IN (1, 64))),
-renamed AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY label) AS INTEGER) AS new FROM kept)
+),
+inner_ AS (SELECT image_id, label FROM cell_px GROUP BY ALL HAVING min(r) > 1 AND max(r) < 64 AND min(c) > 1 AND max(c) < 64),
+renamed AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY label) AS INTEGER) AS new FROM kept SEMI JOIN inner_ USING (image_id, label))
 SELECT p.image_id, r AS "row", c AS "col", new AS label FROM cell_px p JOIN renamed USING (image_id, label)""")
 def filter_cells(spark: SparkSession, d: str) -> DataFrame:
     return masks.filter_cells(_labels(spark, d), "remove", min_area=50, max_area=5000, min_circularity=0.3, max_eccentricity=0.95).select(*AT, "label")
@@ -337,22 +338,29 @@ def grow_3(spark: SparkSession, d: str) -> DataFrame:
     return labeling.grow(_labels(spark, d), 3).select(*AT, "label")
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.SCENE}, {_SOLID_SQL}, {S.seeds("solid", "found", 0.9)} SELECT image_id, r AS "row", c AS "col", label FROM found""")
 def seeds(spark: SparkSession, d: str) -> DataFrame:
     return labeling.seeds(_dense(spark, d, F.col("label") > 0), 0.9).select(*AT, "label")
 
 
-@query()
+_OTSU_SQL = f"{S.SCENE}, {S.HISTOGRAM}, {S.OTSU}, bright AS MATERIALIZED (SELECT px.image_id, r, c, CAST(v / 1000.0 > threshold AS INTEGER) AS v FROM px JOIN otsu USING (image_id) WHERE ch = 1)"
+
+
+@query(f"""WITH RECURSIVE {_OTSU_SQL}, {S.opened("bright", "opened")}, {S.filled("opened", "full_")}, {S.components("full_", "parts")},
+kept AS (SELECT image_id, label, CAST(row_number() OVER (PARTITION BY image_id ORDER BY label) AS INTEGER) AS new FROM parts GROUP BY image_id, label HAVING count(*) BETWEEN 20 AND 5000)
+SELECT p.image_id, r AS "row", c AS "col", new AS label FROM parts p JOIN kept USING (image_id, label)""")
 def threshold_mask(spark: SparkSession, d: str) -> DataFrame:
     return segment.threshold(_pixels(spark, d), min_area=20).select(*AT, "label")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_OTSU_SQL}, {S.seeds("bright", "found", 0.95)}, {S.grown("found", "spread", 64 + 3)} SELECT image_id, r AS "row", c AS "col", label FROM spread""")
 def watershed_mask(spark: SparkSession, d: str) -> DataFrame:
     return segment.watershed(_pixels(spark, d), h=0.95).select(*AT, "label")
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.SCENE}, {S.PRED_PX}, limits AS (SELECT image_id, quantile_cont(v / 1000.0, 0.9) AS q FROM px WHERE ch = 1 GROUP BY image_id),
+dark AS MATERIALIZED (SELECT px.image_id, r, c FROM px JOIN limits USING (image_id) WHERE ch = 1 AND v / 1000.0 < q), {S.grown("pred_px", "spread", 5, "dark")}
+SELECT image_id, r AS "row", c AS "col", label FROM spread""")
 def propagated(spark: SparkSession, d: str) -> DataFrame:
     return segment.propagate(_predicted(spark, d), _pixels(spark, d), expand_max=5).select(*AT, "label")
 
@@ -438,7 +446,7 @@ def merge_assign(spark: SparkSession, d: str) -> DataFrame:
     return masks.merge_assign(_predicted(spark, d), _labels(spark, d)).select(*AT, "label")
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.BOTH}, {S.grown("pred_px", "spread", 64, "cell_px")} SELECT image_id, r AS "row", c AS "col", label FROM spread""")
 def merge_expand(spark: SparkSession, d: str) -> DataFrame:
     return masks.merge_expand(_predicted(spark, d), _labels(spark, d)).select(*AT, "label")
 
@@ -470,7 +478,11 @@ def corrections_add(spark: SparkSession, d: str) -> DataFrame:
     return masks.apply_corrections(_labels(spark, d), _corrections(_images(spark, d), ["add"])).select(*AT, "label")
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.LABELS}, {S.IMAGES}, kept AS (SELECT * FROM cell_px WHERE label <> 3), top AS (SELECT image_id, max(label) AS top FROM kept GROUP BY image_id),
+marks AS (SELECT image_id, r, c, CAST(top + s AS INTEGER) AS label FROM imgs JOIN top USING (image_id), (VALUES (20, 20, 1), (40, 40, 2)) AS t(r, c, s)),
+within AS (SELECT image_id, r, c FROM kept WHERE label = 4), {S.grown("marks", "painted", 64, "within")},
+m AS (SELECT image_id, r, c, label FROM (SELECT * FROM kept WHERE label <> 4) ANTI JOIN painted USING (image_id, r, c) UNION ALL SELECT image_id, r, c, label FROM painted)
+SELECT image_id, r AS "row", c AS "col", CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY CASE label WHEN 2 THEN 1 ELSE label END) AS INTEGER) AS label FROM m""")
 def corrections_split(spark: SparkSession, d: str) -> DataFrame:
     return masks.apply_corrections(_labels(spark, d), _corrections(_images(spark, d), ["delete", "split", "merge"])).select(*AT, "label")
 

@@ -34,14 +34,13 @@ LABELS = f"{CELLS}, {CELL_PX}"
 BOTH = f"{LABELS}, {PRED_PX}"
 SCENE = f"{LABELS}, {IMAGES}, {GRID}, {PX}"
 #: Labelled pixels that are on the image's edge or beside another label or none.
-BORDER = """edge_px AS (
-  SELECT p.*, p.r IN (1, 64) OR p.c IN (1, 64)
-         OR u.label IS DISTINCT FROM p.label OR d.label IS DISTINCT FROM p.label OR l.label IS DISTINCT FROM p.label OR w.label IS DISTINCT FROM p.label AS is_border
-  FROM cell_px p
-  LEFT JOIN cell_px u ON u.image_id = p.image_id AND u.r = p.r - 1 AND u.c = p.c
-  LEFT JOIN cell_px d ON d.image_id = p.image_id AND d.r = p.r + 1 AND d.c = p.c
-  LEFT JOIN cell_px l ON l.image_id = p.image_id AND l.r = p.r AND l.c = p.c - 1
-  LEFT JOIN cell_px w ON w.image_id = p.image_id AND w.r = p.r AND w.c = p.c + 1)"""
+BORDER = """beside AS (
+  SELECT *, lag(label) OVER a AS l1, lag(c) OVER a AS c1, lead(label) OVER a AS l2, lead(c) OVER a AS c2, lag(label) OVER d AS l3, lag(r) OVER d AS r3, lead(label) OVER d AS l4, lead(r) OVER d AS r4
+  FROM cell_px WINDOW a AS (PARTITION BY image_id, r ORDER BY c), d AS (PARTITION BY image_id, c ORDER BY r)),
+edge_px AS (
+  SELECT image_id, r, c, label,
+         NOT (coalesce(c1 = c - 1 AND l1 = label, false) AND coalesce(c2 = c + 1 AND l2 = label, false) AND coalesce(r3 = r - 1 AND l3 = label, false) AND coalesce(r4 = r + 1 AND l4 = label, false)) AS is_border
+  FROM beside)"""
 SHAPE = """shape AS (
   SELECT image_id, label, count(*) AS area, CAST(sum(CAST(is_border AS INTEGER)) AS DOUBLE) AS perimeter,
          CAST(count(*) AS DOUBLE) AS n, CAST(sum(r) AS DOUBLE) AS sr, CAST(sum(c) AS DOUBLE) AS sc, CAST(sum(r * r) AS DOUBLE) AS srr, CAST(sum(c * c) AS DOUBLE) AS scc, CAST(sum(r * c) AS DOUBLE) AS src,
@@ -93,3 +92,60 @@ def stencil(source: str, value: str, half: int, how: str) -> str:
     """The square aggregate around each pixel of ``source`` by a plain range self-join, one axis after the other."""
     return f"""along AS (SELECT image_id, r, c, {how}({value}) OVER (PARTITION BY image_id, r ORDER BY c RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS x FROM {source}),
 square AS (SELECT image_id, r, c, {how}(x) OVER (PARTITION BY image_id, c ORDER BY r RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS x FROM along)"""
+
+
+def components(source: str, out: str) -> str:
+    """4-connected components of the pixels of ``source`` by a recursion over runs; needs WITH RECURSIVE."""
+    p = f"{out}_"
+    return f"""{p}lone AS (SELECT image_id, r, c, c - row_number() OVER (PARTITION BY image_id, r ORDER BY c) AS i FROM {source}),
+{p}runs AS MATERIALIZED (SELECT image_id, r, min(c) AS a, max(c) AS b, (r - 1) * 64 + min(c) - 1 AS node FROM {p}lone GROUP BY image_id, r, i),
+{p}near AS MATERIALIZED (SELECT x.image_id, x.node AS u, y.node AS v FROM {p}runs x JOIN {p}runs y ON x.image_id = y.image_id AND abs(x.r - y.r) = 1 AND x.a <= y.b AND x.b >= y.a),
+{p}reach AS (SELECT image_id, node, node AS root FROM {p}runs UNION SELECT n.image_id, n.v, g.root FROM {p}reach g JOIN {p}near n ON n.image_id = g.image_id AND n.u = g.node WHERE g.root < n.v),
+{p}roots AS (SELECT image_id, node, min(root) AS root FROM {p}reach GROUP BY image_id, node),
+{p}named AS (SELECT image_id, node, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS INTEGER) AS label FROM {p}roots),
+{out} AS MATERIALIZED (SELECT s.image_id, s.r, s.c, n.label FROM {p}runs u JOIN {p}named n USING (image_id, node) JOIN {source} s ON s.image_id = u.image_id AND s.r = u.r AND s.c BETWEEN a AND b)"""
+
+
+def filled(source: str, out: str) -> str:
+    """Pixels of the dense ``source`` (``v``) that are on or can't be reached from the edge; needs WITH RECURSIVE."""
+    return f"""{out}_off AS MATERIALIZED (SELECT image_id, r, c FROM {source} WHERE v = 0),
+{out}_outside AS (SELECT image_id, r, c FROM {out}_off WHERE r IN (1, 64) OR c IN (1, 64)
+  UNION SELECT o.image_id, o.r, o.c FROM (SELECT image_id, r + dr AS r, c + dc AS c FROM {out}_outside, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS t(dr, dc)) s JOIN {out}_off o USING (image_id, r, c)),
+{out} AS MATERIALIZED (SELECT image_id, r, c FROM {source} ANTI JOIN {out}_outside USING (image_id, r, c))"""
+
+
+def grown(source: str, out: str, rounds: int, allowed: str | None = None) -> str:
+    """``source`` grown for ``rounds`` by a recursion that carries the pixels of the last two rounds; needs WITH RECURSIVE.
+
+    A new pixel's labelled neighbours joined in the last round, and so it is new if it isn't of the last two."""
+    only = f"SEMI JOIN {allowed} USING (image_id, r, c)" if allowed else ""
+    return f"""{out}_all AS (
+  SELECT image_id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, label, 0 AS k, 0 AS age FROM {source}
+  UNION ALL
+  SELECT * FROM (
+    SELECT image_id, r, c, label, k, 0 FROM (
+      SELECT *, row_number() OVER (PARTITION BY image_id, r, c ORDER BY n DESC, label) AS place FROM (
+        SELECT image_id, CAST(r + dr AS INTEGER) AS r, CAST(c + dc AS INTEGER) AS c, label, k + 1 AS k, count(*) AS n
+        FROM {out}_all, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS t(dr, dc)
+        WHERE age = 0 AND k < {rounds} AND r + dr BETWEEN 1 AND 64 AND c + dc BETWEEN 1 AND 64 GROUP BY ALL) ANTI JOIN {out}_all USING (image_id, r, c) {only}) WHERE place = 1
+    UNION ALL SELECT image_id, r, c, label, k, 1 FROM {out}_all WHERE age = 0)),
+{out} AS MATERIALIZED (SELECT image_id, r, c, label FROM {out}_all WHERE age = 0)"""
+
+
+def opened(source: str, out: str) -> str:
+    """``v`` of the dense ``source`` after an opening of 5 pixels."""
+    second = stencil("eroded", "v", 2, "max").replace("along", "along2").replace("square", "square2")
+    return f"""{stencil(source, "v", 2, "min")}, eroded AS (SELECT image_id, r, c, CASE WHEN r > 2 AND r <= 62 AND c > 2 AND c <= 62 THEN x ELSE 0 END AS v FROM square),
+{second}, {out} AS MATERIALIZED (SELECT image_id, r, c, CASE WHEN r > 2 AND r <= 62 AND c > 2 AND c <= 62 THEN x ELSE 0 END AS v FROM square2)"""
+
+
+def distances(source: str, out: str) -> str:
+    """L1 distance ``d`` of each pixel of the dense ``source`` to the nearest that is on."""
+    return f"""{out}_v AS (SELECT image_id, r, c, least(r - max(CASE WHEN v = 1 THEN r END) OVER (PARTITION BY image_id, c ORDER BY r), min(CASE WHEN v = 1 THEN r END) OVER (PARTITION BY image_id, c ORDER BY r DESC) - r) AS up FROM {source}),
+{out} AS MATERIALIZED (SELECT a.image_id, a.r, a.c, CAST(min(b.up + abs(a.c - b.c)) AS INTEGER) AS d FROM {out}_v a JOIN {out}_v b ON a.image_id = b.image_id AND a.r = b.r GROUP BY ALL)"""
+
+
+def seeds(source: str, out: str, h: float) -> str:
+    """Components of the pixels of ``source`` whose turned distance exceeds ``h`` of the greatest; needs WITH RECURSIVE."""
+    return f"""{distances(source, f"{out}_d")}, {out}_close AS MATERIALIZED (SELECT image_id, r, c FROM (SELECT *, max(d) OVER (PARTITION BY image_id) + 1 AS far FROM {out}_d) WHERE far - d > far * {h}),
+{components(f"{out}_close", out)}"""
