@@ -1,4 +1,4 @@
-"""Raster files by the standard library: PNM, PNG and plain TIFF, to and from arrays.
+"""Raster files by the standard library: PNM, PNG and TIFF, to and from arrays.
 
 Arrays are rows by columns by channels; values are scaled to 0..1 by the file's depth."""
 
@@ -51,43 +51,108 @@ def _png(data: bytes) -> np.ndarray:
         elif kind == b"IDAT":
             packed.append(body)
         at += size + 12
-    if laced or depth not in (8, 16):
-        raise ValueError("only PNG files of 8 or 16 bits without interlacing can be read")
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    step = channels * depth // 8
-    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * step)
-    out = np.zeros((height, width * step), np.uint8)
-    before = np.zeros(width * step, np.int32)
-    for i in range(height):
-        kind, line = int(raw[i, 0]), raw[i, 1:].astype(np.int32)
+    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    out, at = np.zeros((height, width, channels), float), 0
+    for r0, c0, dr, dc in _LACES if laced else ((0, 0, 1, 1),):
+        h, w = max(0, -(-(height - r0) // dr)), max(0, -(-(width - c0) // dc))
+        if h and w:
+            line = -(-w * channels * depth // 8)
+            out[r0::dr, c0::dc] = _samples(_unfiltered(raw[at : at + h * (line + 1)].reshape(h, line + 1), max(1, channels * depth // 8)), w * channels, depth).reshape(h, w, channels)
+            at += h * (line + 1)
+    if colour == 3:
+        return palette[out[..., 0].astype(int)] / 255.0
+    return out / (2**depth - 1)
+
+
+#: First row and column and steps of the passes of an interlaced PNG.
+_LACES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
+
+def _samples(lines: np.ndarray, n: int, depth: int) -> np.ndarray:
+    """The first ``n`` samples of each line of packed bytes."""
+    if depth == 16:
+        return np.ascontiguousarray(lines).view(">u2")[:, :n]
+    if depth == 8:
+        return lines[:, :n]
+    parts = [(lines >> k) & (2**depth - 1) for k in range(8 - depth, -1, -depth)]
+    return np.stack(parts, axis=-1).reshape(len(lines), -1)[:, :n]
+
+
+def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
+    """Lines of a PNG without their filters. Sums run over whole lines; only the two filters that look left and up go pixel by pixel."""
+    size = raw.shape[1] - 1
+    out = np.zeros((len(raw), size), np.uint8)
+    before = np.zeros(size, np.uint8)
+    for i, (kind, line) in enumerate(zip(raw[:, 0].tolist(), raw[:, 1:])):
         if kind == 1:
-            line = np.cumsum(line.reshape(-1, step), axis=0).ravel()
+            wide = np.zeros(-(-size // step) * step, np.uint8)
+            wide[:size] = line
+            line = np.cumsum(wide.reshape(-1, step), axis=0, dtype=np.uint8).ravel()[:size]
         elif kind == 2:
             line = line + before
         elif kind in (3, 4):
-            for j in range(len(line)):
-                a, b = (line[j - step] if j >= step else 0), before[j]
+            left, up, now = [0] * step + line.tolist(), [0] * step + before.tolist(), line.tolist()
+            for j, x in enumerate(now):
+                a, b = left[j], up[j + step]
                 if kind == 3:
-                    guess = (a + b) // 2
+                    guess = (a + b) >> 1
                 else:
-                    c = before[j - step] if j >= step else 0
+                    c = up[j]
                     pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
                     guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                line[j] = (line[j] + guess) & 255
-        before = line & 255
-        out[i] = before
-    a = out.view(">u2") if depth == 16 else out
-    a = a.reshape(height, width, channels).astype(float)
-    if colour == 3:
-        return palette[a[..., 0].astype(int)] / 255.0
-    return a / (2**depth - 1)
+                left[j + step] = (x + guess) & 255
+            line = np.array(left[step:], np.uint8)
+        out[i] = before = line
+    return out
 
 
 _TIFF_SIZE = {1: 1, 2: 1, 3: 2, 4: 4}
 
 
+def _packbits(data: bytes) -> bytes:
+    out, i = bytearray(), 0
+    while i < len(data):
+        n = data[i]
+        if n < 128:
+            out += data[i + 1 : i + 2 + n]
+            i += n + 2
+        else:
+            if n > 128:
+                out += data[i + 1 : i + 2] * (257 - n)
+            i += 2
+    return bytes(out)
+
+
+def _lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, the first bit first; 256 clears the table, 257 ends."""
+    table, out, last, held, bits, wide = [], bytearray(), b"", 0, 0, 9
+    for byte in data:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < wide:
+            continue
+        bits -= wide
+        code = held >> bits
+        held &= (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, last, wide = [bytes([i]) for i in range(256)] + [b"", b""], b"", 9
+            continue
+        word = table[code] if code < len(table) else last + last[:1]
+        out += word
+        if last:
+            table.append(last + word[:1])
+        last, wide = word, min(12, max(9, (len(table) + 1).bit_length()))
+    return bytes(out)
+
+
+#: TIFF's numbers of compressions.
+_UNPACK = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}
+
+
 def _tiff(data: bytes) -> np.ndarray:
-    """First page of an uncompressed TIFF of 8, 16 or 32 bits in strips."""
+    """First page of a TIFF of 8, 16 or 32 bits in strips or tiles, plain or compressed by LZW, Deflate or PackBits."""
     e = "<" if data[:2] == b"II" else ">"
     at = struct.unpack(e + "I", data[4:8])[0]
     tags = {}
@@ -97,13 +162,26 @@ def _tiff(data: bytes) -> np.ndarray:
             size = _TIFF_SIZE[kind] * n
             where = at + 10 + 12 * i if size <= 4 else struct.unpack(e + "I", data[at + 10 + 12 * i : at + 14 + 12 * i])[0]
             tags[tag] = np.frombuffer(data[where : where + size], e + {1: "u1", 2: "u1", 3: "u2", 4: "u4"}[kind]).tolist()
-    if tags.get(259, [1]) != [1] or tags.get(284, [1]) != [1]:
-        raise ValueError("only TIFF files without compression, channels together, can be read")
+    packing, predictor = tags.get(259, [1])[0], tags.get(317, [1])[0]
+    if packing not in _UNPACK or tags.get(284, [1]) != [1] or predictor > 2:
+        raise ValueError("this TIFF's compression, or its order of channels, can't be read")
     width, height, channels, bits = tags[256][0], tags[257][0], tags.get(277, [1])[0], tags.get(258, [1])[0]
-    body = b"".join(data[o : o + n] for o, n in zip(tags[273], tags[279]))
     floats = tags.get(339, [1])[0] == 3
-    a = np.frombuffer(body, e + {8: "u1", 16: "u2", 32: "f4" if floats else "u4"}[bits], width * height * channels).reshape(height, width, channels)
-    return a.astype(float) if floats else a / float(2**bits - 1)
+    kind = e + {8: "u1", 16: "u2", 32: "f4" if floats else "u4"}[bits]
+    tiled = 322 in tags
+    w, h = (tags[322][0], tags[323][0]) if tiled else (width, min(height, tags.get(278, [height])[0]))
+    out = np.zeros((height, width, channels), kind)
+    across = -(-width // w)
+    for k, (o, n) in enumerate(zip(*((tags[324], tags[325]) if tiled else (tags[273], tags[279])))):
+        r, c = k // across * h, k % across * w
+        a = np.frombuffer(_UNPACK[packing](data[o : o + n]), kind)
+        rows = h if tiled else min(h, height - r)
+        a = a[: rows * w * channels].reshape(rows, w, channels)
+        if predictor == 2:
+            a = np.cumsum(a, axis=1, dtype=a.dtype)
+        part = out[r : r + rows, c : c + w]
+        part[:] = a[: part.shape[0], : part.shape[1]]
+    return out.astype(float) if floats else out / float(2**bits - 1)
 
 
 def encode_png(a: np.ndarray) -> bytes:

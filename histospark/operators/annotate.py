@@ -12,6 +12,23 @@ def _starts(count: Column, most: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.bround(1 + i * (most - 1) / F.greatest(n - 1, F.lit(1))).cast("int"))
 
 
+def _drawn(seed: int, axis: str, n: int, most: Column) -> Column:
+    """``n`` pseudorandom starts from 1 to ``most``: all different if there are as many, else any."""
+    of = lambda i: F.xxhash64(F.lit(seed), F.lit(axis), F.col("image_id"), i)
+    order = F.array_sort(F.transform(F.sequence(F.lit(1), most), lambda i: F.struct(of(i).alias("h"), i.cast("int").alias("i"))))
+    any_ = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (F.pmod(of(i), most) + 1).cast("int"))
+    return F.when(most >= n, F.transform(F.slice(order, 1, n), lambda s: s["i"])).otherwise(any_)
+
+
+def patch_random(images: DataFrame, n: int = 20, size: int = 256, seed: int = 1) -> DataFrame:
+    """``n`` patches of each image at pseudorandom places; the same for the same seed."""
+    h, w = F.col("n_rows"), F.col("n_cols")
+    most = lambda c: F.greatest(F.lit(1), c - size + 1)
+    starts = F.arrays_zip(_drawn(seed, "row", n, most(h)).alias("row_start"), _drawn(seed, "col", n, most(w)).alias("col_start"))
+    df = images.select("image_id", "n_rows", "n_cols", F.posexplode(starts).alias("_k", "s")).select("image_id", "n_rows", "n_cols", (F.col("_k") + 1).alias("patch_id"), F.col("s.row_start").alias("row_start"), F.col("s.col_start").alias("col_start"))
+    return df.select("image_id", "patch_id", "row_start", F.least(F.col("row_start") + size - 1, "n_rows").alias("row_end"), "col_start", F.least(F.col("col_start") + size - 1, "n_cols").alias("col_end"))
+
+
 def patch_grid(images: DataFrame, n: int = 20, size: int = 256) -> DataFrame:
     """``image_id, patch_id, row_start, row_end, col_start, col_end``: at most ``n`` patches of each image.
 
@@ -62,3 +79,15 @@ def annotation_task(images: DataFrame, labels: DataFrame | None = None, region:
 def active_rounds(task: DataFrame, n_rounds: int, model: str = "cellpose") -> DataFrame:
     """The same patches for each of ``n_rounds`` rounds; nothing is trained between them."""
     return task.select(F.explode(F.sequence(F.lit(1), F.lit(n_rounds))).alias("round"), F.lit(model).alias("model"), "*")
+
+
+def training_pairs(pixels: DataFrame, labels: DataFrame, patches: DataFrame, size: int) -> DataFrame:
+    """``image_id, patch_id, row, col, channel, value, label``: pixels and labels of patches, counted from their corners; label 0 for none.
+
+    ``size`` is the side of the patches."""
+    tile = lambda c: F.floor((c - 1) / size)
+    cover = patches.select("image_id", "patch_id", "row_start", "row_end", "col_start", "col_end", F.explode(F.sequence(tile(F.col("row_start")), tile(F.col("row_end")))).alias("_tr"))
+    cover = cover.withColumn("_tc", F.explode(F.sequence(tile(F.col("col_start")), tile(F.col("col_end")))))
+    both = pixels.select("image_id", "row", "col", "channel", "value").join(labels.select("image_id", "row", "col", "label"), ["image_id", "row", "col"], "left").fillna(0, ["label"])
+    both = both.withColumns({"_tr": tile(F.col("row")), "_tc": tile(F.col("col"))}).join(cover, ["image_id", "_tr", "_tc"]).where("row between row_start and row_end and col between col_start and col_end")
+    return both.select("image_id", "patch_id", (F.col("row") - F.col("row_start") + 1).alias("row"), (F.col("col") - F.col("col_start") + 1).alias("col"), "channel", "value", "label")

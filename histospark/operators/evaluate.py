@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histospark.runtime import over
+from histospark.runtime import over, same_size
 
 METRICS = ("dice", "jaccard", "aji", "panoptic_quality", "ap50", "ap75", "f1_detection")
 _AT = ["image_id", "row", "col"]
@@ -25,11 +25,11 @@ def overlaps(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def _count(df: DataFrame, name: str, *more: Column) -> DataFrame:
-    return df.groupBy(F.col("image_id").alias(f"_{name}")).agg(F.count("*").alias(f"{name}_px"), F.max("label").alias(f"{name}_n"), *more)
+    return df.groupBy(F.col("image_id").alias(f"_{name}")).agg(F.count("*").alias(f"{name}_px"), F.max("label").alias(f"{name}_n"), F.max("n_rows").alias(f"{name}_rows"), F.max("n_cols").alias(f"{name}_cols"), *more)
 
 
 def evaluate(predicted: DataFrame, truth: DataFrame, images: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """``image_id, metric, value`` of every image of ``images`` (``image_id``)."""
+    """``image_id, metric, value`` of every image of ``images`` (``image_id``); masks of different sizes are an error."""
     if unknown := set(metrics) - set(METRICS):
         raise ValueError(f"unknown metrics {sorted(unknown)}")
     o = overlaps(predicted, truth)
@@ -37,7 +37,9 @@ def evaluate(predicted: DataFrame, truth: DataFrame, images: DataFrame, metrics:
     for df, name in ((predicted, "p"), (truth, "g")):
         base = base.join(_count(df, name), F.col("image_id") == F.col(f"_{name}"), "left").drop(f"_{name}")
     common = o.groupBy("image_id").agg(F.sum("inter").alias("both"))
-    out = base.join(common, "image_id", "left").fillna(0)
+    sized = ["p_rows", "p_cols", "g_rows", "g_cols"]
+    out = base.join(common, "image_id", "left")
+    out = out.fillna(0, [c for c in out.columns if c not in sized])
     if set(metrics) - {"dice", "jaccard"}:
         # best prediction of each true cell, of several the least; and the reverse
         gt = o.groupBy("image_id", "gt").agg(F.max(F.struct("iou", (-F.col("pred")).alias("p"), "inter", "pred_area", "gt_area")).alias("b"))
@@ -50,7 +52,7 @@ def evaluate(predicted: DataFrame, truth: DataFrame, images: DataFrame, metrics:
         found = pred.groupBy("image_id").agg(*[F.countDistinct(F.when(F.col("b.iou") >= t, F.col("b.g"))).alias(f"tp{round(t * 100)}") for t in (0.5, 0.75)])
         for df in (used, aji, pq, found):
             out = out.join(df, "image_id", "left")
-        out = out.fillna(0)
+        out = out.fillna(0, [c for c in out.columns if c not in sized])
     p_px, g_px, both, p, g = (F.col(c) for c in ("p_px", "g_px", "both", "p_n", "g_n"))
 
     def instances(value: Column) -> Column:
@@ -72,5 +74,5 @@ def evaluate(predicted: DataFrame, truth: DataFrame, images: DataFrame, metrics:
             return instances(F.when(tp > 0, over(F.col("pq_iou"), tp + 0.5 * (p - tp) + 0.5 * (g - tp))).otherwise(0.0))
         return instances(f1(F.col("tp75" if m == "ap75" else "tp50")))
 
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), value(m).alias("value")) for m in METRICS if m in metrics])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), same_size("p", "g", value(m)).alias("value")) for m in METRICS if m in metrics])
     return out.select("image_id", F.explode(pairs).alias("m")).select("image_id", "m.metric", "m.value")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from histospark.operators.resample import resample
+from histospark.operators.resample import resample, scaled
 from histospark.operators.stencil import keys, mean3
 from histospark.runtime import over
 
@@ -133,16 +133,38 @@ def wide(df: DataFrame, channels: int = 3) -> DataFrame:
     return df.where(F.col("channel") <= channels).groupBy(*rest).agg(*[F.max(F.when(F.col("channel") == k, F.col("value"))).alias(f"c{k}") for k in range(1, channels + 1)])
 
 
-def deconvolve(df: DataFrame, stains=RUIFROK) -> DataFrame:
-    """``stain, value``: concentrations of hematoxylin, eosin and the residual, not below 0."""
-    matrix = np.asarray(stains, float)
-    if matrix.shape != (3, 3) or abs(np.linalg.det(matrix)) < 1e-12:
-        raise ValueError("stains must be an invertible 3×3 matrix")
-    inverse = np.linalg.inv(matrix)
-    od = [optical_density(F.col(f"c{k}")) for k in (1, 2, 3)]
-    out = [F.greatest(sum((od[i] * float(inverse[i, j]) for i in range(1, 3)), od[0] * float(inverse[0, j])), F.lit(0.0)) for j in range(3)]
+STAINS = ("hematoxylin", "eosin", "residual")
+
+
+def deconvolve(df: DataFrame, method: str = "macenko", stains=None) -> DataFrame:
+    """``stain, value``: concentrations of hematoxylin, eosin and the residual, not below 0.
+
+    The stain vectors are those given (an invertible 3×3 matrix), the fixed ones (``ruifrok``), or
+    each image's own (``macenko``); an image whose own can't be inverted has NULLs. Images of
+    fewer than three channels have no rows."""
+    if method not in ("macenko", "ruifrok"):
+        raise ValueError(f"unknown method {method}")
     flat = wide(df).where("c1 is not null and c2 is not null and c3 is not null")
-    return flat.select("image_id", "n_rows", "n_cols", "row", "col", F.explode(F.create_map(*[x for name, c in zip(("hematoxylin", "eosin", "residual"), out) for x in (F.lit(name), c)])).alias("stain", "value"))
+    od = [optical_density(F.col(f"c{k}")) for k in (1, 2, 3)]
+    if stains is None and method == "macenko":
+
+        @F.pandas_udf(_MATRIX)
+        def inverse(m: pd.Series) -> pd.Series:
+            rows = [np.array([list(r) for r in x], float) for x in m]
+            return pd.Series([np.linalg.inv(x).tolist() if abs(np.linalg.det(x)) > 1e-12 else None for x in rows])
+
+        own = macenko_stains(df).select(F.col("image_id").alias("_i"), inverse("stains").alias("_m"))
+        flat = flat.join(own, F.col("image_id") == F.col("_i"))
+        weight = lambda i, j: F.col("_m")[i][j]
+    else:
+        matrix = np.asarray(RUIFROK if stains is None else stains, float)
+        if matrix.shape != (3, 3) or abs(np.linalg.det(matrix)) < 1e-12:
+            raise ValueError("stains must be an invertible 3×3 matrix")
+        fixed = np.linalg.inv(matrix)
+        weight = lambda i, j: F.lit(float(fixed[i, j]))
+    sums = [od[0] * weight(0, j) + od[1] * weight(1, j) + od[2] * weight(2, j) for j in range(3)]
+    out = [F.when(x.isNotNull(), F.greatest(x, F.lit(0.0))) for x in sums]
+    return flat.select("image_id", "n_rows", "n_cols", "row", "col", F.explode(F.create_map(*[x for name, c in zip(STAINS, out) for x in (F.lit(name), c)])).alias("stain", "value"))
 
 
 _MATRIX = "array<array<double>>"
@@ -192,16 +214,54 @@ def macenko_stains(df: DataFrame) -> DataFrame:
     return flat.select("image_id").distinct().join(found, F.col("image_id") == F.col("_i"), "left").select("image_id", F.coalesce("m", fixed).alias("stains"))
 
 
-def preprocess(df: DataFrame, stain: str | None = None, denoise: bool = False, contrast: str | None = None, scale: float | None = None) -> DataFrame:
-    """Stain normalization, 3×3 mean, contrast (``stretch`` or ``equalize``) and resampling, in this order."""
+CONTRASTS = (None, "stretch", "clahe", "equalize")
+
+
+def scales(images: DataFrame, target_resolution: float) -> DataFrame:
+    """``image_id, scale`` that bring images to a pixel size (µm); those of unknown size stay as they are."""
+    if target_resolution <= 0:
+        raise ValueError("the target resolution must be positive")
+    now = F.col("resolution.x_um")
+    return images.select("image_id", F.when(now > 0, now / float(target_resolution)).otherwise(1.0).alias("scale"))
+
+
+def preprocess(df: DataFrame, stain: str | None = None, denoise: bool = False, contrast: str | None = None, scale: float | None = None, target_resolution: float | None = None, images: DataFrame | None = None) -> DataFrame:
+    """Stain normalization, 3×3 mean, contrast (``stretch``, or ``clahe``, which is ``equalize``) and resampling, in this order.
+
+    Resampling is by ``scale``, or to ``target_resolution`` from the pixel widths of ``images``
+    (``image_id, resolution``); an image of unknown size isn't resampled. ``preprocessed`` gives
+    what ``images`` says afterwards."""
     if scale is not None and scale <= 0:
         raise ValueError("the scale must be positive")
-    if contrast not in (None, "stretch", "equalize"):
+    if contrast not in CONTRASTS:
         raise ValueError(f"unknown contrast {contrast}")
+    if target_resolution is not None:
+        if images is None:
+            raise ValueError("a target resolution needs the resolutions of the images")
+        to = scales(images, target_resolution)
     if stain:
         df = stain_normalize(df, stain)
     if denoise:
         df = mean3(df)
     if contrast:
         df = contrast_stretch(df) if contrast == "stretch" else equalize(df)
+    if target_resolution is not None:
+        return resample(df, to)
     return resample(df, scale) if scale else df
+
+
+def preprocessed(images: DataFrame, stain: str | None = None, denoise: bool = False, contrast: str | None = None, target_resolution: float | None = None) -> DataFrame:
+    """``images`` (with ``n_rows, n_cols, resolution, history``) as they are after ``preprocess``."""
+    steps = [*([f"stain_norm:{stain}"] if stain else []), *(["denoise:mean3x3"] if denoise else []), *([f"contrast:{contrast}"] if contrast else [])]
+    out = images.withColumn("history", F.concat(F.coalesce("history", F.array().cast("array<string>")), F.array(*map(F.lit, steps)).cast("array<string>")))
+    if target_resolution is None:
+        return out
+    out = out.join(scales(images, target_resolution).withColumnRenamed("image_id", "_i"), F.col("image_id") == F.col("_i")).drop("_i")
+    known, to = F.col("resolution.x_um") > 0, float(target_resolution)
+    changed = {
+        "n_rows": F.when(known, scaled(F.col("n_rows"), F.col("scale"))).otherwise(F.col("n_rows")),
+        "n_cols": F.when(known, scaled(F.col("n_cols"), F.col("scale"))).otherwise(F.col("n_cols")),
+        "history": F.when(known, F.array_append("history", F.lit(f"resample:{target_resolution:g}um"))).otherwise(F.col("history")),
+        "resolution": F.when(known, F.struct(F.lit(to).alias("x_um"), F.lit(to).alias("y_um"))).otherwise(F.col("resolution")),
+    }
+    return out.withColumns(changed).drop("scale")

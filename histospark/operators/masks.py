@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from histospark.operators.labeling import grow, relabel
 from histospark.operators.measure import CELL, moments
 from histospark.operators.stencil import on_edge
-from histospark.runtime import stage
+from histospark.runtime import same_size, stage
 
 _COLUMNS = ["image_id", "n_rows", "n_cols", "row", "col", "label"]
 
@@ -39,16 +39,19 @@ def filter_cells(labels: DataFrame, border_cells: str = "keep", **ranges: float)
 
 
 def merge_assign(nuclei: DataFrame, cells: DataFrame) -> DataFrame:
-    """Nuclei under the label of the cell they overlap most, of several the least; others are dropped."""
+    """Nuclei under the label of the cell they overlap most, of several the least; others are dropped. Masks of different sizes are an error."""
     at = ["image_id", "row", "col"]
-    overlap = nuclei.join(cells.select(*at, F.col("label").alias("_cell")), at).groupBy("image_id", F.col("label").alias("_nucleus"), "_cell").agg(F.count("*").alias("_n"))
+    of_cell = cells.select(*at, F.col("label").alias("_cell"), F.col("n_rows").alias("c_rows"), F.col("n_cols").alias("c_cols"))
+    overlap = nuclei.withColumnsRenamed({"n_rows": "p_rows", "n_cols": "p_cols"}).join(of_cell, at).withColumn("_cell", same_size("p", "c", F.col("_cell"))).groupBy("image_id", F.col("label").alias("_nucleus"), "_cell").agg(F.count("*").alias("_n"))
     best = overlap.groupBy(F.col("image_id").alias("_i"), "_nucleus").agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_cell").alias("cell")))["cell"].alias("_to"))
     return nuclei.join(best, (F.col("image_id") == F.col("_i")) & (F.col("label") == F.col("_nucleus"))).withColumn("label", F.col("_to")).select(*_COLUMNS)
 
 
 def merge_expand(nuclei: DataFrame, cells: DataFrame) -> DataFrame:
-    """Nuclei grown within the cells."""
-    return grow(nuclei, None, cells.select("image_id", "row", "col"))
+    """Nuclei grown within the cells; masks of different sizes are an error."""
+    sizes = nuclei.groupBy("image_id").agg(F.max("n_rows").alias("p_rows"), F.max("n_cols").alias("p_cols"))
+    within = cells.withColumnsRenamed({"n_rows": "c_rows", "n_cols": "c_cols"}).join(sizes, "image_id")
+    return grow(nuclei, None, within.select("image_id", same_size("p", "c", F.col("row")).alias("row"), "col"))
 
 
 def apply_corrections(labels: DataFrame, corrections: DataFrame) -> DataFrame:

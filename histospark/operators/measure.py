@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histospark.operators.stencil import border
-from histospark.runtime import over
+from histospark.runtime import over, same_size
 
 GROUPS = ("intensity", "morphology", "texture", "location")
 CELL = ["image_id", "label"]
@@ -166,12 +166,15 @@ def channel_numbers(names: list[str], wanted: list[str | int] | None = None) ->
 def extract_features(pixels: DataFrame, labels: DataFrame, names: list[str], features: tuple[str, ...] = GROUPS, channels: list[str | int] | None = None) -> DataFrame:
     """One row per cell 1..n of each image, n being its greatest label; absent labels have NULLs.
 
-    Pixels are filtered to the wanted channels before they are joined with the labels."""
+    Pixels are filtered to the wanted channels before they are joined with the labels. Images and
+    masks of different sizes are an error."""
     if unknown := set(features) - set(GROUPS):
         raise ValueError(f"unknown features {sorted(unknown)}")
     picked = channel_numbers(names, channels)
     ids = labels.groupBy("image_id").agg(F.max("label").alias("_n")).select("image_id", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("label"))
-    joined = pixels.where(F.col("channel").isin(list(picked))).select("image_id", "row", "col", "channel", "value").join(labels.select("image_id", "row", "col", "label"), ["image_id", "row", "col"])
+    sized = lambda df, name: df.withColumnsRenamed({"n_rows": f"{name}_rows", "n_cols": f"{name}_cols"}).select("image_id", "row", "col", f"{name}_rows", f"{name}_cols", *(["channel", "value"] if name == "p" else ["label"]))
+    joined = sized(pixels.where(F.col("channel").isin(list(picked))), "p").join(sized(labels, "l"), ["image_id", "row", "col"])
+    joined = joined.select(*CELL, "channel", same_size("p", "l", F.col("value")).alias("value"))
     parts = []
     if "intensity" in features:
         parts.append(intensity(joined, picked))

@@ -18,6 +18,21 @@ def channel(pixels: DataFrame, number: int, n_channels: int | None = None) -> Da
     return pixels.where(F.col("channel") == number)
 
 
+def crop(pixels: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """Rows and columns of a rectangle (both ends inclusive) of every image, with places and sizes of their own; works on labels too."""
+    if rows[0] < 1 or cols[0] < 1 or rows[1] < rows[0] or cols[1] < cols[0]:
+        raise ValueError("a crop needs a first and a last row and column, from 1")
+    df = pixels.where(F.col("row").between(*rows) & F.col("col").between(*cols))
+    size = lambda c, ends: F.least(F.lit(ends[1]), c) - ends[0] + 1
+    return df.withColumns({"row": F.col("row") - rows[0] + 1, "col": F.col("col") - cols[0] + 1, "n_rows": size(F.col("n_rows"), rows), "n_cols": size(F.col("n_cols"), cols)})
+
+
+def cropped(images: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """``images`` after ``crop``: new sizes and no history."""
+    size = lambda c, ends: F.greatest(F.lit(0), F.least(F.lit(ends[1]), c) - ends[0] + 1)
+    return images.withColumns({"n_rows": size(F.col("n_rows"), rows), "n_cols": size(F.col("n_cols"), cols), "history": F.array().cast("array<string>")})
+
+
 def binarize(pixels: DataFrame, method: str = "otsu", block_size: int = 51, offset: float = 0.05) -> DataFrame:
     """Dense ``on``: strictly above the channel's threshold, or its local mean less ``offset``."""
     if method == "adaptive":

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from histospark.functions import rasterfiles
 from histospark.operators import annotate, evaluate, intensity, labeling, masks, measure, models, resample, segment, stencil
-from histospark.plans import plotdata
+from histospark.plans import plotdata, printing
 from histospark.plans import scene_sql as S
 from histospark.runtime import load, stage
 from histospark.sources import images as files
@@ -95,13 +97,35 @@ def embedding_pixels(spark: SparkSession, d: str) -> DataFrame:
     return _raster(spark, d).select(*AT, r6("value").alias("value"))
 
 
+def _examples_sql() -> str:
+    rows = ", ".join(f"({image}, {n}, {ground}, {low}, {high}, {noise}, {len(names)})" for image, n, ground, low, high, noise, names in scene.EXAMPLES.values())
+    return f"""kinds AS (SELECT * FROM (VALUES {rows}) AS t(image_id, n, ground, low, high, noise, channels)),
+spots AS (SELECT image_id, CAST(k AS INTEGER) AS k, 4 + (k * 37 + image_id * 29) % 57 AS cr, 4 + (k * 53 + image_id * 3) % 57 AS cc, 3 + (k + image_id) % 5 AS rx, 3 + (k * 2 + image_id) % 5 AS ry FROM kinds, range(1, 21) AS x(k) WHERE k <= n),
+marked AS (SELECT image_id, r, c, max(k) AS label FROM spots, range(1, 65) AS a(r), range(1, 65) AS b(c) WHERE (r - cr) * (r - cr) * ry * ry + (c - cc) * (c - cc) * rx * rx <= rx * rx * ry * ry GROUP BY ALL)"""
+
+
+@query(f"""WITH {_examples_sql()}, vals AS (
+  SELECT e.image_id, r, c, ch, CASE WHEN label IS NOT NULL THEN low + (label * 97 + ch * 41) % (high - low + 1) ELSE ground END + floor(((r * 31 + c * 17 + ch * 7) % 21 - 10) * noise / 10.0) AS v
+  FROM kinds e CROSS JOIN range(1, 65) AS a(r) CROSS JOIN range(1, 65) AS b(c) JOIN range(1, 5) AS h(ch) ON ch <= channels LEFT JOIN marked USING (image_id, r, c))
+SELECT CAST(image_id AS BIGINT) AS image_id, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS "col", CAST(ch AS INTEGER) AS channel, round(least(greatest(v, 0), 1000) / 1000.0, 6) AS value FROM vals""")
+def example_pixels(spark: SparkSession, d: str) -> DataFrame:
+    one, two, three = (scene.example_pixels(spark, k) for k in scene.EXAMPLES)
+    return one.unionByName(two).unionByName(three).select(*AT, "channel", r6("value").alias("value"))
+
+
+@query(f"""WITH {_examples_sql()} SELECT CAST(image_id AS BIGINT) AS image_id, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS "col", label FROM marked""")
+def example_labels(spark: SparkSession, d: str) -> DataFrame:
+    one, two, three = (scene.example_labels(spark, k) for k in scene.EXAMPLES)
+    return one.unionByName(two).unionByName(three).select(*AT, "label")
+
+
 # projection and filters
 
 
 @query(f'WITH {S.SCENE} SELECT image_id, CAST(r - 9 AS INTEGER) AS "row", CAST(c - 19 AS INTEGER) AS "col", CAST(ch AS INTEGER) AS channel, round(v / 1000.0, 6) AS value FROM px WHERE ch <= 2 AND r BETWEEN 10 AND 40 AND c BETWEEN 20 AND 50')
 def crop(spark: SparkSession, d: str) -> DataFrame:
-    px = _pixels(spark, d, 2).where("row between 10 and 40 and col between 20 and 50")
-    return px.select("image_id", (F.col("row") - 9).alias("row"), (F.col("col") - 19).alias("col"), "channel", r6("value").alias("value"))
+    px = segment.crop(_pixels(spark, d, 2), (10, 40), (20, 50))
+    return px.select(*AT, "channel", r6("value").alias("value"))
 
 
 @query(f'WITH {S.SCENE} SELECT image_id, r AS "row", c AS "col", round(v / 1000.0, 6) AS value FROM px WHERE ch = 2')
@@ -251,6 +275,11 @@ def _deconvolve_sql() -> str:
 
 @query(_deconvolve_sql())
 def deconvolve(spark: SparkSession, d: str) -> DataFrame:
+    return intensity.deconvolve(_pixels(spark, d, 3), "ruifrok").select(*AT, "stain", r6("value").alias("value"))
+
+
+@query()
+def deconvolve_macenko(spark: SparkSession, d: str) -> DataFrame:
     return intensity.deconvolve(_pixels(spark, d, 3)).select(*AT, "stain", r6("value").alias("value"))
 
 
@@ -287,11 +316,51 @@ def binarize(spark: SparkSession, d: str) -> DataFrame:
     return segment.binarize(_pixels(spark, d)).select(*AT, "on")
 
 
-@query()
+_PREPARED_SQL = """m AS (SELECT image_id, ch, avg(v / 1000.0) AS mu, stddev_samp(v / 1000.0) AS sd FROM px WHERE ch <= 3 GROUP BY ALL),
+p AS MATERIALIZED (SELECT image_id, r, c, ch, least(greatest((v / 1000.0 - mu) / sd * 0.15 + 0.5, 0), 1) AS v FROM px JOIN m USING (image_id, ch)),
+a1 AS (SELECT *, sum(v) OVER (PARTITION BY image_id, ch, r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x FROM p),
+a2 AS (SELECT *, sum(x) OVER (PARTITION BY image_id, ch, c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS y FROM a1),
+smooth AS (SELECT image_id, r, c, ch, CASE WHEN r BETWEEN 2 AND 63 AND c BETWEEN 2 AND 63 THEN y / 9 ELSE v END AS v FROM a2),
+lim AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM smooth GROUP BY image_id),
+flat AS MATERIALIZED (SELECT image_id, r, c, ch, (v - lo) / (hi - lo) AS v FROM smooth JOIN lim USING (image_id))"""
+
+
+def _shrunk_sql(source: str, scale: str) -> str:
+    """``source`` (``image_id, r, c, ch, v`` of 64 by 64) resampled by ``scale``, an expression of ``image_id``."""
+    return f"""sizes AS (SELECT DISTINCT image_id, {scale} AS s FROM {source}), k AS (SELECT image_id, s, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, (i - 0.5) / s + 0.5 AS sr, (j - 0.5) / s + 0.5 AS sc FROM sizes, range(1, 129) AS a(i), range(1, 129) AS b(j)
+  WHERE i <= round_even(64 * s, 0) AND j <= round_even(64 * s, 0)),
+corner AS (SELECT *, greatest(1, CAST(floor(sr) AS INTEGER)) AS r0, greatest(1, CAST(floor(sc) AS INTEGER)) AS c0 FROM k),
+four AS (SELECT image_id, i, j, r0 + dr AS rr, c0 + dc AS cc, (CASE dr WHEN 0 THEN 1 - (sr - r0) ELSE sr - r0 END) * (CASE dc WHEN 0 THEN 1 - (sc - c0) ELSE sc - c0 END) AS w FROM corner, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(dr, dc)),
+small AS (SELECT f.image_id, i, j, ch, sum(w * x.v) AS v FROM four f JOIN {source} x ON x.image_id = f.image_id AND x.r = least(64, rr) AND x.c = least(64, cc) GROUP BY ALL)"""
+
+
+@query(f"""WITH {S.SCENE}, {_PREPARED_SQL}, {_shrunk_sql("flat", "0.5")} SELECT image_id, i AS "row", j AS "col", CAST(ch AS INTEGER) AS channel, round(v, 6) AS value FROM small""")
 def preprocess(spark: SparkSession, d: str) -> DataFrame:
     return intensity.preprocess(_pixels(spark, d, 3), stain="reinhard", denoise=True, contrast="stretch", scale=0.5).select(*AT, "channel", r6("value").alias("value"))
 
 
+def _resolutions(spark: SparkSession, d: str) -> DataFrame:
+    """Pixel sizes of the scene's images: 0.25, 0.5 or 1 µm, or none."""
+    width = F.element_at(F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0), F.lit(None).cast("double")), (F.col("image_id") % 4 + 1).cast("int"))
+    return _images(spark, d).withColumns({"resolution": F.struct(width.alias("x_um"), width.alias("y_um")), "history": F.array(F.lit("scanned"))})
+
+
+_SCALE_SQL = "CASE image_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 2.0 ELSE 1.0 END"
+
+
+@query(f"""WITH {S.SCENE}, flat AS MATERIALIZED (SELECT image_id, r, c, ch, v / 1000.0 AS v FROM px WHERE ch <= 2), {_shrunk_sql("flat", _SCALE_SQL)} SELECT image_id, i AS "row", j AS "col", CAST(ch AS INTEGER) AS channel, round(v, 10) AS value FROM small""")
+def preprocess_resolution(spark: SparkSession, d: str) -> DataFrame:
+    px = intensity.preprocess(_pixels(spark, d, 2), target_resolution=0.5, images=_resolutions(spark, d))
+    # sixteenths of thousandths are ties at six places
+    return px.select(*AT, "channel", F.round("value", 10).alias("value"))
+
+
+@query(f"""WITH {S.CELLS}, {S.IMAGES} SELECT image_id, CAST(64 * {_SCALE_SQL} AS INTEGER) AS n_rows, CASE WHEN image_id % 4 < 3 THEN 0.5 END AS x_um, CASE WHEN image_id % 4 < 3 THEN 'scanned -> denoise:mean3x3 -> resample:0.5um' ELSE 'scanned -> denoise:mean3x3' END AS history FROM imgs""")
+def preprocessed_images(spark: SparkSession, d: str) -> DataFrame:
+    images = intensity.preprocessed(_resolutions(spark, d), denoise=True, target_resolution=0.5)
+    return images.select("image_id", "n_rows", F.col("resolution.x_um").alias("x_um"), F.array_join("history", " -> ").alias("history"))
+
+
 # labelling and growth
 
 
@@ -537,6 +606,17 @@ def patch_uncertainty(spark: SparkSession, d: str) -> DataFrame:
     return task.select("image_id", "patch_id", r6("score").alias("score"), "rank")
 
 
+@query()
+def patch_random(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.patch_random(_images(spark, d), 10, 16)
+
+
+@query(f"""WITH {S.SCENE}, {_PATCHES_SQL} SELECT px.image_id, patch_id, CAST(r - row_start + 1 AS INTEGER) AS "row", CAST(c - col_start + 1 AS INTEGER) AS "col", CAST(ch AS INTEGER) AS channel, round(v / 1000.0, 6) AS value, label FROM px JOIN pt ON pt.image_id = px.image_id AND r BETWEEN row_start AND row_start + 15 AND c BETWEEN col_start AND col_start + 15 WHERE ch = 1""")
+def training_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = annotate.training_pairs(_pixels(spark, d), _labels(spark, d), annotate.patch_grid(_images(spark, d), 10, 16), 16)
+    return pairs.withColumn("value", r6("value"))
+
+
 @query(f"WITH {S.CELLS}, {S.IMAGES}, {_PATCHES_SQL} SELECT CAST(n AS INTEGER) AS round, 'cellpose' AS model, image_id, patch_id FROM pt, range(1, 4) AS t(n)")
 def active_rounds(spark: SparkSession, d: str) -> DataFrame:
     return annotate.active_rounds(annotate.annotation_task(_images(spark, d), n_patches=10, patch_size=16), 3).select("round", "model", "image_id", "patch_id")
@@ -552,19 +632,58 @@ def export_csv(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*[r6(c).alias(c) if c in ("circularity", "eccentricity", "solidity", "centroid_row", "centroid_col") else c for c in rows.columns])
 
 
-@query()
+_RINGS_SQL = """points AS (SELECT DISTINCT image_id, label, r, c FROM vertices), middles AS (SELECT image_id, label, avg(r) AS mr, avg(c) AS mc FROM points GROUP BY ALL),
+turned AS (SELECT p.*, atan2(r - mr, c - mc) AS turn, first_value(atan2(r - mr, c - mc)) OVER (PARTITION BY image_id, label ORDER BY c, r) AS start FROM points p JOIN middles USING (image_id, label) JOIN hulls USING (image_id, label) WHERE hull_area > 0 AND n >= 3),
+rings AS (SELECT image_id, label, string_agg(printf('[%.1f,%.1f]', CAST(c AS DOUBLE), CAST(r AS DOUBLE)), ',' ORDER BY CASE WHEN turn >= start - 1e-9 THEN 0 ELSE 1 END, turn) AS ring, first(printf('[%.1f,%.1f]', CAST(c AS DOUBLE), CAST(r AS DOUBLE)) ORDER BY c, r) AS again FROM turned GROUP BY ALL)"""
+
+
+@query(f"""WITH {S.LABELS}, {S.HULL.replace("SELECT image_id, label, CASE WHEN n < 3", "SELECT image_id, label, n, CASE WHEN n < 3")}, {_RINGS_SQL}
+SELECT image_id, label AS cell_id, '{{"type":"Feature","id":"cell-' || label || '","geometry":{{"type":"Polygon","coordinates":[[' || ring || ',' || again || ']]}},"properties":{{"objectType":"detection","classification":{{"name":"Cell"}},"cellID":' || label || '}}}}' AS feature FROM rings""")
 def export_qupath(spark: SparkSession, d: str) -> DataFrame:
     return files.geojson_features(_labels(spark, d), qupath=True)
 
 
-@query()
+@query(f"""WITH {S.LABELS}, {S.HULL.replace("SELECT image_id, label, CASE WHEN n < 3", "SELECT image_id, label, n, CASE WHEN n < 3")}, {_RINGS_SQL}
+SELECT image_id, label AS cell_id, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' || ring || ',' || again || ']]}},"properties":{{"cell_id":' || label || '}}}}' AS feature FROM rings""")
 def export_geojson(spark: SparkSession, d: str) -> DataFrame:
-    return files.geojson_features(_labels(spark, d), simplify=True)
+    return files.geojson_features(_labels(spark, d))
 
 
 @query()
+def export_simplified(spark: SparkSession, d: str) -> DataFrame:
+    return files.geojson_features(_labels(spark, d), simplify=True)
+
+
+def _read_back(rasters: DataFrame) -> DataFrame:
+    """Pixels of raster files, whole numbers of their depth."""
+    import pandas as pd
+
+    def of(frames):
+        for f in frames:
+            for image, content in zip(f["image_id"], f["content"]):
+                a = rasterfiles.decode(bytes(content))
+                r, c, k = (x.ravel() for x in np.indices(a.shape))
+                yield pd.DataFrame({"image_id": image, "row": r + 1, "col": c + 1, "channel": k + 1, "value": a.ravel()})
+
+    return rasters.mapInPandas(of, "image_id bigint, row int, col int, channel int, value double")
+
+
+_RAINBOW_SQL = """tone AS (SELECT p.*, 6.0 * (coalesce(label, 0) - 1) / most AS h FROM px p JOIN (SELECT image_id, max(label) AS most FROM cell_px GROUP BY ALL) USING (image_id) WHERE ch <= 3)"""
+
+
+@query(f"""WITH {S.SCENE}, {_RAINBOW_SQL} SELECT image_id, r AS "row", c AS "col", CAST(ch AS INTEGER) AS channel,
+  CAST(CASE WHEN label = 0 THEN 0 ELSE round_even(255 * greatest(0.0, least(1.0, CASE ch WHEN 1 THEN abs(h - 3) - 1 WHEN 2 THEN 2 - abs(h - 2) ELSE 2 - abs(h - 4) END)), 0) END AS INTEGER) AS value FROM tone""")
 def export_png(spark: SparkSession, d: str) -> DataFrame:
-    return files.mask_rasters(_labels(spark, d), "png").select("image_id", F.length("content").alias("n_bytes"))
+    """Masks as PNG files, read again."""
+    back = _read_back(files.mask_rasters(_labels(spark, d), "png"))
+    return back.withColumn("value", F.round(F.col("value") * 255).cast("int"))
+
+
+@query(f"""WITH {S.SCENE} SELECT p.image_id, r AS "row", c AS "col", CAST(round_even(label / CAST(most AS DOUBLE) * 65535, 0) AS INTEGER) AS value FROM px p JOIN (SELECT image_id, max(label) AS most FROM cell_px GROUP BY ALL) USING (image_id) WHERE ch = 1""")
+def export_tiff(spark: SparkSession, d: str) -> DataFrame:
+    """Masks as TIFF files, read again."""
+    back = _read_back(files.mask_rasters(_labels(spark, d), "tiff"))
+    return back.select(*AT, F.round(F.col("value") * 65535).cast("int").alias("value"))
 
 
 @query(f'WITH {S.LABELS}, {S.BORDER} SELECT image_id, r AS "row", c AS "col", label FROM edge_px WHERE is_border')
@@ -602,8 +721,49 @@ def plot_metrics(spark: SparkSession, d: str) -> DataFrame:
     return plotdata.metric_bars(load(spark, d, "metrics").distinct())
 
 
-@query("""SELECT * FROM (VALUES ('Model path', '/models/a'), ('Backend', 'cellpose'), ('Base model', 'cyto3'), ('Created', '2025-01-02 03:04:05'), ('Metric: dice', '0.9'), ('tissue', 'breast')) AS t(field, value)""")
-def model_card(spark: SparkSession, d: str) -> DataFrame:
+def _model() -> models.TrainedModel:
     from datetime import datetime, timezone
 
-    return models.TrainedModel("/models/a", "cellpose", "cyto3", {"dice": 0.9}, {"tissue": "breast"}, datetime(2025, 1, 2, 3, 4, 5, tzinfo=timezone.utc)).card(spark)
+    return models.TrainedModel("/models/a", "cellpose", "cyto3", {"dice": 0.9, "loss": [0.5, 0.25], "n_epochs": 100}, {"tissue": "breast"}, datetime(2025, 1, 2, 3, 4, 5, tzinfo=timezone.utc))
+
+
+@query("""SELECT * FROM (VALUES ('Backend', 'cellpose'), ('Base Model', 'cyto3'), ('Model Path', '/models/a'), ('Created', '2025-01-02 03:04:05'), ('Metric: dice', '0.9'), ('Metric: loss', '0.5, 0.25'), ('Metric: n_epochs', '100'), ('tissue', 'breast')) AS t(field, value)""")
+def model_card(spark: SparkSession, d: str) -> DataFrame:
+    return _model().card(spark)
+
+
+@query("""SELECT CAST(e AS INTEGER) AS epoch, CAST(x AS DOUBLE) AS loss FROM (VALUES (1, 0.5), (2, 0.25)) AS t(e, x)""")
+def plot_losses(spark: SparkSession, d: str) -> DataFrame:
+    return _model().losses(spark)
+
+
+@query("""SELECT image_id, concat_ws('; ', CASE WHEN n_channels = 1 THEN n_rows || ' x ' || n_cols || ' (1 channel)' ELSE n_rows || ' x ' || n_cols || ' x ' || n_channels || ' (' || n_channels || ' channels: ' || coalesce(array_to_string(list_filter(channels, lambda x: x IS NOT NULL), ', '), '') || ')' END,
+  CASE WHEN resolution.x_um IS NOT NULL AND NOT isnan(resolution.x_um) THEN 'Resolution: ' || printf('%.6f', floor(resolution.x_um * 1000000.0 + 0.5) / 1000000.0) || ' x ' || coalesce(printf('%.6f', floor(resolution.y_um * 1000000.0 + 0.5) / 1000000.0), 'NA') || ' um/px' END,
+  CASE WHEN len(history) > 0 THEN 'History: ' || array_to_string(history, ' -> ') END) AS text FROM images""")
+def print_images(spark: SparkSession, d: str) -> DataFrame:
+    return printing.image_lines(load(spark, d, "images"))
+
+
+@query("""SELECT image_id, concat_ws('; ', n_rows || ' x ' || n_cols || ', ' || n_cells || CASE WHEN n_cells = 1 THEN ' cell' ELSE ' cells' END, 'Method: ' || element_at(model_info, 'method')[1]) AS text FROM masks""")
+def print_masks(spark: SparkSession, d: str) -> DataFrame:
+    return printing.mask_lines(load(spark, d, "masks"))
+
+
+@query(f"""WITH {S.LABELS} SELECT image_id, count(*) || ' cells; area min: ' || min(area) || ', median: ' || printf('%.1f', quantile_cont(area, 0.5)) || ', max: ' || max(area) AS text FROM (SELECT image_id, label, count(*) AS area FROM cell_px GROUP BY ALL) GROUP BY image_id""")
+def print_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return printing.mask_summary_lines(_labels(spark, d))
+
+
+@query("""SELECT image_id, metric, metric || ': ' || coalesce(printf('%.4f', floor(value * 10000.0 + 0.5) / 10000.0), 'NA') AS text FROM metrics""")
+def print_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    return printing.evaluation_lines(load(spark, d, "metrics"))
+
+
+@query("""SELECT task_id, image_id, 'Patches: ' || n_patches || ' (' || patch_size || ' x ' || patch_size || ' px)' AS text FROM annotation_tasks""")
+def print_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return printing.task_lines(load(spark, d, "annotation_tasks"))
+
+
+@query(f"WITH {S.CELLS}, {S.IMAGES} SELECT image_id, 'Rounds: 3; Model: cellpose; Total patches: 30' AS text FROM imgs")
+def print_loops(spark: SparkSession, d: str) -> DataFrame:
+    return printing.loop_lines(annotate.active_rounds(annotate.annotation_task(_images(spark, d), n_patches=10, patch_size=16), 3))

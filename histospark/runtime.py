@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +20,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else one of this machine (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; in local mode also a folder of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="histospark-")
@@ -50,8 +55,10 @@ def stage_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
 _paths: list[tuple[SparkSession, str]] = []
 
 
-def _drop_staged() -> None:
-    for spark, path in _paths:
+def drop_staged(first: int = 0) -> None:
+    """Delete the tables written by ``stage``, but the first so many; results that read them can't be computed any more."""
+    while len(_paths) > first:
+        spark, path = _paths.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -60,7 +67,17 @@ def _drop_staged() -> None:
             return
 
 
-atexit.register(_drop_staged)
+@contextmanager
+def staging() -> Iterator[None]:
+    """Tables written inside are deleted at the end, so that a long session doesn't fill the shared folder."""
+    first = len(_paths)
+    try:
+        yield
+    finally:
+        drop_staged(first)
+
+
+atexit.register(drop_staged)
 
 
 def finite(c: Column) -> Column:
@@ -68,6 +85,12 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
+def same_size(a: str, b: str, value: Column) -> Column:
+    """``value``, an error where the sizes of ``a`` and ``b`` (columns ``{a}_rows, {a}_cols``) differ."""
+    differ = (F.col(f"{a}_rows") != F.col(f"{b}_rows")) | (F.col(f"{a}_cols") != F.col(f"{b}_cols"))
+    return F.when(differ, F.raise_error(F.lit("images and masks must be of the same size"))).otherwise(value)
+
+
 def over(a: Column, b: Column | float) -> Column:
     """``a / b``, NULL where ``b`` is 0: guards of ``when`` don't hold for expressions that are computed once."""
     return a / F.nullif(b if isinstance(b, Column) else F.lit(b), F.lit(0).cast("double"))

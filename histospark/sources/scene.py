@@ -77,6 +77,63 @@ def scene_pixels(customer: DataFrame, channels: int = 1) -> DataFrame:
     return df.select("image_id", "n_rows", "n_cols", "row", "col", "channel", (shade(F.coalesce("label", F.lit(0)), F.col("channel")) / 1000).alias("value"))
 
 
+#: The example scenes: number, ellipses, ground, least and greatest value and noise in thousandths, channels.
+EXAMPLES = {
+    "he_breast": (1, 20, 850, 200, 500, 20, ("H&E",)),
+    "fluorescence_nuclei": (2, 15, 50, 600, 1000, 10, ("DAPI",)),
+    "multiplex_4ch": (3, 18, 50, 300, 1000, 10, ("DAPI", "CD3", "CD8", "PanCK")),
+}
+
+
+def _example(kind: str) -> tuple:
+    if kind not in EXAMPLES:
+        raise ValueError(f"unknown example {kind}")
+    return EXAMPLES[kind]
+
+
+def example_labels(spark: SparkSession, kind: str) -> DataFrame:
+    """The mask of an example scene of 64×64: ellipses by arithmetic, later ones over earlier."""
+    image, n, *_ = _example(kind)
+    k = F.col("k")
+    number = lambda c: c.cast("int")
+    cells = spark.range(1, n + 1).select(F.lit(image).cast("bigint").alias("image_id"), number(F.col("id")).alias("k"))
+    cells = cells.select("image_id", "k", number(4 + (k * 37 + image * 29) % 57).alias("cr"), number(4 + (k * 53 + image * 3) % 57).alias("cc"), number(3 + (k + image) % 5).alias("rx"), number(3 + (k * 2 + image) % 5).alias("ry"))
+    return ellipse_labels(cells)
+
+
+def example_pixels(spark: SparkSession, kind: str) -> DataFrame:
+    """The image of an example scene; a cell's value follows from its number and the channel."""
+    image, _, ground, low, high, noise, names = _example(kind)
+    frame = spark.range(1).select(F.lit(image).cast("bigint").alias("image_id"), F.lit(SIZE).alias("n_rows"), F.lit(SIZE).alias("n_cols"))
+    df = grid(frame).join(example_labels(spark, kind).select("image_id", "row", "col", "label"), ["image_id", "row", "col"], "left")
+    df = df.withColumn("channel", F.explode(F.sequence(F.lit(1), F.lit(len(names)))))
+    inside = low + (F.col("label") * 97 + F.col("channel") * 41) % (high - low + 1)
+    texture = F.floor(((F.col("row") * 31 + F.col("col") * 17 + F.col("channel") * 7) % 21 - 10) * noise / 10)
+    value = F.when(F.col("label").isNotNull(), inside).otherwise(ground) + texture
+    return df.select("image_id", "n_rows", "n_cols", "row", "col", "channel", (F.least(F.greatest(value, F.lit(0)), F.lit(1000)) / 1000).alias("value"))
+
+
+IMAGES = "image_id bigint, n_rows int, n_cols int, n_channels int, channels array<string>, resolution struct<x_um: double, y_um: double>, metadata map<string, string>, history array<string>"
+
+
+def example_images(spark: SparkSession) -> DataFrame:
+    """What is known of the example scenes, a row each."""
+    rows = [(image, SIZE, SIZE, len(names), list(names), (None, None), {"type": kind, "synthetic": "true"}, []) for kind, (image, *_, names) in EXAMPLES.items()]
+    return spark.createDataFrame(rows, IMAGES)
+
+
+def described(spark: SparkSession, arrays: dict[int, np.ndarray], channels: dict[int, list[str]] | None = None, resolution: dict[int, tuple[float, float]] | None = None, metadata: dict[int, dict[str, str]] | None = None) -> DataFrame:
+    """The ``images`` rows of arrays: sizes, channel names (``ch1 ..`` by default), pixel sizes and metadata; no history."""
+    rows = []
+    for image, a in arrays.items():
+        n = 1 if np.ndim(a) == 2 else np.shape(a)[2]
+        names = (channels or {}).get(image) or [f"ch{k + 1}" for k in range(n)]
+        if len(names) != n:
+            raise ValueError(f"image {image} has {n} channels and {len(names)} names")
+        rows.append((image, *np.shape(a)[:2], n, names, (resolution or {}).get(image) or (None, None), (metadata or {}).get(image) or {}, []))
+    return spark.createDataFrame(rows, IMAGES)
+
+
 def embedding_pixels(embeddings: DataFrame, rows: int = 64) -> DataFrame:
     """Vectors as rasters: 64 vectors an image, a vector a row."""
     df = embeddings.select(F.expr(f"vec_id div {rows}").cast("bigint").alias("image_id"), (F.col("vec_id") % rows + 1).cast("int").alias("row"), F.size("embedding").alias("n_cols"), F.posexplode("embedding"))

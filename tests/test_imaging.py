@@ -1,5 +1,7 @@
 import json
+import struct
 import zipfile
+import zlib
 
 import brute
 import numpy as np
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from histospark.functions import rasterfiles
 from histospark.operators import annotate, backends, evaluate, intensity, labeling, masks, measure, models, resample, segment, stencil, tiles
 from histospark.sources import images as files
-from histospark.sources.scene import labels_from_arrays, mask_summary, pixels_from_arrays
+from histospark.sources.scene import described, labels_from_arrays, mask_summary, pixels_from_arrays
 
 rng = np.random.default_rng(3)
 
@@ -129,13 +131,13 @@ def test_stains(spark):
     a = rng.random((10, 10, 3)) * 0.9 + 0.05
     px = pixels_from_arrays(spark, {1: a, 2: np.full((5, 5, 3), 1 - 1e-9)})
     od = -np.log(np.clip(a, 1e-6, 1)).reshape(-1, 3) @ np.linalg.inv(np.array(intensity.RUIFROK))
-    out = intensity.deconvolve(px)
+    out = intensity.deconvolve(px, "ruifrok")
     for k, name in enumerate(("hematoxylin", "eosin", "residual")):
         assert np.allclose(dense(out.where(F.col("stain") == name), 1, (10, 10), "value"), np.maximum(od[:, k], 0).reshape(10, 10))
     m = {r.image_id: np.array(r.stains) for r in intensity.macenko_stains(px).collect()}
     assert np.allclose(m[2], intensity.RUIFROK) and np.allclose(np.linalg.norm(m[1], axis=0), 1)
     with pytest.raises(ValueError):
-        intensity.deconvolve(px, np.ones((3, 3)))
+        intensity.deconvolve(px, stains=np.ones((3, 3)))
 
 
 def test_segmentations(spark):
@@ -272,7 +274,8 @@ def test_files(spark, tmp_path):
     table = spark.read.csv(out, header=True, inferSchema=True)
     assert sorted(r.area for r in table.collect()) == [9, 81] and table.columns[-1] == "cell_id"
     files.export_mask(two, str(tmp_path / "q"), "qupath")
-    fc = json.loads(spark.read.text(str(tmp_path / "q")).first().value)
+    fc = json.loads((tmp_path / "q" / "7.geojson").read_text())
+    assert [p.name for p in (tmp_path / "q").iterdir()] == ["7.geojson"]
     ring = fc["features"][0]["geometry"]["coordinates"][0]
     assert fc["type"] == "FeatureCollection" and fc["features"][0]["id"] == "cell-1" and ring[0] == ring[-1] and len(ring) == 5
     files.export_mask(two, str(tmp_path / "t"), "tiff")
@@ -284,6 +287,140 @@ def test_files(spark, tmp_path):
         files.export_mask(two, str(tmp_path / "x"), "bmp")
 
 
+def _jvm_picture(spark, a, path, kind, packing=None, side=None):
+    """``a`` (rows, columns, 3) as a file written by the JVM's own codecs."""
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(a.shape[1], a.shape[0], 5)
+    for r in range(a.shape[0]):
+        for c in range(a.shape[1]):
+            picture.setRGB(c, r, int(a[r, c, 0]) << 16 | int(a[r, c, 1]) << 8 | int(a[r, c, 2]))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName(kind).next()
+    how = writer.getDefaultWriteParam()
+    if packing:
+        how.setCompressionMode(2)
+        how.setCompressionType(packing)
+    if side:
+        how.setTilingMode(2)
+        how.setTiling(side, side, 0, 0)
+    out = jvm.javax.imageio.ImageIO.createImageOutputStream(jvm.java.io.File(str(path)))
+    writer.setOutput(out)
+    writer.write(None, jvm.javax.imageio.IIOImage(picture, None, None), how)
+    out.close()
+
+
+def test_common_files(spark, tmp_path):
+    a = np.add.outer(np.arange(37) * 3, np.arange(45) * 2)[..., None] % np.array([200, 150, 90])
+    for packing in ("LZW", "Deflate", "ZLib", "PackBits", None):
+        for side in (None, 16):
+            _jvm_picture(spark, a, tmp_path / "x.tif", "tiff", packing, side)
+            assert np.allclose(rasterfiles.decode((tmp_path / "x.tif").read_bytes()) * 255, a)
+    noise = rng.integers(0, 256, (90, 70, 3))
+    _jvm_picture(spark, noise, tmp_path / "n.tif", "tiff", "LZW")
+    assert np.allclose(rasterfiles.decode((tmp_path / "n.tif").read_bytes()) * 255, noise)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    _jvm_picture(spark, a, folder / "a.bmp", "bmp")
+    _jvm_picture(spark, a * 0 + 120, folder / "b.jpg", "jpeg")
+    _jvm_picture(spark, a, folder / "c.png", "png")
+    px = files.read_images(spark, str(folder)).toPandas()
+    for path, g in px.groupby("path"):
+        assert np.allclose(files.to_array(g) * 255, 120 if path.endswith("jpg") else a, atol=2 if path.endswith("jpg") else 1e-6)
+    assert px.path.nunique() == 3 and px.image_id.nunique() == 3
+    (folder / "d.svs").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        files.read_images(spark, str(folder))
+
+
+def test_png_of_few_bits_and_interlaced():
+    a = rng.integers(0, 2, (11, 13))
+    lines = b"".join(b"\0" + np.packbits(row.astype(np.uint8)).tobytes() for row in a)
+
+    def png(body, depth, colour, laced, h, w):
+        chunk = lambda kind, b: struct.pack(">I", len(b)) + kind + b + struct.pack(">I", zlib.crc32(kind + b))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, laced)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+    assert (rasterfiles.decode(png(lines, 1, 0, 0, 11, 13))[..., 0] == a).all()
+    b = rng.integers(0, 256, (11, 13, 3)).astype(np.uint8)
+    body = b""
+    for r0, c0, dr, dc in ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)):
+        for row in b[r0::dr, c0::dc]:
+            if row.size:
+                body += b"\0" + row.tobytes()
+    assert np.allclose(rasterfiles.decode(png(body, 8, 2, 1, 11, 13)) * 255, b)
+    # filters that look left and up
+    for kind in (1, 2, 3, 4):
+        body, before = b"", np.zeros(39, int)
+        for row in b.reshape(11, 39).astype(int):
+            left, corner = np.concatenate([[0] * 3, row[:-3]]), np.concatenate([[0] * 3, before[:-3]])
+            p = left + before - corner
+            near = np.stack([abs(p - left), abs(p - before), abs(p - corner)])
+            paeth = np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], before, corner))
+            body += bytes([kind]) + ((row - {1: left, 2: before, 3: (left + before) // 2, 4: paeth}[kind]) % 256).astype(np.uint8).tobytes()
+            before = row
+        assert np.allclose(rasterfiles.decode(png(body, 8, 2, 0, 11, 13)) * 255, b)
+
+
+def test_sizes_must_agree(spark):
+    small, large = labels_from_arrays(spark, {1: brute.square((10, 10), (3, 5, 1))}), labels_from_arrays(spark, {1: brute.square((12, 10), (3, 5, 1))})
+    px = pixels_from_arrays(spark, {1: np.ones((12, 10))})
+    tries = [
+        lambda: evaluate.evaluate(small, large, small),
+        lambda: masks.merge_assign(small, large),
+        lambda: masks.merge_expand(small, large),
+        lambda: measure.extract_features(px, small, ["a"]),
+    ]
+    for t in tries:
+        with pytest.raises(Exception, match="same size"):
+            t().collect()
+    assert evaluate.evaluate(small, small, small).count() == 7
+
+
+def test_resolution_and_crop(spark):
+    px = pixels_from_arrays(spark, {1: rng.random((8, 8)), 2: rng.random((8, 8))})
+    images = described(spark, {1: np.zeros((8, 8)), 2: np.zeros((8, 8, 3))}, resolution={1: (0.5, 0.5)})
+    assert [r.channels for r in images.orderBy("image_id").collect()] == [["ch1"], ["ch1", "ch2", "ch3"]]
+    with pytest.raises(ValueError):
+        described(spark, {1: np.zeros((2, 2))}, channels={1: ["a", "b"]})
+    out = intensity.preprocess(px, target_resolution=1.0, images=images)
+    assert {r.image_id: r["count"] for r in out.groupBy("image_id").count().collect()} == {1: 16, 2: 64}
+    after = {r.image_id: r for r in intensity.preprocessed(images, contrast="stretch", target_resolution=1.0).collect()}
+    assert (after[1].n_rows, after[1].resolution.x_um, after[1].history) == (4, 1.0, ["contrast:stretch", "resample:1um"])
+    assert (after[2].n_rows, after[2].resolution.x_um, after[2].history) == (8, None, ["contrast:stretch"])
+    for bad in (0, -1.0):
+        with pytest.raises(ValueError):
+            intensity.preprocess(px, target_resolution=bad, images=images)
+    part = segment.crop(px, (3, 20), (2, 4))
+    assert {(r.n_rows, r.n_cols) for r in part.select("n_rows", "n_cols").distinct().collect()} == {(6, 3)} and part.agg(F.max("row"), F.min("col")).first()[:] == (6, 1)
+    assert {(r.n_rows, r.n_cols, len(r.history)) for r in segment.cropped(images, (3, 20), (2, 4)).collect()} == {(6, 3, 0)}
+    with pytest.raises(ValueError):
+        segment.crop(px, (0, 2), (1, 1))
+
+
+def test_random_patches(spark):
+    images = spark.createDataFrame([(1, 100, 300), (2, 40, 40)], "image_id bigint, n_rows int, n_cols int")
+    out = annotate.patch_random(images, 12, 32).collect()
+    assert len(out) == 24 and all(1 <= r.row_start and r.row_end == r.row_start + 31 and r.col_end <= 300 for r in out)
+    assert len({r.row_start for r in out if r.image_id == 1}) == 12 and {r.row_start for r in out if r.image_id == 2} <= set(range(1, 10))
+    assert out == annotate.patch_random(images, 12, 32).collect() != annotate.patch_random(images, 12, 32, seed=2).collect()
+
+
+def test_macenko_deconvolution(spark):
+    stains = np.array([[0.65, 0.70, 0.29], [0.07, 0.99, 0.11]])
+    stains /= np.linalg.norm(stains, axis=1)[:, None]
+    amounts = np.where(rng.random((40, 40, 1)) < 0.5, [1.0, 0.02], [0.02, 1.0]) * rng.uniform(0.3, 1.0, (40, 40, 1))
+    px = pixels_from_arrays(spark, {1: np.exp(-amounts @ stains), 2: np.full((3, 3, 3), 1 - 1e-9)}).cache()
+    own = {r.image_id: np.array([list(x) for x in r.stains]) for r in intensity.macenko_stains(px).collect()}
+    assert np.allclose(own[2], intensity.RUIFROK)
+    near = np.abs(own[1].T[:2] @ stains.T)
+    assert (near.max(axis=1) > 0.99).all()
+    out = intensity.deconvolve(px).where("image_id = 1")
+    want = np.maximum(amounts @ stains @ np.linalg.inv(own[1]), 0)
+    for k, name in enumerate(intensity.STAINS):
+        assert np.allclose(dense(out.where(F.col("stain") == name), 1, (40, 40), "value"), want[..., k])
+    with pytest.raises(ValueError):
+        intensity.deconvolve(px, "vahadane")
+
+
 def test_backends(spark):
     px = pixels_from_arrays(spark, {1: np.where(brute.square((8, 8), (2, 4, 1)) > 0, 0.9, 0.1), 2: np.zeros((8, 8))})
     backends.register("bright", lambda image, over=0.5: (image[..., 0] > over).astype(int))
@@ -293,6 +430,16 @@ def test_backends(spark):
     if not backends.backends()["cellpose"]:
         with pytest.raises(RuntimeError):
             backends.segment(px, "cellpose")
+    with pytest.raises(RuntimeError if not backends.backends()["stardist"] else FileNotFoundError):
+        backends.segment(px, "stardist", custom_model_path="/none")
+    with pytest.raises(FileNotFoundError):
+        backends.segment(px, "bright", custom_model_path="/none")
+    backends.register("mesmer", lambda image, image_mpp=0.5, compartment="both": {"nuclear": np.full(image.shape[:2], round(image_mpp * 100))})
+    two = pixels_from_arrays(spark, {1: np.zeros((2, 2, 2)), 2: np.zeros((2, 2, 2))})
+    known = described(spark, {1: np.zeros((2, 2, 2)), 2: np.zeros((2, 2, 2))}, resolution={1: (0.25, 0.25)})
+    assert {r.image_id: r.label for r in backends.segment(two, "mesmer", known).collect()} == {1: 25, 2: 50}
+    backends._registered.pop("mesmer")
+    assert backends.probe(spark, 2).where("backend = 'cellpose'").count() == 1
     with pytest.raises(ValueError):
         backends.train([(np.zeros((3, 3)), np.zeros((4, 4)))])
     assert backends.train([(np.zeros((3, 3)), np.zeros((3, 3)))], trainer=lambda pairs, **k: f"{len(pairs)}-{k['n_epochs']}") == "1-100"
@@ -305,6 +452,11 @@ def test_models(spark, tmp_path):
     path = models.package(m, str(tmp_path / "out" / "m.zip"), "name")
     back = models.load(path)
     assert back.base_model == "cyto3" and back.training_metrics["dice"] == 0.9 and (tmp_path / "out").exists()
+    assert back.training_metrics == m.training_metrics and back.model_card == {"tissue": "x"} and back.created == m.created.replace(microsecond=0, tzinfo=None)
+    assert [r[0] for r in m.card_rows()][:4] == ["Backend", "Base Model", "Model Path", "Created"] and ("Metric: loss", "3, 2") in m.card_rows()
+    assert "Base model: cyto3" in str(m) and "tissue: x" in m.summary()
+    with zipfile.ZipFile(models.package(m, str(tmp_path / "d.zip"), training_data=str(tmp_path / "out"))) as z:
+        assert "training/m.zip" in z.namelist() and json.loads(z.read("model_card.json"))["name"] == "cellpose_cyto3"
     assert m.losses(spark).count() == 2 and ("Metric: dice", "0.9") in m.card_rows()
     with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
         z.writestr("x", "y")
