@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from histospark.operators.resample import resample, scaled
 from histospark.operators.stencil import keys, mean3
-from histospark.runtime import over
+from histospark.runtime import over, sized
 
 BINS = 256
 #: The Ruifrok and Johnston stain vectors, a row each.
@@ -26,7 +26,7 @@ def optical_density(c: Column) -> Column:
 
 def _stats(df: DataFrame, by: list[str], **aggregates: Column) -> DataFrame:
     """``df`` with aggregates of its groups, which are computed first and joined: no group is held in one task."""
-    totals = df.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(*[c.alias(k) for k, c in aggregates.items()])
+    totals = sized(df.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(*[c.alias(k) for k, c in aggregates.items()]))
     on = [F.col(k) == F.col(f"_{k}") for k in by]
     return df.join(totals, on).drop(*[f"_{k}" for k in by])
 
@@ -75,7 +75,7 @@ def equalize(df: DataFrame, bins: int = BINS) -> DataFrame:
     ends = Window.partitionBy(*by)
     cdf = cdf.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("_bin").alias("_b"), over(F.col("_cum") - F.min("_cum").over(ends), (F.max("_cum").over(ends) - F.min("_cum").over(ends)).cast("double")).alias("_cdf"))
     on = [F.col(k) == F.col(f"_{k}") for k in by] + [F.col("_bin") == F.col("_b")]
-    return df.join(cdf, on, "left").withColumn("value", F.coalesce("_cdf", "value")).drop("_lo", "_hi", "_bin", "_b", "_cdf", *[f"_{k}" for k in by])
+    return df.join(sized(cdf), on, "left").withColumn("value", F.coalesce("_cdf", "value")).drop("_lo", "_hi", "_bin", "_b", "_cdf", *[f"_{k}" for k in by])
 
 
 def histogram(df: DataFrame, bins: int = BINS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from histospark.operators import tiles
 from histospark.operators.forest import spanning_forest
 from histospark.operators.stencil import along_col, along_row
-from histospark.runtime import stage_observed
+from histospark.runtime import sized, stage, stage_observed
 
 def pixel_order() -> Column:
     """Place of a pixel in the scan by rows, from 0."""
@@ -36,6 +36,18 @@ def _component_runs(on: DataFrame) -> DataFrame:
     return r.join(named, (F.col("image_id") == F.col("_i")) & (F.col("first") == F.col("_f")), "left").withColumn("first", F.coalesce("_least", "first")).drop("_i", "_f", "_least")
 
 
+def _ranked(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """``df`` with the place ``name`` of each row in its group, from 1; ``order`` has no ties in a group.
+
+    Rows are ordered by ranges and counted by range, so no group is ranked in one task."""
+    ordered = stage(df.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_g").orderBy("_p")
+    counts = ordered.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    counts = sized(counts.withColumn("_before", F.sum("_n").over(before) - F.col("_n")).drop("_n"))
+    within = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order))
+    return ordered.withColumn(name, within).join(counts, (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p"))).withColumn(name, (F.col("_before") + F.col(name)).cast("int")).drop("_part", "_g", "_p", "_before")
+
+
 def _pixels_of(r: DataFrame, *columns: str) -> DataFrame:
     return r.select("image_id", "n_rows", "n_cols", "row", F.explode(F.sequence("c0", "c1")).alias("col"), *columns)
 
@@ -45,7 +57,7 @@ def components(on: DataFrame) -> DataFrame:
 
     Labels count from 1 in the order in which a scan by rows meets the components."""
     r = _component_runs(on)
-    ranks = r.select("image_id", "first").distinct().withColumn("label", F.row_number().over(Window.partitionBy("image_id").orderBy("first")))
+    ranks = sized(_ranked(r.select("image_id", "first").distinct(), "image_id", "first", "label"))
     return _pixels_of(r.join(ranks, ["image_id", "first"]), "label")
 
 
@@ -83,20 +95,20 @@ def seeds(df: DataFrame, h: float = 0.05) -> DataFrame:
 
     The distance is turned round, so that what is on has the greatest; seeds are therefore what
     is on and a margin around it. An image without pixels that are on has no seeds."""
-    df = distance(df)
-    far = df.groupBy(F.col("image_id").alias("_i")).agg(F.max("d").alias("_far"))
+    df = stage(distance(df))
+    far = sized(df.groupBy(F.col("image_id").alias("_i")).agg(F.max("d").alias("_far")))
     near = df.join(far, F.col("image_id") == F.col("_i")).where(F.col("_far") + 1 - F.col("d") > (F.col("_far") + 1) * h)
     return components(near.select("image_id", "n_rows", "n_cols", "row", "col"))
 
 
-def grow(labels: DataFrame, steps: int | None, allowed: DataFrame | None = None) -> DataFrame:
+def grow(labels: DataFrame, steps: int | None, allowed: DataFrame | None = None, more: int = 0) -> DataFrame:
     """Labels spread to unlabelled 4-neighbours, all at once in each of ``steps`` rounds.
 
     A pixel takes the most frequent label among its labelled neighbours, of several the least.
     ``allowed`` (``image_id, row, col``) holds the pixels that may be taken; ``steps`` None means
-    as many rounds as the longer side of the image. Images of one tile are grown at once; the
+    as many rounds as the longer side of the image, and ``more``. Images of one tile are grown at once; the
     tiles of others exchange their margins every ``tiles.HALO`` rounds, until none changes."""
-    rounds = F.greatest("n_rows", "n_cols") if steps is None else F.lit(steps)
+    rounds = F.greatest("n_rows", "n_cols") + more if steps is None else F.lit(steps)
     labels = labels.select("image_id", "n_rows", "n_cols", "row", "col", "label")
     state, seen = stage_observed(tiles.blocks(labels, rounds, allowed), left=F.count_if(F.col("changed") & (F.col("rounds") > 0)))
     while seen["left"]:
@@ -108,12 +120,12 @@ def grow(labels: DataFrame, steps: int | None, allowed: DataFrame | None = None)
 
 def relabel(labels: DataFrame) -> DataFrame:
     """Labels 1..k in the order of the old ones, of which only the distinct are ranked."""
-    ranks = labels.select(F.col("image_id").alias("_i"), F.col("label").alias("_old")).distinct().withColumn("_new", F.row_number().over(Window.partitionBy("_i").orderBy("_old")))
+    ranks = sized(_ranked(labels.select(F.col("image_id").alias("_i"), F.col("label").alias("_old")).distinct(), "_i", "_old", "_new"))
     return labels.join(ranks, (F.col("image_id") == F.col("_i")) & (F.col("label") == F.col("_old"))).withColumn("label", F.col("_new")).drop("_i", "_old", "_new")
 
 
 def filter_by_area(labels: DataFrame, min_area: int = 50, max_area: int = 5000) -> DataFrame:
     """Labels whose number of pixels is in the range (inclusive), relabelled."""
     sizes = labels.groupBy(F.col("image_id").alias("_i"), F.col("label").alias("_l")).agg(F.count("*").alias("_n")).where(F.col("_n").between(min_area, max_area))
-    kept = sizes.withColumn("_new", F.row_number().over(Window.partitionBy("_i").orderBy("_l")))
+    kept = sized(_ranked(sizes, "_i", "_l", "_new"))
     return labels.join(kept, (F.col("image_id") == F.col("_i")) & (F.col("label") == F.col("_l"))).withColumn("label", F.col("_new")).drop("_i", "_l", "_n", "_new")

@@ -173,7 +173,8 @@ def extract_features(pixels: DataFrame, labels: DataFrame, names: list[str], fea
     picked = channel_numbers(names, channels)
     ids = labels.groupBy("image_id").agg(F.max("label").alias("_n")).select("image_id", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("label"))
     sized = lambda df, name: df.withColumnsRenamed({"n_rows": f"{name}_rows", "n_cols": f"{name}_cols"}).select("image_id", "row", "col", f"{name}_rows", f"{name}_cols", *(["channel", "value"] if name == "p" else ["label"]))
-    joined = sized(pixels.where(F.col("channel").isin(list(picked))), "p").join(sized(labels, "l"), ["image_id", "row", "col"])
+    # labels are the smaller side, and their pixels hash evenly, so they needn't be sorted
+    joined = sized(pixels.where(F.col("channel").isin(list(picked))), "p").join(sized(labels, "l").hint("shuffle_hash"), ["image_id", "row", "col"])
     joined = joined.select(*CELL, "channel", same_size("p", "l", F.col("value")).alias("value"))
     parts = []
     if "intensity" in features:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histospark.operators import intensity, labeling, stencil
-from histospark.runtime import stage
+from histospark.runtime import sized, stage
 
 _AT = ["image_id", "n_rows", "n_cols", "row", "col"]
 
@@ -39,7 +39,7 @@ def binarize(pixels: DataFrame, method: str = "otsu", block_size: int = 51, offs
         return stencil.adaptive(pixels, block_size, offset).select(*_AT, "on")
     if method not in ("otsu", "triangle"):
         raise ValueError(f"unknown threshold {method}")
-    t = (intensity.otsu if method == "otsu" else intensity.triangle)(pixels).select(F.col("image_id").alias("_i"), "threshold")
+    t = sized((intensity.otsu if method == "otsu" else intensity.triangle)(pixels).select(F.col("image_id").alias("_i"), "threshold"))
     return pixels.join(t, F.col("image_id") == F.col("_i")).select(*_AT, (F.col("value") > F.col("threshold")).cast("int").alias("on"))
 
 
@@ -60,8 +60,8 @@ def watershed(pixels: DataFrame, number: int = 1, seed_method: str = "h_minima",
     same growth."""
     if seed_method not in ("h_minima", "distance", "markers") or expand_method not in ("voronoi", "dilation"):
         raise ValueError("unknown method")
-    grown = labeling.grow(labeling.seeds(stage(binarize(channel(pixels, number))), h), None)
-    return labeling.grow(grown, expand_pixels) if expand_pixels > 0 else grown
+    # the expansion goes on where the growth ends
+    return labeling.grow(labeling.seeds(stage(binarize(channel(pixels, number))), h), None, more=max(0, expand_pixels))
 
 
 def propagate(nuclei: DataFrame, membrane: DataFrame | None = None, lam: float = 0.01, expand_max: int = 20) -> DataFrame:
@@ -72,6 +72,6 @@ def propagate(nuclei: DataFrame, membrane: DataFrame | None = None, lam: float =
         raise ValueError("lambda must not be negative")
     allowed = None
     if membrane is not None:
-        high = membrane.groupBy(F.col("image_id").alias("_i")).agg(F.percentile("value", 0.9).alias("_q"))
+        high = sized(membrane.groupBy(F.col("image_id").alias("_i")).agg(F.percentile("value", 0.9).alias("_q")))
         allowed = membrane.join(high, F.col("image_id") == F.col("_i")).where("value < _q")
     return labeling.grow(nuclei, expand_max, allowed)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 TILE = 512
 KEY = ["image_id", "tr", "tc"]
+LABELS = "image_id bigint, n_rows int, n_cols int, row int, col int, label int"
 
 
 def tile_of(c: Column | str) -> Column:
@@ -71,6 +72,34 @@ def stencil(df: DataFrame, value: str, halo: int, kind: str, of: Callable[[np.nd
     return tiled(df.select("image_id", "n_rows", "n_cols", "row", "col", value), halo).groupBy(*KEY).applyInArrow(run, schema)
 
 
+def dense(labels: DataFrame, images: DataFrame) -> DataFrame:
+    """Every pixel of ``images`` (``image_id, n_rows, n_cols``) with its label, 0 for none.
+
+    Only labelled pixels and a row for each tile are exchanged."""
+    none = F.lit(None).cast("int")
+    frames = images.select("image_id", "n_rows", "n_cols").distinct()
+    frames = frames.withColumn("tr", F.explode(F.sequence(F.lit(0), tile_of("n_rows")))).withColumn("tc", F.explode(F.sequence(F.lit(0), tile_of("n_cols"))))
+    rows = frames.select(*KEY, "n_rows", "n_cols", none.alias("row"), none.alias("col"), none.alias("label"))
+    rows = rows.unionByName(tiled(labels).select(*KEY, none.alias("n_rows"), none.alias("n_cols"), "row", "col", "label"))
+
+    def run(table: pa.Table) -> pa.Table:
+        frame = table.filter(pc.is_valid(table["n_rows"]))
+        if not frame.num_rows:
+            return pa.table([pa.array([], k) for k in (pa.int64(), *[pa.int32()] * 5)], [x.split()[0] for x in LABELS.split(", ")])
+        image, h, w, tr, tc = _frame(frame)
+        (r0, r1), (c0, c1) = bounds(h, tr), bounds(w, tc)
+        a = np.zeros((r1 - r0, c1 - c0), np.int32)
+        row, col, label = _numpy(table.filter(pc.is_valid(table["row"])), "row", "col", "label")
+        there = (row > r0) & (row <= r1) & (col > c0) & (col <= c1)
+        a[row[there] - 1 - r0, col[there] - 1 - c0] = label[there]
+        n = a.size
+        r, c = (x.ravel().astype(np.int32) for x in np.indices(a.shape))
+        columns = [np.full(n, image), np.full(n, h, np.int32), np.full(n, w, np.int32), r + np.int32(r0 + 1), c + np.int32(c0 + 1), a.ravel()]
+        return pa.table(dict(zip((x.split()[0] for x in LABELS.split(", ")), columns)))
+
+    return rows.groupBy(*KEY).applyInArrow(run, LABELS)
+
+
 def extreme(a: np.ndarray, half: int, most: bool) -> np.ndarray:
     """Greatest or least value of the square around each pixel; pixels beyond the array don't count."""
     pick = np.maximum if most else np.minimum
@@ -257,9 +286,6 @@ def grown(state: DataFrame) -> DataFrame:
     return parts.groupBy(*KEY).applyInArrow(run, BLOCKS)
 
 
-LABELS = "image_id bigint, n_rows int, n_cols int, row int, col int, label int"
-
-
 def labelled(state: DataFrame) -> DataFrame:
     """The labelled pixels of blocks."""
 

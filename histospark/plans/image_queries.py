@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histospark.functions import rasterfiles
-from histospark.operators import annotate, evaluate, intensity, labeling, masks, measure, models, resample, segment, stencil
+from histospark.operators import annotate, evaluate, intensity, labeling, masks, measure, models, resample, segment, stencil, tiles
 from histospark.plans import plotdata, printing
 from histospark.plans import scene_sql as S
 from histospark.runtime import load, stage
@@ -63,8 +63,7 @@ def _raster(spark: SparkSession, d: str) -> DataFrame:
 
 def _dense(spark: SparkSession, d: str, on: Column) -> DataFrame:
     """Every pixel of the scene with ``on`` as 0 or 1."""
-    labels = _labels(spark, d).select(*AT, "label")
-    return stage(scene.grid(_images(spark, d)).join(labels, AT, "left").fillna(0, ["label"]).withColumn("on", on.cast("int")).drop("label"))
+    return stage(tiles.dense(scene.scene_labels(_customer(spark, d)), _images(spark, d)).withColumn("on", on.cast("int")).drop("label"))
 
 
 def _holed() -> Column:
@@ -472,13 +471,12 @@ def cell_intensity(spark: SparkSession, d: str) -> DataFrame:
     return f.select("image_id", "cell_id", *[F.round(c, 10 if c.endswith("_mean") else 6).alias(c) for c in f.columns[2:]])
 
 
-@query(f"""WITH {S.SCENE}, q AS (SELECT image_id, label, v // 10 / 100.0 AS x FROM px WHERE ch = 1 AND label > 0),
-n AS (SELECT image_id, label, x, count(*) AS n FROM q GROUP BY ALL), p AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY image_id, label) AS DOUBLE) AS p FROM n),
+@query(f"""WITH {S.SCENE}, q AS (SELECT image_id, label, v / 1000.0 AS x, v // 10 + CASE WHEN v % 10 > 5 THEN 1 WHEN v % 10 = 5 THEN (v // 10) % 2 ELSE 0 END AS b FROM px WHERE ch = 1 AND label > 0),
+n AS (SELECT image_id, label, b, count(*) AS n FROM q GROUP BY ALL), p AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY image_id, label) AS DOUBLE) AS p FROM n),
 e AS (SELECT image_id, label, -sum(p * log2(p)) AS e FROM p GROUP BY ALL), i AS (SELECT image_id, label, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS i FROM q GROUP BY ALL)
 SELECT image_id, label AS cell_id, round(abs(e), 6) AS "DAPI_entropy", round(i, 6) AS "DAPI_iqr" FROM e JOIN i USING (image_id, label)""")
 def cell_texture(spark: SparkSession, d: str) -> DataFrame:
-    px = _pixels(spark, d).withColumn("value", F.floor(F.round(F.col("value") * 1000) / 10) / 100)
-    f = measure.extract_features(px, _labels(spark, d), ["DAPI"], ("texture",))
+    f = measure.extract_features(_pixels(spark, d), _labels(spark, d), ["DAPI"], ("texture",))
     return f.select("image_id", "cell_id", r6("DAPI_entropy").alias("DAPI_entropy"), r6("DAPI_iqr").alias("DAPI_iqr"))
 
 

@@ -52,6 +52,14 @@ def stage_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """``stage``, for a table of aggregates that a far larger one is joined with.
+
+    The planner takes an aggregate for as large as its input and would exchange both sides;
+    of a written table it knows the size, and broadcasts it if that is below its threshold."""
+    return stage(df)
+
+
 _paths: list[tuple[SparkSession, str]] = []
 
 

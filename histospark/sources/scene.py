@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from histospark.operators import tiles
+
 SIZE = 64
 PER_IMAGE = 15
 
@@ -42,12 +44,6 @@ def ellipse_labels(cells: DataFrame, size: int = SIZE) -> DataFrame:
     return inside.groupBy("image_id", F.lit(size).alias("n_rows"), F.lit(size).alias("n_cols"), "row", "col").agg(F.max("k").alias("label"))
 
 
-def grid(images: DataFrame) -> DataFrame:
-    """Every pixel of images ``image_id, n_rows, n_cols``."""
-    rows = images.select("image_id", "n_rows", "n_cols", F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("row"))
-    return rows.select("image_id", "n_rows", "n_cols", "row", F.explode(F.sequence(F.lit(1), F.col("n_cols"))).alias("col"))
-
-
 def scene_images(customer: DataFrame) -> DataFrame:
     return scene_cells(customer).select("image_id").distinct().select("image_id", F.lit(SIZE).alias("n_rows"), F.lit(SIZE).alias("n_cols"))
 
@@ -71,10 +67,9 @@ def shade(label: Column, channel: Column) -> Column:
 
 def scene_pixels(customer: DataFrame, channels: int = 1) -> DataFrame:
     """Dense pixels of the scene, ``channels`` of them (4 at most)."""
-    labels = scene_labels(customer).select("image_id", "row", "col", "label")
-    df = grid(scene_images(customer)).join(labels, ["image_id", "row", "col"], "left")
+    df = tiles.dense(scene_labels(customer), scene_images(customer))
     df = df.withColumn("channel", F.explode(F.sequence(F.lit(1), F.lit(channels))) if channels > 1 else F.lit(1))
-    return df.select("image_id", "n_rows", "n_cols", "row", "col", "channel", (shade(F.coalesce("label", F.lit(0)), F.col("channel")) / 1000).alias("value"))
+    return df.select("image_id", "n_rows", "n_cols", "row", "col", "channel", (shade(F.col("label"), F.col("channel")) / 1000).alias("value"))
 
 
 #: The example scenes: number, ellipses, ground, least and greatest value and noise in thousandths, channels.
@@ -105,11 +100,11 @@ def example_pixels(spark: SparkSession, kind: str) -> DataFrame:
     """The image of an example scene; a cell's value follows from its number and the channel."""
     image, _, ground, low, high, noise, names = _example(kind)
     frame = spark.range(1).select(F.lit(image).cast("bigint").alias("image_id"), F.lit(SIZE).alias("n_rows"), F.lit(SIZE).alias("n_cols"))
-    df = grid(frame).join(example_labels(spark, kind).select("image_id", "row", "col", "label"), ["image_id", "row", "col"], "left")
+    df = tiles.dense(example_labels(spark, kind), frame)
     df = df.withColumn("channel", F.explode(F.sequence(F.lit(1), F.lit(len(names)))))
     inside = low + (F.col("label") * 97 + F.col("channel") * 41) % (high - low + 1)
     texture = F.floor(((F.col("row") * 31 + F.col("col") * 17 + F.col("channel") * 7) % 21 - 10) * noise / 10)
-    value = F.when(F.col("label").isNotNull(), inside).otherwise(ground) + texture
+    value = F.when(F.col("label") > 0, inside).otherwise(ground) + texture
     return df.select("image_id", "n_rows", "n_cols", "row", "col", "channel", (F.least(F.greatest(value, F.lit(0)), F.lit(1000)) / 1000).alias("value"))
 
 
