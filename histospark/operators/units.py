@@ -40,6 +40,11 @@ LENGTH_UNITS = ["um", "nm", "mm", "cm", "m", "px/mm", "px/cm", "px/inch"]
 AREA_UNITS = ["px", "kpx", "um2", "mm2", "nm2"]
 ROW_UNITS = ["px", "um", "mm", "nm", "percent", "fraction"]
 _UNKNOWN = -99.0
+#: A pixel size in a text: a number and what follows it; a density of pixels; the unit under a key of its own, or in a note.
+WRITTEN = rf"(?:^|[;\s=])(?:scale|mpp|pixel_?size|physicalsize[xy]?|res|resolution|auflösung|pixelgröße|pixel size|one pixel|sampled at|sampling|scanned (?:at|with))(?:_[0-9]+)?\s*[:=]?\s*{U.NUMBER}\s*([^;0-9]*)"
+DENSITY = rf"{U.NUMBER}\s*((?:{U.DENSITY})[^;]*)"
+UNIT_KEY = r"(?:^|; )(?:unit|res_unit|pixel_unit|physicalsizeunit[xy]?)(?:_[0-9]+)?=([^;]*)"
+UNIT_NOTE = r"(?:pixel size|pixelgröße|resolution|auflösung)(?: given| recorded| angegeben)? in ([^;]*)"
 
 
 def _log(c: Column) -> Column:
@@ -67,14 +72,10 @@ def pixel_sizes(images: DataFrame, runs: DataFrame | None = None, classify: bool
     rx, ry = (finite(F.col(f"resolution.{k}_um")) for k in "xy")
     rx, ry = F.when(rx > 0, rx), F.when(ry > 0, ry)
     text = F.concat_ws(" ; ", F.transform(F.map_entries("metadata"), lambda e: F.concat(U.plain(e["key"]), F.lit("="), F.coalesce(U.plain(e["value"]), F.lit("")))))
-    written = rf"(?:^|[;\s=])(?:scale|mpp|pixel_?size|physicalsize[xy]?|res|resolution|auflösung|pixelgröße|pixel size|one pixel|sampled at|sampling|scanned (?:at|with))(?:_[0-9]+)?\s*[:=]?\s*{U.NUMBER}\s*([^;0-9]*)"
-    density = rf"{U.NUMBER}\s*((?:{U.DENSITY})[^;]*)"
-    unit_key = r"(?:^|; )(?:unit|res_unit|pixel_unit|physicalsizeunit[xy]?)(?:_[0-9]+)?=([^;]*)"
-    unit_note = r"(?:pixel size|pixelgröße|resolution|auflösung)(?: given| recorded| angegeben)? in ([^;]*)"
     df = images.select("image_id", "site", F.col("metadata")["scanner"].alias("scanner"), rx.alias("_rx"), ry.alias("_ry"), text.alias("_text"))
-    part = lambda k: F.coalesce(*[F.nullif(F.regexp_extract("_text", p, k), F.lit("")) for p in (written, density)])
+    part = lambda k: F.coalesce(*[F.nullif(F.regexp_extract("_text", p, k), F.lit("")) for p in (WRITTEN, DENSITY)])
     df = df.withColumns({"_num": U.number(part(1)), "_num_unit": part(2)})
-    stated = F.coalesce(U.length_unit(F.regexp_extract("_text", unit_key, 1)), U.length_unit(F.regexp_extract("_text", unit_note, 1)))
+    stated = F.coalesce(U.length_unit(F.regexp_extract("_text", UNIT_KEY, 1)), U.length_unit(F.regexp_extract("_text", UNIT_NOTE, 1)))
     recorded = F.coalesce("_rx", "_ry")
     own = F.when(F.col("_num") > 0, F.col("_num"))
     df = df.withColumns(

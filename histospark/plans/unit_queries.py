@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from histospark.functions import unittext as U
 from histospark.operators import units
 from histospark.runtime import load
 
@@ -41,4 +42,51 @@ def p2_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_pixel_sizes, p2_converted, p2_review, p2_accuracy)}
-SQL: dict[str, str] = {}
+
+
+def _case(text: str, table: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}') THEN '{name}'" for name, p in table.items()) + " END"
+
+
+def _plain(c: str) -> str:
+    return f"translate(lower({c}), '０１２３４５６７８９µμ²', '0123456789uu2')"
+
+
+def _stated(source: str, out: str) -> str:
+    """Units that the text ``said`` of each row of ``source`` states for areas and rows; NULL where it states none."""
+    rest = "said"
+    for p in U.AREAS.values():
+        rest = f"regexp_replace({rest}, '{p}', ' ', 'g')"
+    pos = _case("rest", U.POSITIONS)
+    return f"""{out}_rest AS (SELECT *, {_case("said", U.AREAS)} AS a, {rest} AS rest FROM {source}), {out}_both AS (SELECT *, {pos} AS p FROM {out}_rest),
+{out} AS (SELECT image_id, tool, coalesce(a, 'px') AS area_unit, coalesce(p, 'px') AS row_unit FROM {out}_both WHERE a IS NOT NULL OR p IS NOT NULL OR regexp_matches(said, '{U.PIXELS}'))"""
+
+
+def _found_sql() -> str:
+    """Values in other units by statements and plain rules alone, for the check."""
+    lengths = {k: p for k, (p, _) in U.LENGTHS.items()}
+    real = lambda c: f"CASE WHEN NOT isnan({c}) AND NOT isinf({c}) THEN {c} END"
+    first = lambda p, k: f"nullif(regexp_extract(said, '{p}', {k}), '')"
+    number = f"coalesce({first(units.WRITTEN, 1)}, {first(units.DENSITY, 1)})"
+    named = f"coalesce({first(units.WRITTEN, 2)}, {first(units.DENSITY, 2)})"
+    of_key = f"coalesce({_case(f"regexp_extract(said, '{units.UNIT_KEY}', 1)", lengths)}, {_case(f"regexp_extract(said, '{units.UNIT_NOTE}', 1)", lengths)})"
+    return f"""WITH texts AS (SELECT image_id, {real("resolution.x_um")} AS x, {real("resolution.y_um")} AS y,
+    coalesce((SELECT string_agg({_plain("e.key")} || '=' || coalesce({_plain("e.value")}, ''), ' ; ') FROM (SELECT unnest(map_entries(metadata)) AS e)), '') AS said FROM images),
+read AS (SELECT image_id, coalesce(CASE WHEN x > 0 THEN x END, CASE WHEN y > 0 THEN y END) AS recorded, try_cast(replace({number}, ',', '.') AS DOUBLE) AS own, {named} AS own_unit, {of_key} AS key_unit FROM texts),
+sizes AS (SELECT image_id, coalesce(recorded, CASE WHEN own > 0 THEN own END) AS v, CASE WHEN recorded IS NULL THEN coalesce({_case("own_unit", lengths)}, key_unit) ELSE key_unit END AS unit FROM read),
+notes AS (SELECT DISTINCT image_id, tool, {_plain("unit_note")} AS said FROM features WHERE unit_note IS NOT NULL), {_stated("notes", "noted")},
+infos AS (SELECT DISTINCT image_id, element_at(model_info, 'tool')[1] AS tool, {_plain("(SELECT string_agg(e.value, ' | ') FROM (SELECT unnest(map_entries(model_info)) AS e) WHERE e.key NOT IN ('tool', 'method') AND NOT regexp_matches(e.key, 'regist|align|target|tile'))")} AS said
+  FROM masks WHERE model_info IS NOT NULL AND image_id IS NOT NULL), {_stated("infos", "made")},
+says AS (SELECT * FROM (SELECT image_id, tool, max(area_unit <> 'px') AS area, max(row_unit <> 'px') AS row_ FROM noted GROUP BY ALL) n
+  UNION ALL SELECT * FROM (SELECT image_id, tool, max(area_unit <> 'px'), max(row_unit <> 'px') FROM made GROUP BY ALL) m WHERE NOT EXISTS (SELECT 1 FROM noted WHERE noted.image_id IS NOT DISTINCT FROM m.image_id AND noted.tool IS NOT DISTINCT FROM m.tool)),
+cells AS (SELECT image_id, cell_id, tool, {real("area")} AS area, {real("circularity * perimeter * perimeter / (4 * pi())")} AS pixels, {real("centroid_row")} AS row_ FROM features),
+runs AS (SELECT image_id, tool, sum(area) FILTER (area > 0 AND pixels > 0) / sum(pixels) FILTER (area > 0 AND pixels > 0) AS ratio, max(row_) AS top,
+  avg(CAST(abs(row_ * 100 - round(row_ * 100)) > 1e-4 * greatest(1.0, abs(row_) * 1e-6) AS DOUBLE)) AS fine FROM cells GROUP BY ALL),
+other AS (SELECT r.image_id, r.tool, coalesce(s.area, abs(ratio - 1) >= 0.002, false) AS area_other, coalesce(s.row_, coalesce(top > n_rows + 1, false) OR coalesce(fine > 0.1, false)) AS row_other
+  FROM runs r LEFT JOIN says s ON s.image_id IS NOT DISTINCT FROM r.image_id AND s.tool IS NOT DISTINCT FROM r.tool LEFT JOIN images i ON i.image_id = r.image_id)
+SELECT DISTINCT c.image_id, c.cell_id, 'area' AS field FROM cells c JOIN other o ON o.image_id = c.image_id AND o.tool IS NOT DISTINCT FROM c.tool WHERE area_other AND c.area <> 0 AND c.cell_id IS NOT NULL
+UNION ALL SELECT DISTINCT c.image_id, c.cell_id, 'centroid_row' FROM cells c JOIN other o ON o.image_id = c.image_id AND o.tool IS NOT DISTINCT FROM c.tool WHERE row_other AND c.row_ IS NOT NULL AND c.cell_id IS NOT NULL
+UNION ALL SELECT image_id, 0, 'resolution' FROM sizes WHERE v IS NOT NULL AND CASE WHEN unit IS NULL THEN v NOT BETWEEN 0.09 AND 1.2 ELSE unit <> 'um' END"""
+
+
+SQL: dict[str, str] = {"p2_found": _found_sql()}
