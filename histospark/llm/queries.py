@@ -137,8 +137,29 @@ QUERIES = {
     f.__name__: f
     for f in (p1_subset, p1_coverage, p3_found, p3_cells, p3_groups, p3_leaves, p4_percentiles, p4_combined, p4_perimeter, p5_found, p5_forest, p5_splits, p6_ids, p7_mix, p7_shares, p8_found, p8_judged)
 }
+_DIGITS = "translate(e.value, '０１２３４５６７８９', '0123456789')"
+_REF = "try_cast(nullif(regexp_extract({}, '([0-9]+)', 1), '') AS BIGINT)".format
+_HEADER = r'"(?:origin|parent|derived_from|source)"\s*:\s*([^,}]*)'
 _OUTER = ("p05", "p25", "p50", "p75", "p95")
 SQL = {
+    "p5_found": rf"""
+        WITH RECURSIVE entries AS (SELECT image_id, site, unnest(map_entries(metadata)) AS e FROM images),
+        facts AS (SELECT image_id, site, lower(e.key) AS k, {_DIGITS} AS v FROM entries),
+        patients AS (SELECT image_id, site, try_cast(regexp_extract(v, '([0-9]+)', 1) AS BIGINT) AS number FROM facts
+          WHERE regexp_matches(k, '^(?:patient|pat[-_ .]?(?:nr|no|id)|subject)') AND site IS NOT NULL AND regexp_full_match(v, '[^0-9]*[0-9]+[^0-9]*')),
+        same AS (SELECT min(image_id) OVER (PARTITION BY site, number) AS a, image_id AS b FROM patients WHERE number <> 0),
+        refs AS (
+          SELECT {_REF("v")} AS a, image_id AS b FROM facts WHERE regexp_matches(k, '(?:_of|parent|derived|from|origin|source)(?:_?image|_?id)?(?:_[0-9]+)?$')
+          UNION ALL SELECT {_REF(f"regexp_extract(v, '{_HEADER}', 1)")}, image_id FROM facts WHERE regexp_matches(v, '{_HEADER}')
+          UNION ALL SELECT try_cast(unnest(regexp_extract_all(lower(v), '(?:{splits.MADE_FROM})[^0-9;]*([0-9]+)', 1)) AS BIGINT), image_id FROM facts
+          UNION ALL SELECT {_REF(_DIGITS)}, image_id FROM (SELECT image_id, unnest(map_entries(model_info)) AS e FROM masks WHERE model_info IS NOT NULL) WHERE regexp_matches(lower(e.key), 'regist|align')),
+        covered AS (SELECT task_id, coalesce(image_id, {_REF("translate(image_ref, '０１２３４５６７８９', '0123456789')")}) AS image_id FROM annotation_tasks WHERE task_id IS NOT NULL),
+        tasks AS (SELECT min(image_id) OVER (PARTITION BY task_id) AS a, image_id AS b FROM covered SEMI JOIN images USING (image_id)),
+        pairs AS (SELECT * FROM same UNION ALL SELECT * FROM refs UNION ALL SELECT * FROM tasks),
+        known AS (SELECT p.a, p.b FROM pairs p WHERE a <> b AND a IN (SELECT image_id FROM images) AND b IN (SELECT image_id FROM images)),
+        edges AS MATERIALIZED (SELECT a, b FROM known UNION SELECT b, a FROM known),
+        reach AS (SELECT DISTINCT a AS node, a AS root FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root < e.b)
+        SELECT min(root) AS root_id, node AS image_id FROM reach GROUP BY node HAVING min(root) < node""",
     "p4_perimeter": f"""
         WITH measured AS (SELECT DISTINCT image_id, cell_id, tool, extracted_at, perimeter FROM features),
         there AS (SELECT image_id, CAST(extracted_at AS DATE) AS day, perimeter AS x FROM measured WHERE perimeter IS NOT NULL AND NOT isnan(perimeter)),

@@ -30,7 +30,7 @@ from histospark.runtime import stage
 RANGES = 512
 #: Splits that may be named; more are an error, since their table is collected.
 MAX_SPLITS = 1000
-_MADE_FROM = r"(?:rescan(?:ned)?|crop|cut-?out|copy|duplicate|made|derived|taken|cropped|copied)(?: was)?(?: taken| made)? (?:of|from)|ausschnitt (?:aus|von)|kopie von|same (?:glass|slide) as"
+MADE_FROM = r"(?:rescan(?:ned)?|crop|cut-?out|copy|duplicate|made|derived|taken|cropped|copied)(?: was)?(?: taken| made)? (?:of|from)|ausschnitt (?:aus|von)|kopie von|same (?:glass|slide) as"
 
 
 def _entries(c: str) -> Column:
@@ -55,7 +55,7 @@ def relations(images: DataFrame, masks: DataFrame, tasks: DataFrame) -> DataFram
     patients = patients.where("number is not null").select(_node(F.lit("patient"), F.col("site"), F.col("number")).alias("a"), F.col("image_id").alias("b"))
     named = facts.where(F.col("key").rlike(r"(?:_of|parent|derived|from|origin|source)(?:_?image|_?id)?(?:_[0-9]+)?$")).select(F.array(image_number(F.col("value"))).alias("refs"), "image_id")
     header = facts.where(F.col("value").rlike(r'"(?:origin|parent|derived_from|source)"\s*:')).select(F.array(image_number(F.regexp_extract("value", r'"(?:origin|parent|derived_from|source)"\s*:\s*([^,}]*)', 1))).alias("refs"), "image_id")
-    notes = facts.where(F.lower("value").rlike(_MADE_FROM)).select(F.transform(F.regexp_extract_all(F.lower("value"), F.lit(rf"(?:{_MADE_FROM})[^0-9;]*([0-9]+)"), 1), lambda x: x.try_cast("bigint")).alias("refs"), "image_id")
+    notes = facts.where(F.lower("value").rlike(MADE_FROM)).select(F.transform(F.regexp_extract_all(F.lower("value"), F.lit(rf"(?:{MADE_FROM})[^0-9;]*([0-9]+)"), 1), lambda x: x.try_cast("bigint")).alias("refs"), "image_id")
     registered = masks.select("image_id", _entries("model_info")).where(F.lower("e.key").rlike("regist|align")).select(F.array(image_number(F.col("e.value"))).alias("refs"), "image_id")
     pairs = named.unionByName(header).unionByName(notes).unionByName(registered).select(F.explode("refs").alias("a"), F.col("image_id").alias("b")).where("a >= 0")
     pairs = pairs.join(known, F.col("a") == F.col("image_id"), "left_semi")
