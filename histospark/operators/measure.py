@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,21 +49,49 @@ def moments(labels: DataFrame) -> DataFrame:
     )
 
 
-def ring(r: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Vertices of the convex hull of points, by a monotone chain; two for points on a line."""
-    points = sorted(set(zip(c.tolist(), r.tolist())))
-    if len(points) < 3:
-        return np.array(points, float).reshape(-1, 2)
-
-    def half(ps: list) -> list:
-        chain: list = []
-        for p in ps:
-            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]) <= 0:
-                chain.pop()
-            chain.append(p)
-        return chain[:-1]
-
-    return np.array(half(points) + half(points[::-1]), float)
+def _convex(cell: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which points of chains (sorted by cell and row) are corners of the hull on the side of large ``c``.
+
+    Points that don't lie beyond the line of their neighbours are no corners; they are taken away
+    from all chains at once until none is left."""
+    left = np.arange(len(cell))
+    while len(left) > 2:
+        k, y, x = cell[left], r[left], c[left]
+        inner = (k[1:-1] == k[:-2]) & (k[1:-1] == k[2:])
+        over = (x[1:-1] - x[:-2]) * (y[2:] - y[:-2]) - (x[2:] - x[:-2]) * (y[1:-1] - y[:-2])
+        drop = inner & (over <= 0)
+        if not drop.any():
+            break
+        left = left[np.concatenate([[True], ~drop, [True]])]
+    return left
+
+
+def rings(cell: np.ndarray, r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Corners of the convex hulls of cells, given each row's ends: cell, x, y in the order of the ring, and twice the area of each cell.
+
+    Cells are numbered 0.. and rows sorted by cell and row. A ring starts at its least x, of several the
+    least y, and goes on along the least y."""
+    r, c0, c1 = (v.astype(np.int64) for v in (r, c0, c1))
+    right, left = _convex(cell, r, c1), _convex(cell, r, -c0)[::-1]
+    single = c0[left] == c1[left]
+    # a first or last row of one pixel is the same corner on both sides
+    edge = np.concatenate([[True], cell[1:] != cell[:-1]]) | np.concatenate([cell[1:] != cell[:-1], [True]]) if len(cell) else np.zeros(0, bool)
+    left = left[~(single & edge[left])]
+    who, x, y = np.concatenate([cell[right], cell[left]]), np.concatenate([c1[right], c0[left]]), np.concatenate([r[right], r[left]])
+    order = np.argsort(who, kind="stable")
+    who, x, y = who[order], x[order], y[order]
+    n = int(cell[-1]) + 1 if len(cell) else 0
+    size = np.bincount(who, minlength=n)
+    start = np.cumsum(size) - size
+    place = np.arange(len(who)) - start[who]
+    first = np.lexsort((y, x, who))[start[size > 0]] if len(who) else np.empty(0, int)
+    turn = np.zeros(n, np.int64)
+    turn[who[first]] = place[first]
+    order = np.argsort(start[who] + (place - turn[who]) % size[who], kind="stable")
+    who, x, y = who[order], x[order], y[order]
+    after = np.where(np.arange(len(who)) + 1 < start[who] + size[who], np.arange(len(who)) + 1, start[who])
+    twice = np.bincount(who, (x * y[after] - y * x[after]).astype(float), n)
+    return who, x, y, np.abs(twice)
 
 
 def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -87,25 +115,36 @@ def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
     return out if len(out) > 2 else points
 
 
+_HULLS = "image_id bigint, label int, n bigint, hull_area double, ring array<struct<x: double, y: double>>"
+
+
 def hulls(labels: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Per cell ``n, hull_area`` and ``ring`` (x the column, y the row), of pixel centres.
 
-    Only the ends of each row of a cell go to Python. Cells of fewer than three pixels have
-    their number of pixels for an area; cells on a line 0."""
+    Only the ends of each row of a cell go to Python, where all cells of a batch are worked on at
+    once. Cells of fewer than three pixels have their number of pixels for an area; cells on a
+    line 0."""
     rows = labels.groupBy(*CELL, "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.count("*").alias("m"))
-    cells = rows.groupBy(*CELL).agg(F.sum("m").alias("n"), F.collect_list("row").alias("rows"), F.collect_list("c0").alias("c0"), F.collect_list("c1").alias("c1"))
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            area, rings = [], []
-            for n, r, a, b in zip(f["n"], f["rows"], f["c0"], f["c1"]):
-                p = ring(np.concatenate([r, r]), np.concatenate([a, b]))
-                x, y = p[:, 0], p[:, 1]
-                area.append(float(n) if n < 3 else float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2))
-                rings.append([{"x": float(u), "y": float(v)} for u, v in simplified(p, tolerance)])
-            yield pd.DataFrame({"image_id": f["image_id"], "label": f["label"], "n": f["n"], "hull_area": area, "ring": rings})
-
-    return cells.mapInPandas(of, "image_id bigint, label int, n bigint, hull_area double, ring array<struct<x: double, y: double>>")
+    ends = F.sort_array(F.collect_list(F.struct("row", "c0", "c1")))
+    cells = rows.groupBy(*CELL).agg(F.sum("m").alias("n"), ends.alias("e")).select(F.col("image_id").cast("bigint"), F.col("label").cast("int"), "n", *[F.col(f"e.{k}").alias(k) for k in ("row", "c0", "c1")])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.diff(np.asarray(batch.column(3).offsets))
+            cell = np.repeat(np.arange(batch.num_rows), sizes)
+            who, x, y, twice = rings(cell, *(np.asarray(batch.column(k).flatten()) for k in (3, 4, 5)))
+            n = np.asarray(batch.column(2))
+            size = np.bincount(who, minlength=batch.num_rows)
+            if tolerance > 0:
+                parts = [simplified(p, tolerance) for p in np.split(np.column_stack([x, y]).astype(float), np.cumsum(size)[:-1])]
+                size, (x, y) = np.array([len(p) for p in parts]), np.concatenate(parts).T
+            points = pa.StructArray.from_arrays([pa.array(x.astype(float)), pa.array(y.astype(float))], ["x", "y"])
+            ring = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), points)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.where(n < 3, n, twice / 2).astype(float)), ring], ["image_id", "label", "n", "hull_area", "ring"])
+
+    return cells.mapInArrow(of, _HULLS)
 
 
 def morphology(labels: DataFrame) -> DataFrame:

@@ -110,3 +110,20 @@ def square(shape, *cells):
     for a, b, k in cells:
         out[a - 1 : b, a - 1 : b] = k
     return out
+
+
+def hull(x, y):
+    """Corners by a monotone chain from the least point on."""
+    points = sorted(set(zip(x.tolist(), y.tolist())))
+    if len(points) < 3:
+        return points
+
+    def half(ps):
+        chain = []
+        for p in ps:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]) <= 0:
+                chain.pop()
+            chain.append(p)
+        return chain[:-1]
+
+    return half(points) + half(points[::-1])

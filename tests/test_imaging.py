@@ -189,6 +189,19 @@ def test_hulls(spark):
         nxt = np.roll(ring, -1, 0)
         for p in points:  # all points on one side of every edge
             assert ((nxt[:, 0] - ring[:, 0]) * (p[1] - ring[:, 1]) - (nxt[:, 1] - ring[:, 1]) * (p[0] - ring[:, 0]) >= -1e-9).all()
+    for _ in range(200):  # many cells at once, against a chain for each
+        h, w = rng.integers(1, 12, 2)
+        kinds = [(rng.random((h, w)) < rng.random()).astype(int) for _ in range(4)]
+        cells = [np.argwhere(k) for k in kinds if k.any()]
+        if not cells:
+            continue
+        ends = [(i, r, *np.sort(p[p[:, 0] == r, 1])[[0, -1]]) for i, p in enumerate(cells) for r in np.unique(p[:, 0])]
+        who, x, y, twice = measure.rings(*np.array(ends).T)
+        for i, p in enumerate(cells):
+            want = brute.hull(p[:, 1], p[:, 0])
+            assert list(zip(x[who == i].tolist(), y[who == i].tolist())) == want
+            q = np.array(want)
+            assert twice[i] == abs(np.dot(q[:, 0], np.roll(q[:, 1], -1)) - np.dot(q[:, 1], np.roll(q[:, 0], -1)))
     line = labels_from_arrays(spark, {1: np.eye(5, dtype=int)})
     assert measure.hulls(line).first().hull_area == 0 and measure.polygons(line).count() == 0
     assert len(measure.simplified(np.array([(0, 0), (5, 0.1), (10, 0), (10, 10), (0, 10)], float), 1.0)) == 4
