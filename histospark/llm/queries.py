@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from histospark.llm import bpe, clusters, mix, percentiles, spam, splits, subset
 from histospark.operators import units
+from histospark.plans.unit_queries import values_sql
 from histospark.runtime import load, stage
 
 
@@ -110,11 +111,20 @@ def p4_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.combine(days, ["metric", "image_id"])
 
 
+def _outer(rows: DataFrame, metric: str, places: int) -> DataFrame:
+    out = percentiles.percentiles(percentiles.measurements(rows, [metric]), [metric])
+    return out.select("level", "image_id", "day", "n", *[F.round(c, places).alias(c) for c in _OUTER])
+
+
 def p4_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact medians, quartiles and outer percentiles of the perimeters of each image, day, and day of an image."""
-    measured = percentiles.measurements(load(spark, sf_dir, "features"), ["perimeter"])
-    rows = percentiles.percentiles(measured, ["perimeter"])
-    return rows.select("level", "image_id", "day", "n", *[F.round(c, 9).alias(c) for c in _OUTER])
+    return _outer(load(spark, sf_dir, "features"), "perimeter", 9)
+
+
+def p4_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of areas in pixels."""
+    rows = _pixels(spark, sf_dir, "cell_id", "extracted_at")
+    return _outer(rows.withColumn("area", rows["area_px"]), "area", 6)
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mix.Source], int]:
@@ -135,12 +145,21 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_subset, p1_coverage, p3_found, p3_cells, p3_groups, p3_leaves, p4_percentiles, p4_combined, p4_perimeter, p5_found, p5_forest, p5_splits, p6_ids, p7_mix, p7_shares, p8_found, p8_judged)
+    for f in (p1_subset, p1_coverage, p3_found, p3_cells, p3_groups, p3_leaves, p4_percentiles, p4_combined, p4_perimeter, p4_area, p5_found, p5_forest, p5_splits, p6_ids, p7_mix, p7_shares, p8_found, p8_judged)
 }
 _DIGITS = "translate(e.value, '０１２３４５６７８９', '0123456789')"
 _REF = "try_cast(nullif(regexp_extract({}, '([0-9]+)', 1), '') AS BIGINT)".format
 _HEADER = r'"(?:origin|parent|derived_from|source)"\s*:\s*([^,}]*)'
 _OUTER = ("p05", "p25", "p50", "p75", "p95")
+
+
+def _levels(places: int) -> str:
+    """Percentiles of ``there`` (``image_id, day, x``) on three levels."""
+    return f"""levels AS (SELECT 'image_day' AS level, image_id, day, x FROM there UNION ALL SELECT 'image', image_id, NULL, x FROM there UNION ALL SELECT 'day', NULL, day, x FROM there)
+        SELECT level, image_id, day, count(*) AS n, {", ".join(f"round(quantile_cont(x, 0.{c[1:]}), {places}) AS {c}" for c in _OUTER)}
+        FROM levels GROUP BY level, image_id, day"""
+
+
 SQL = {
     "p5_found": rf"""
         WITH RECURSIVE entries AS (SELECT image_id, site, unnest(map_entries(metadata)) AS e FROM images),
@@ -160,10 +179,6 @@ SQL = {
         edges AS MATERIALIZED (SELECT a, b FROM known UNION SELECT b, a FROM known),
         reach AS (SELECT DISTINCT a AS node, a AS root FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root < e.b)
         SELECT min(root) AS root_id, node AS image_id FROM reach GROUP BY node HAVING min(root) < node""",
-    "p4_perimeter": f"""
-        WITH measured AS (SELECT DISTINCT image_id, cell_id, tool, extracted_at, perimeter FROM features),
-        there AS (SELECT image_id, CAST(extracted_at AS DATE) AS day, perimeter AS x FROM measured WHERE perimeter IS NOT NULL AND NOT isnan(perimeter)),
-        levels AS (SELECT 'image_day' AS level, image_id, day, x FROM there UNION ALL SELECT 'image', image_id, NULL, x FROM there UNION ALL SELECT 'day', NULL, day, x FROM there)
-        SELECT level, image_id, day, count(*) AS n, {", ".join(f"round(quantile_cont(x, 0.{c[1:]}), 9) AS {c}" for c in _OUTER)}
-        FROM levels GROUP BY level, image_id, day""",
+    "p4_perimeter": f"""WITH there AS (SELECT DISTINCT image_id, cell_id, tool, extracted_at, CAST(extracted_at AS DATE) AS day, perimeter AS x FROM features WHERE perimeter IS NOT NULL AND NOT isnan(perimeter)), {_levels(9)}""",
+    "p4_area": f"""WITH {values_sql()}, there AS (SELECT DISTINCT image_id, cell_id, tool, extracted_at, CAST(extracted_at AS DATE) AS day, area_px AS x FROM converted WHERE area_px IS NOT NULL), {_levels(6)}""",
 }
