@@ -277,14 +277,43 @@ def deconvolve(spark: SparkSession, d: str) -> DataFrame:
     return intensity.deconvolve(_pixels(spark, d, 3), "ruifrok").select(*AT, "stain", r6("value").alias("value"))
 
 
-@query()
-def deconvolve_macenko(spark: SparkSession, d: str) -> DataFrame:
-    return intensity.deconvolve(_pixels(spark, d, 3)).select(*AT, "stain", r6("value").alias("value"))
+def _axis_sql(out: str, matrix: str) -> str:
+    """First main axis of the 3×3 matrices of ``matrix`` (``image_id, a .. f``: rows of the upper triangle) by repeated multiplication, pointing to a positive sum, and its variance."""
+    x, y, z = "a * x + b * y + c * z", "b * x + d * y + e * z", "c * x + e * y + f * z"
+    return f"""{out}_steps AS (SELECT image_id, 0 AS k, 5e-1 AS x, 6e-1 AS y, 7e-1 AS z FROM {matrix}
+  UNION ALL SELECT image_id, k + 1, px / l, py / l, pz / l FROM (SELECT image_id, k, px, py, pz, sqrt(px * px + py * py + pz * pz) AS l FROM (SELECT image_id, k, {x} AS px, {y} AS py, {z} AS pz FROM {out}_steps JOIN {matrix} USING (image_id) WHERE k < 400))),
+{out} AS MATERIALIZED (SELECT image_id, x * s AS x, y * s AS y, z * s AS z, x * ({x}) + y * ({y}) + z * ({z}) AS l FROM (SELECT *, CASE WHEN x + y + z < 0 THEN -1 ELSE 1 END AS s FROM {out}_steps WHERE k = 400) JOIN {matrix} USING (image_id))"""
+
+
+_OD_SQL = ", ".join(f"max(CASE WHEN ch = {k} THEN -ln(least(greatest(v / 1000.0, 1e-6), 1)) END) AS o{k}" for k in (1, 2, 3))
+_MACENKO_SQL = f"""{S.SCENE}, od AS MATERIALIZED (SELECT image_id, r, c, {_OD_SQL} FROM px GROUP BY ALL), stained AS (SELECT * FROM od WHERE sqrt(o1 * o1 + o2 * o2 + o3 * o3) > 0.15),
+m1 AS MATERIALIZED (SELECT image_id, covar_samp(o1, o1) AS a, covar_samp(o1, o2) AS b, covar_samp(o1, o3) AS c, covar_samp(o2, o2) AS d, covar_samp(o2, o3) AS e, covar_samp(o3, o3) AS f FROM stained GROUP BY image_id HAVING count(*) >= 10),
+{_axis_sql("first_", "m1")},
+m2 AS MATERIALIZED (SELECT image_id, a - l * x * x AS a, b - l * x * y AS b, c - l * x * z AS c, d - l * y * y AS d, e - l * y * z AS e, f - l * z * z AS f FROM m1 JOIN first_ USING (image_id)),
+{_axis_sql("second_", "m2")},
+angles AS (SELECT image_id, quantile_cont(t, 0.01) AS low, quantile_cont(t, 0.99) AS high FROM (SELECT s.image_id, atan2(o1 * g.x + o2 * g.y + o3 * g.z, o1 * f.x + o2 * f.y + o3 * f.z) AS t FROM stained s JOIN first_ f USING (image_id) JOIN second_ g USING (image_id)) GROUP BY image_id),
+two AS (SELECT image_id, f.x * cos(low) + g.x * sin(low) AS p1, f.y * cos(low) + g.y * sin(low) AS p2, f.z * cos(low) + g.z * sin(low) AS p3, f.x * cos(high) + g.x * sin(high) AS q1, f.y * cos(high) + g.y * sin(high) AS q2, f.z * cos(high) + g.z * sin(high) AS q3
+  FROM angles JOIN first_ f USING (image_id) JOIN second_ g USING (image_id)),
+three AS (SELECT *, p2 * q3 - p3 * q2 AS n1, p3 * q1 - p1 * q3 AS n2, p1 * q2 - p2 * q1 AS n3 FROM two),
+own AS MATERIALIZED (SELECT image_id, p1, p2, p3, q1, q2, q3, n1 / l AS n1, n2 / l AS n2, n3 / l AS n3 FROM (SELECT *, sqrt(n1 * n1 + n2 * n2 + n3 * n3) AS l FROM three))"""
+
+
+@query(f"""WITH RECURSIVE {_MACENKO_SQL} SELECT image_id, CAST(k[1] AS INTEGER) AS channel, CAST(k[2] AS INTEGER) AS stain, round(k[3], 5) AS value
+FROM (SELECT image_id, unnest([[1, 1, p1], [2, 1, p2], [3, 1, p3], [1, 2, q1], [2, 2, q2], [3, 2, q3], [1, 3, n1], [2, 3, n2], [3, 3, n3]]) AS k FROM own)""")
+def macenko(spark: SparkSession, d: str) -> DataFrame:
+    """The stain vectors of every image, stains as columns."""
+    rows = intensity.macenko_stains(_pixels(spark, d, 3)).select("image_id", F.posexplode("stains").alias("channel", "v"))
+    return rows.select("image_id", (F.col("channel") + 1).alias("channel"), F.posexplode("v").alias("stain", "value")).select("image_id", "channel", (F.col("stain") + 1).alias("stain"), F.round("value", 5).alias("value"))
 
 
-@query()
-def macenko(spark: SparkSession, d: str) -> DataFrame:
-    return intensity.macenko_stains(_pixels(spark, d, 3))
+@query(f"""WITH RECURSIVE {_MACENKO_SQL}, turned AS (SELECT *, p1 * (q2 * n3 - n2 * q3) - q1 * (p2 * n3 - n2 * p3) + n1 * (p2 * q3 - q2 * p3) AS det FROM own),
+conc AS (SELECT image_id, r, c,
+  (o1 * (q2 * n3 - n2 * q3) + o2 * (n2 * p3 - p2 * n3) + o3 * (p2 * q3 - q2 * p3)) / det AS hematoxylin,
+  (o1 * (n1 * q3 - q1 * n3) + o2 * (p1 * n3 - n1 * p3) + o3 * (q1 * p3 - p1 * q3)) / det AS eosin,
+  (o1 * (q1 * n2 - n1 * q2) + o2 * (n1 * p2 - p1 * n2) + o3 * (p1 * q2 - q1 * p2)) / det AS residual FROM od JOIN turned USING (image_id))
+SELECT image_id, r AS "row", c AS "col", stain, round(greatest(x, 0), 4) AS value FROM (UNPIVOT conc ON hematoxylin, eosin, residual INTO NAME stain VALUE x)""")
+def deconvolve_macenko(spark: SparkSession, d: str) -> DataFrame:
+    return intensity.deconvolve(_pixels(spark, d, 3)).select(*AT, "stain", F.round("value", 4).alias("value"))
 
 
 @query(f"WITH {S.SCENE}, {S.HISTOGRAM} SELECT image_id, bin, n, round(mid, 6) AS mid FROM hist")
