@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histospark.operators.stencil import border
-from histospark.runtime import over, same_size
+from histospark.runtime import over, same_size, stage
 
 GROUPS = ("intensity", "morphology", "texture", "location")
+STATISTICS = ("mean", "sd", "median", "min", "max", "q25", "q75")
 CELL = ["image_id", "label"]
 
 
@@ -175,18 +176,13 @@ def intensity(joined: DataFrame, channels: dict[int, str]) -> DataFrame:
     return joined.groupBy(*CELL).agg(*out)
 
 
-def texture(joined: DataFrame, channels: dict[int, str]) -> DataFrame:
-    """Entropy (bits) of the values at two decimals, and the distance of the quartiles."""
+def entropy(joined: DataFrame, channels: dict[int, str]) -> DataFrame:
+    """Entropy (bits) of the values at two decimals per cell and channel."""
     counts = joined.where("value is not null").groupBy(*CELL, "channel", F.bround("value", 2).alias("_bin")).agg(F.count("*").alias("_n"))
     total = counts.groupBy(*CELL, "channel").agg(F.sum("_n").alias("_t"), F.sum(F.col("_n") * F.log2("_n")).alias("_s"))
     # -sum p log2 p = log2 t - sum n log2 n / t
     bits = F.greatest(F.log2("_t") - F.col("_s") / F.col("_t"), F.lit(0.0))
-    entropy = total.groupBy(*CELL).agg(*[F.max(F.when(F.col("channel") == k, bits)).alias(f"{name}_entropy") for k, name in channels.items()])
-    spread = []
-    for k, name in channels.items():
-        q = F.percentile(F.when(F.col("channel") == k, F.col("value")), F.array(F.lit(0.25), F.lit(0.75)))
-        spread.append((q[1] - q[0]).alias(f"{name}_iqr"))
-    return entropy.join(joined.groupBy(*CELL).agg(*spread), CELL)
+    return total.groupBy(*CELL).agg(*[F.max(F.when(F.col("channel") == k, bits)).alias(f"{name}_entropy") for k, name in channels.items()])
 
 
 def channel_numbers(names: list[str], wanted: list[str | int] | None = None) -> dict[int, str]:
@@ -215,18 +211,23 @@ def extract_features(pixels: DataFrame, labels: DataFrame, names: list[str], fea
     # labels are the smaller side, and their pixels hash evenly, so they needn't be sorted
     joined = sized(pixels.where(F.col("channel").isin(list(picked))), "p").join(sized(labels, "l").hint("shuffle_hash"), ["image_id", "row", "col"])
     joined = joined.select(*CELL, "channel", same_size("p", "l", F.col("value")).alias("value"))
+    shape = ["area", "perimeter", "circularity", "eccentricity", "solidity"]
+    of_group = {"intensity": [f"{n}_{k}" for n in picked.values() for k in STATISTICS], "morphology": shape, "texture": [f"{n}_{k}" for n in picked.values() for k in ("entropy", "iqr")], "location": ["centroid_row", "centroid_col"]}
+    if {"intensity", "texture"} <= set(features):
+        joined = stage(joined)  # labelled pixels only, read for the statistics and for the entropy
     parts = []
-    if "intensity" in features:
-        parts.append(intensity(joined, picked))
-    if "morphology" in features:
-        parts.append(morphology(labels).select(*CELL, "area", "perimeter", "circularity", "eccentricity", "solidity"))
+    if {"intensity", "texture"} & set(features):
+        # one aggregation for both groups, and its quartiles once
+        parts.append(intensity(joined, picked).withColumns({f"{n}_iqr": F.col(f"{n}_q75") - F.col(f"{n}_q25") for n in picked.values()}))
     if "texture" in features:
-        parts.append(texture(joined, picked))
+        parts.append(entropy(joined, picked))
+    if "morphology" in features:
+        parts.append(morphology(labels).select(*CELL, *shape))
     if "location" in features:
         parts.append(labels.groupBy(*CELL).agg(F.avg("row").alias("centroid_row"), F.avg("col").alias("centroid_col")))
     for p in parts:
         ids = ids.join(p, CELL, "left")
-    return ids.withColumnRenamed("label", "cell_id")
+    return ids.select("image_id", F.col("label").alias("cell_id"), *[c for g in GROUPS if g in features for c in of_group[g]])
 
 
 def area_summary(labels: DataFrame) -> DataFrame:
