@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histospark.operators.order import quantiles
 from histospark.operators.resample import resample, scaled
 from histospark.operators.stencil import keys, mean3
 from histospark.runtime import over, sized
@@ -179,7 +180,7 @@ def macenko_stains(df: DataFrame) -> DataFrame:
     fewer than ten stained pixels have the fixed vectors."""
     flat = wide(df)
     od = [optical_density(F.col(f"c{k}")).alias(f"o{k}") for k in (1, 2, 3)]
-    stained = flat.select("image_id", *od).where("sqrt(o1*o1 + o2*o2 + o3*o3) > 0.15")
+    stained = flat.select("image_id", "row", "col", *od).where("sqrt(o1*o1 + o2*o2 + o3*o3) > 0.15")
     pairs = [(i, j) for i in range(1, 4) for j in range(i, 4)]
     sums = stained.groupBy("image_id").agg(F.count("*").alias("n"), *[F.covar_samp(f"o{i}", f"o{j}").alias(f"v{i}{j}") for i, j in pairs]).where("n >= 10")
 
@@ -208,7 +209,9 @@ def macenko_stains(df: DataFrame) -> DataFrame:
 
     planes = sums.select(F.col("image_id").alias("_i"), axes(*[f"v{i}{j}" for i, j in pairs]).alias("p"))
     on = lambda k: sum((F.col(f"o{i + 1}") * F.col("p")[3 * k + i] for i in (1, 2)), F.col("o1") * F.col("p")[3 * k])
-    angles = stained.join(planes, F.col("image_id") == F.col("_i")).groupBy("_i").agg(F.first("p").alias("p"), F.percentile(F.atan2(on(1), on(0)), F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    planes = sized(planes)
+    turned = stained.join(planes, F.col("image_id") == F.col("_i"))
+    angles = quantiles(turned, "image_id", F.atan2(on(1), on(0)), ["row", "col"], [0.01, 0.99]).join(planes, F.col("image_id") == F.col("_i"))
     found = angles.select("_i", matrix("p", F.col("q")[0], F.col("q")[1]).alias("m"))
     fixed = F.array(*[F.array(*[F.lit(x) for x in row]) for row in RUIFROK])
     return flat.select("image_id").distinct().join(found, F.col("image_id") == F.col("_i"), "left").select("image_id", F.coalesce("m", fixed).alias("stains"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from histospark.operators import tiles
 from histospark.operators.forest import spanning_forest
+from histospark.operators.order import ranked
 from histospark.operators.stencil import along_col, along_row
 from histospark.runtime import sized, stage, stage_observed
 
@@ -36,18 +37,6 @@ def _component_runs(on: DataFrame) -> DataFrame:
     return r.join(named, (F.col("image_id") == F.col("_i")) & (F.col("first") == F.col("_f")), "left").withColumn("first", F.coalesce("_least", "first")).drop("_i", "_f", "_least")
 
 
-def _ranked(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """``df`` with the place ``name`` of each row in its group, from 1; ``order`` has no ties in a group.
-
-    Rows are ordered by ranges and counted by range, so no group is ranked in one task."""
-    ordered = stage(df.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id()))
-    before = Window.partitionBy("_g").orderBy("_p")
-    counts = ordered.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
-    counts = sized(counts.withColumn("_before", F.sum("_n").over(before) - F.col("_n")).drop("_n"))
-    within = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order))
-    return ordered.withColumn(name, within).join(counts, (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p"))).withColumn(name, (F.col("_before") + F.col(name)).cast("int")).drop("_part", "_g", "_p", "_before")
-
-
 def _pixels_of(r: DataFrame, *columns: str) -> DataFrame:
     return r.select("image_id", "n_rows", "n_cols", "row", F.explode(F.sequence("c0", "c1")).alias("col"), *columns)
 
@@ -57,7 +46,7 @@ def components(on: DataFrame) -> DataFrame:
 
     Labels count from 1 in the order in which a scan by rows meets the components."""
     r = _component_runs(on)
-    ranks = sized(_ranked(r.select("image_id", "first").distinct(), "image_id", "first", "label"))
+    ranks = sized(ranked(r.select("image_id", "first").distinct(), "image_id", "first", "label"))
     return _pixels_of(r.join(ranks, ["image_id", "first"]), "label")
 
 
@@ -120,12 +109,12 @@ def grow(labels: DataFrame, steps: int | None, allowed: DataFrame | None = None,
 
 def relabel(labels: DataFrame) -> DataFrame:
     """Labels 1..k in the order of the old ones, of which only the distinct are ranked."""
-    ranks = sized(_ranked(labels.select(F.col("image_id").alias("_i"), F.col("label").alias("_old")).distinct(), "_i", "_old", "_new"))
+    ranks = sized(ranked(labels.select(F.col("image_id").alias("_i"), F.col("label").alias("_old")).distinct(), "_i", "_old", "_new"))
     return labels.join(ranks, (F.col("image_id") == F.col("_i")) & (F.col("label") == F.col("_old"))).withColumn("label", F.col("_new")).drop("_i", "_old", "_new")
 
 
 def filter_by_area(labels: DataFrame, min_area: int = 50, max_area: int = 5000) -> DataFrame:
     """Labels whose number of pixels is in the range (inclusive), relabelled."""
     sizes = labels.groupBy(F.col("image_id").alias("_i"), F.col("label").alias("_l")).agg(F.count("*").alias("_n")).where(F.col("_n").between(min_area, max_area))
-    kept = sized(_ranked(sizes, "_i", "_l", "_new"))
+    kept = sized(ranked(sizes, "_i", "_l", "_new"))
     return labels.join(kept, (F.col("image_id") == F.col("_i")) & (F.col("label") == F.col("_l"))).withColumn("label", F.col("_new")).drop("_i", "_l", "_n", "_new")

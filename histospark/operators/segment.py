@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histospark.operators import intensity, labeling, stencil
+from histospark.operators.order import quantiles
 from histospark.runtime import sized, stage
 
 _AT = ["image_id", "n_rows", "n_cols", "row", "col"]
@@ -72,6 +73,6 @@ def propagate(nuclei: DataFrame, membrane: DataFrame | None = None, lam: float =
         raise ValueError("lambda must not be negative")
     allowed = None
     if membrane is not None:
-        high = sized(membrane.groupBy(F.col("image_id").alias("_i")).agg(F.percentile("value", 0.9).alias("_q")))
+        high = sized(quantiles(membrane, "image_id", F.col("value"), ["row", "col"], [0.9]).select(F.col("image_id").alias("_i"), F.col("q")[0].alias("_q")))
         allowed = membrane.join(high, F.col("image_id") == F.col("_i")).where("value < _q")
     return labeling.grow(nuclei, expand_max, allowed)

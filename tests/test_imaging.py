@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from histospark.functions import rasterfiles
-from histospark.operators import annotate, backends, evaluate, intensity, labeling, masks, measure, models, resample, segment, stencil, tiles
+from histospark.operators import annotate, backends, evaluate, intensity, labeling, masks, measure, models, order, resample, segment, stencil, tiles
 from histospark.sources import images as files
 from histospark.sources.scene import described, labels_from_arrays, mask_summary, pixels_from_arrays
 
@@ -409,6 +409,20 @@ def test_resolution_and_crop(spark):
         segment.crop(px, (0, 2), (1, 1))
 
 
+def test_order(spark):
+    n = 6000
+    rows = [(int(g), i, float(v)) for i, (g, v) in enumerate(zip(rng.choice([1, 1, 1, 2, 3], n), np.where(rng.random(n) < 0.5, 7.0, rng.normal(size=n))))] + [(4, -1, 2.5), (5, -2, float("nan")), (5, -3, None)]
+    df = spark.createDataFrame(rows, "g int, t int, v double").repartition(6)
+    shares = [0.0, 0.01, 0.5, 0.9, 1.0]
+    got = {r.g: list(r.q) for r in order.quantiles(df, "g", F.col("v"), ["t"], shares).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    for g, q in got.items():
+        assert np.allclose(q, np.quantile([v for k, _, v in rows if k == g], shares))
+    places = {(r.g, r.t): r.place for r in order.ranked(df, "g", "t", "place").collect()}
+    for g in (1, 2, 3, 4, 5):
+        assert [places[g, t] for t in sorted(t for k, t, _ in rows if k == g)] == list(range(1, 1 + sum(k == g for k, _, _ in rows)))
+
+
 def test_random_patches(spark):
     images = spark.createDataFrame([(1, 100, 300), (2, 40, 40)], "image_id bigint, n_rows int, n_cols int")
     out = annotate.patch_random(images, 12, 32).collect()
