@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -556,9 +557,10 @@ def _corrections(images: DataFrame, actions: list[str]) -> DataFrame:
         "add": ("add", None, None, [(1, 1), (1, 2), (2, 1), (70, 3)]),
         "split": ("split", 4, None, [(20, 20), (40, 40)]),
     }
-    schema = "seq int, action string, cell_id int, cell_ids array<int>, points array<struct<row: int, col: int>>"
-    rows = images.sparkSession.createDataFrame([(i + 1, *given[a]) for i, a in enumerate(actions)], schema)
-    return images.select("image_id").crossJoin(F.broadcast(rows))  # as many rows as actions named above
+    names = ("seq", "action", "cell_id", "cell_ids", "points")
+    rows = [dict(zip(names, (i + 1, *given[a][:3], given[a][3] and [{"row": r, "col": c} for r, c in given[a][3]]))) for i, a in enumerate(actions)]
+    kind = "array<struct<seq: int, action: string, cell_id: int, cell_ids: array<int>, points: array<struct<row: int, col: int>>>>"
+    return images.select("image_id", F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
 
 @query(f"""WITH {S.LABELS}, m AS (SELECT image_id, r, c, CASE label WHEN 2 THEN 1 WHEN 6 THEN 5 WHEN 7 THEN 5 ELSE label END AS label FROM cell_px WHERE label <> 3)
