@@ -1,5 +1,7 @@
 import json
 import struct
+import sys
+import types
 import zipfile
 import zlib
 
@@ -472,6 +474,78 @@ def test_backends(spark):
     assert backends.train([(np.zeros((3, 3)), np.zeros((3, 3)))], trainer=lambda pairs, **k: f"{len(pairs)}-{k['n_epochs']}") == "1-100"
 
 
+def _stub(monkeypatch, name, **members):
+    """A module of that name, and the packages it is in, for this process."""
+    parts = name.split(".")
+    for i in range(1, len(parts) + 1):
+        module = types.ModuleType(".".join(parts[:i]))
+        monkeypatch.setitem(sys.modules, module.__name__, module)
+        if i > 1:
+            setattr(sys.modules[".".join(parts[: i - 1])], parts[i - 1], module)
+    for k, v in members.items():
+        setattr(sys.modules[name], k, v)
+
+
+def test_adapters_call_their_libraries(monkeypatch):
+    """The built-in backends against stand-ins with the libraries' interfaces."""
+    seen = {}
+    image = np.stack([np.where(brute.square((9, 9), (2, 4, 1)) > 0, 0.9, 0.1), np.full((9, 9), 0.5)], axis=-1)
+
+    class Cells:
+        def __init__(self, **how):
+            seen["made"] = how
+
+        def eval(self, x, **how):
+            seen["eval"] = how
+            return (x[..., 0] > 0.5).astype(np.uint16), None, None
+
+    _stub(monkeypatch, "cellpose.models", Cellpose=Cells, CellposeModel=Cells)
+    assert backends._cellpose(image, diameter=12.0, channels=(1, 2), batch_size=4).sum() == 9
+    assert seen["made"] == {"model_type": "cyto3"} and seen["eval"]["channels"] == [1, 2] and seen["eval"]["diameter"] == 12.0 and seen["eval"]["batch_size"] == 4
+    backends._cellpose(image, custom_model_path="/m/own")
+    assert seen["made"] == {"pretrained_model": "/m/own"}
+
+    class Stars:
+        def __init__(self, config=None, name=None, basedir=None):
+            seen["stars"] = (name, basedir)
+
+        @classmethod
+        def from_pretrained(cls, name):
+            return cls(None, name)
+
+        def predict_instances(self, x, **how):
+            seen["x"], seen["how"] = x, how
+            return (x > 0.5).astype(int), {}
+
+    _stub(monkeypatch, "stardist.models", StarDist2D=Stars)
+    assert backends._stardist(image, prob_thresh=0.3).sum() == 9 and seen["how"]["prob_thresh"] == 0.3 and (seen["x"].min(), seen["x"].max()) == (0, 1)
+    assert backends._stardist(image, channel=2).sum() == 0  # a constant channel stays as it is
+    backends._stardist(image, custom_model_path="/m/own")
+    assert seen["stars"] == ("own", "/m")
+
+    class Net:
+        def predict(self, x, compartment, image_mpp):
+            seen["mpp"] = image_mpp
+            return np.stack([x[..., 0] > 0.5, x[..., 1] > 0.1], axis=-1).astype(int)[..., : 2 if compartment == "both" else 1]
+
+    _stub(monkeypatch, "deepcell.applications", Mesmer=Net)
+    both = backends._mesmer(image, "both", 0.25)
+    assert {k: int(v.sum()) for k, v in both.items()} == {"whole-cell": 9, "nuclear": 81} and seen["mpp"] == 0.25
+    assert list(backends._mesmer(image)) == ["whole-cell"] and seen["mpp"] == 0.5
+    monkeypatch.setattr(backends.importlib.util, "find_spec", lambda name: object())
+
+    class Trained:
+        def __init__(self, **how):
+            self.net = how
+
+    trained = types.SimpleNamespace(train_seg=lambda net, **how: seen.update(train=(net, how)) or ("/m/new", None))
+    _stub(monkeypatch, "cellpose.models", CellposeModel=Trained)
+    monkeypatch.setitem(sys.modules, "cellpose.train", trained)
+    sys.modules["cellpose"].train = trained
+    assert backends.train([(np.zeros((3, 3)), np.zeros((3, 3)))], n_epochs=7) == "/m/new"
+    assert seen["train"][0] == {"model_type": "cyto3"} and seen["train"][1]["n_epochs"] == 7
+
+
 def test_models(spark, tmp_path):
     weights = tmp_path / "w.bin"
     weights.write_bytes(b"abc")
