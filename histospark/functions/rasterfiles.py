@@ -11,8 +11,6 @@ import zlib
 
 import numpy as np
 
-EXTENSIONS = (".pgm", ".ppm", ".pnm", ".png", ".tif", ".tiff")
-
 
 def decode(data: bytes) -> np.ndarray:
     """The array of a file's bytes, told by its first bytes."""

@@ -35,20 +35,6 @@ def _box(df: DataFrame, value: str, half: int, fn, out: str) -> DataFrame:
     return df.withColumn(out, fn(F.col(out)).over(along_col(df).rowsBetween(-half, half)))
 
 
-def box_sum(df: DataFrame, value: str, half: int, out: str) -> DataFrame:
-    """Sum of the (2 half + 1)² square around each pixel; pixels outside the image count 0.
-
-    Differences of running sums, so the cost doesn't grow with the square."""
-    for window in (along_row, along_col):
-        w = window(df)
-        run = F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        df = df.withColumn("_run", run)
-        total = F.max(F.struct("col" if window is along_row else "row", "_run")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))["_run"]
-        df = df.withColumn(out, F.coalesce(F.lead("_run", half).over(w), total) - F.coalesce(F.lag("_run", half + 1).over(w), F.lit(0.0))).drop("_run")
-        value = out
-    return df
-
-
 def integral(df: DataFrame, value: str = "value", out: str = "integral") -> DataFrame:
     """Sum of all pixels above and to the left, inclusive."""
     df = df.withColumn(out, F.sum(value).over(along_row(df).rowsBetween(Window.unboundedPreceding, 0)))
@@ -62,14 +48,23 @@ def mean3(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def adaptive(df: DataFrame, block_size: int = 51, offset: float = 0.05, value: str = "value") -> DataFrame:
-    """``on``: 1 where the value exceeds its local mean less ``offset``.
+    """``on``: 1 where the value exceeds its local mean less ``offset``; a NULL value is off.
 
     The mean divides by the whole block also near edges; an even size counts as the next odd.
-    Differences below 1e-12 count as none, so that summation order can't decide."""
+    Differences below 1e-12 count as none, so that summation order can't decide. Tiles have a halo
+    of half a block, and sums of blocks are differences of running sums."""
     half = block_size // 2
     size = 2 * half + 1
-    out = box_sum(df, value, half, "_sum")
-    return out.withColumn("on", (F.col(value) - (F.col("_sum") / (size * size) - offset) > 1e-12).cast("int")).drop("_sum")
+
+    def of(a: np.ndarray, r0: int, c0: int, h: int, w: int) -> np.ndarray:
+        run = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
+        run[1:, 1:] = np.nan_to_num(a).cumsum(axis=0).cumsum(axis=1)
+        (top, bottom), (left, right) = ((np.maximum(k - half, 0), np.minimum(k + half + 1, n)) for n in a.shape for k in [np.arange(n)])
+        total = run[bottom][:, right] - run[top][:, right] - run[bottom][:, left] + run[top][:, left]
+        return (a - (total / (size * size) - offset) > 1e-12).astype(float)
+
+    out = tiles.stencil(df.withColumn(value, F.col(value).cast("double")), value, half, "double", of)
+    return out.withColumn("on", F.col(value).cast("int")).drop(value)
 
 
 def erode(df: DataFrame, size: int) -> DataFrame:

@@ -52,8 +52,10 @@ def bounds(n: int, tile: int, halo: int = 0) -> tuple[int, int]:
 def stencil(df: DataFrame, value: str, halo: int, kind: str, of: Callable[[np.ndarray, int, int, int, int], np.ndarray]) -> DataFrame:
     """Dense rows whose ``value`` is made new by ``of(array, first row, first column, n_rows, n_cols)`` on tiles with a halo.
 
-    Other columns than the pixels' places are dropped."""
-    schema = f"image_id bigint, n_rows int, n_cols int, row int, col int, {value} {kind}"
+    Channels are worked on apart; other columns than the pixels' places are dropped."""
+    more = [c for c in ("channel",) if c in df.columns]
+    at = ["image_id", "n_rows", "n_cols", *more, "row", "col"]
+    schema = "image_id bigint, " + ", ".join(f"{c} int" for c in at[1:]) + f", {value} {kind}"
 
     def run(table: pa.Table) -> pa.Table:
         image, h, w, tr, tc = _frame(table)
@@ -66,10 +68,11 @@ def stencil(df: DataFrame, value: str, halo: int, kind: str, of: Callable[[np.nd
         out = out[r2 - r0 : r3 - r0, c2 - c0 : c3 - c0]
         r, c = (x.ravel() for x in np.indices(out.shape))
         n = out.size
-        columns = [np.full(n, image), np.full(n, h, np.int32), np.full(n, w, np.int32), (r + r2 + 1).astype(np.int32), (c + c2 + 1).astype(np.int32), out.ravel()]
-        return pa.table(dict(zip(("image_id", "n_rows", "n_cols", "row", "col", value), columns)))
+        same = [np.full(n, k, np.int32) for k in (h, w, *(table[m][0].as_py() for m in more))]
+        columns = [np.full(n, image), *same, (r + r2 + 1).astype(np.int32), (c + c2 + 1).astype(np.int32), out.ravel()]
+        return pa.table(dict(zip((*at, value), columns)))
 
-    return tiled(df.select("image_id", "n_rows", "n_cols", "row", "col", value), halo).groupBy(*KEY).applyInArrow(run, schema)
+    return tiled(df.select(*at, value), halo).groupBy(*KEY, *more).applyInArrow(run, schema)
 
 
 def dense(labels: DataFrame, images: DataFrame) -> DataFrame:

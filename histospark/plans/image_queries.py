@@ -119,6 +119,12 @@ def example_labels(spark: SparkSession, d: str) -> DataFrame:
     return one.unionByName(two).unionByName(three).select(*AT, "label")
 
 
+@query("""SELECT CAST(i AS BIGINT) AS image_id, t AS type, x AS text FROM (VALUES (1, 'he_breast', '64 x 64 (1 channel)'), (2, 'fluorescence_nuclei', '64 x 64 (1 channel)'), (3, 'multiplex_4ch', '64 x 64 x 4 (4 channels: DAPI, CD3, CD8, PanCK)')) AS v(i, t, x)""")
+def example_images(spark: SparkSession, d: str) -> DataFrame:
+    images = scene.example_images(spark)
+    return printing.image_lines(images).join(images.select("image_id", F.col("metadata")["type"].alias("type")), "image_id").select("image_id", "type", "text")
+
+
 # projection and filters
 
 
@@ -245,6 +251,13 @@ def contrast_stretch(spark: SparkSession, d: str) -> DataFrame:
     return intensity.contrast_stretch(_pixels(spark, d, 2)).select(*AT, "channel", r6("value").alias("value"))
 
 
+@query(f"""WITH {S.SCENE}, lim AS (SELECT image_id, ch, min(v) AS lo, max(v) AS hi FROM px WHERE ch <= 2 GROUP BY ALL)
+SELECT image_id, r AS "row", c AS "col", CAST(ch AS INTEGER) AS channel, round((v - lo) / CAST(hi - lo AS DOUBLE), 6) AS value FROM px JOIN lim USING (image_id, ch)""")
+def normalized(spark: SparkSession, d: str) -> DataFrame:
+    """Every channel stretched by its own range."""
+    return intensity.normalize(_pixels(spark, d, 2)).select(*AT, "channel", r6("value").alias("value"))
+
+
 @query(f"""WITH {S.SCENE}, m AS (SELECT image_id, ch, avg(v / 1000.0) AS mu, stddev_samp(v / 1000.0) AS sd FROM px WHERE ch <= 3 GROUP BY ALL)
 SELECT image_id, r AS "row", c AS "col", CAST(ch AS INTEGER) AS channel, round(least(greatest((v / 1000.0 - mu) / sd * 0.15 + 0.5, 0), 1), 6) AS value FROM px JOIN m USING (image_id, ch)""")
 def reinhard(spark: SparkSession, d: str) -> DataFrame:

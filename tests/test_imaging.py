@@ -95,6 +95,17 @@ def test_local_means(spark):
     assert ones.diagonal().tolist() == [1, 4, 9]
 
 
+def test_channels_are_apart(spark):
+    a = rng.random((9, 9, 2))
+    both = pixels_from_arrays(spark, {1: a})
+    on = stencil.adaptive(both, 5, 0.02)
+    opened = stencil.opening(both.withColumn("on", (F.col("value") > 0.2).cast("int")), 3)
+    for k in (0, 1):
+        alone = pixels_from_arrays(spark, {1: a[..., k]})
+        assert (dense(on.where(F.col("channel") == k + 1), 1, (9, 9), "on") == dense(stencil.adaptive(alone, 5, 0.02), 1, (9, 9), "on")).all()
+        assert (dense(opened.where(F.col("channel") == k + 1), 1, (9, 9), "on") == dense(stencil.opening(alone.withColumn("on", (F.col("value") > 0.2).cast("int")), 3), 1, (9, 9), "on")).all()
+
+
 def test_resample(spark):
     a = rng.random((9, 7))
     px = pixels_from_arrays(spark, {1: a})
