@@ -40,7 +40,6 @@ WHOLE = 16 * CHUNK
 PARTITION = 2_000_000
 _Q = len(QUANTILES)
 _KEYS = "level string, metric string, image_id bigint, day date"
-KEYS = ["level", "metric", "image_id", "day"]
 
 
 def _ranks(n: int) -> np.ndarray:
