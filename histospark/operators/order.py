@@ -20,17 +20,17 @@ def _ordered(df: DataFrame, group: str, order: list[str]) -> tuple[DataFrame, Da
 
 
 def ranked(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """``df`` with the place ``name`` of each row in its group, from 1; ``order`` has no ties in a group."""
+    """``df`` with the place ``name`` of each row in its group, from 1; ``order`` has no ties in a group, and NULL is a group."""
     ordered, counts = _ordered(df, group, [order])
     within = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order))
-    out = ordered.withColumn(name, within).join(counts, (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p")))
+    out = ordered.withColumn(name, within).join(counts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
     return out.withColumn(name, (F.col("_before") + F.col(name)).cast("int")).drop("_part", "_g", "_p", "_n", "_before", "_all")
 
 
 def quantiles(df: DataFrame, group: str, value: Column, tie: list[str], shares: list[float]) -> DataFrame:
     """``group, q``: exact percentiles of each group at ``shares``, interpolated between the closest ranks.
 
-    NULL and NaN aren't counted; ``tie`` are columns that part equal values, so that a frequent
+    NULL and NaN aren't counted, nor is a NULL group; ``tie`` are columns that part equal values, so that a frequent
     value doesn't fill one partition. Only partitions with a rank that is wanted are ranked."""
     order = ["_v", *tie]
     rows = df.select(group, value.cast("double").alias("_v"), *tie).where(F.col("_v").isNotNull() & ~F.isnan("_v"))

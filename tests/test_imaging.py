@@ -431,7 +431,9 @@ def test_order(spark):
     assert set(got) == {1, 2, 3, 4}
     for g, q in got.items():
         assert np.allclose(q, np.quantile([v for k, _, v in rows if k == g], shares))
-    places = {(r.g, r.t): r.place for r in order.ranked(df, "g", "t", "place").collect()}
+    lone = spark.createDataFrame([(None, 8, 1.0), (None, 3, 1.0)], df.schema)
+    places = {(r.g, r.t): r.place for r in order.ranked(df.unionByName(lone), "g", "t", "place").collect()}
+    assert (places[None, 3], places[None, 8]) == (1, 2)
     for g in (1, 2, 3, 4, 5):
         assert [places[g, t] for t in sorted(t for k, t, _ in rows if k == g)] == list(range(1, 1 + sum(k == g for k, _, _ in rows)))
 
