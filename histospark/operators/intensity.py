@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histospark.operators import prepare, rasters
 from histospark.operators.order import quantiles
-from histospark.operators.resample import resample, scaled
-from histospark.operators.stencil import keys, mean3
+from histospark.operators.resample import scaled
+from histospark.operators.stencil import keys
 from histospark.runtime import over, sized
 
 BINS = 256
@@ -56,9 +57,12 @@ def reinhard(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.when(F.col("_channels") > 1, clamp(scaled)).otherwise(F.col("value"))).drop("_mean", "_sd", "_channels")
 
 
+STAIN_METHODS = ("reinhard", "macenko", "vahadane")
+
+
 def stain_normalize(df: DataFrame, method: str = "reinhard") -> DataFrame:
     """Every method, also macenko and vahadane, is the channel-wise normalization."""
-    if method not in ("reinhard", "macenko", "vahadane"):
+    if method not in STAIN_METHODS:
         raise ValueError(f"unknown stain normalization {method}")
     return reinhard(df)
 
@@ -233,24 +237,35 @@ def preprocess(df: DataFrame, stain: str | None = None, denoise: bool = False, c
 
     Resampling is by ``scale``, or to ``target_resolution`` from the pixel widths of ``images``
     (``image_id, resolution``); an image of unknown size isn't resampled. ``preprocessed`` gives
-    what ``images`` says afterwards."""
+    what ``images`` says afterwards. ``df`` are pixels or rasters; columns other than those of
+    pixels are dropped. An image of one tile goes through all steps in one task; of larger ones tiles with
+    a margin of two pixels are exchanged once, and statistics of images come from those of tiles."""
     if scale is not None and scale <= 0:
         raise ValueError("the scale must be positive")
     if contrast not in CONTRASTS:
         raise ValueError(f"unknown contrast {contrast}")
+    if stain not in (None, "", *STAIN_METHODS):
+        raise ValueError(f"unknown stain normalization {stain}")
     if target_resolution is not None:
         if images is None:
             raise ValueError("a target resolution needs the resolutions of the images")
         to = scales(images, target_resolution)
-    if stain:
-        df = stain_normalize(df, stain)
-    if denoise:
-        df = mean3(df)
-    if contrast:
-        df = contrast_stretch(df) if contrast == "stretch" else equalize(df)
+    channels = rasters.is_rasters(df) or "channel" in df.columns
+    if contrast in ("clahe", "equalize"):
+        # its counts of bins are of whole images, between the steps that work on tiles
+        df = equalize(preprocess(df, stain, denoise) if stain or denoise else rasters.pixels(df) if rasters.is_rasters(df) else df)
+        stain, denoise, contrast = None, False, None
+        if scale is None and target_resolution is None:
+            return df
+    small, large = rasters.parted(df)
     if target_resolution is not None:
-        return resample(df, to)
-    return resample(df, scale) if scale else df
+        small, large = (t if t is None else t.join(to, "image_id") for t in (small, large))
+    else:
+        small, large = (t if t is None else t.withColumn("scale", F.lit(scale).cast("double")) for t in (small, large))
+    out = prepare.small(small, bool(stain), denoise, bool(contrast))
+    if large is not None:
+        out = out.unionByName(prepare.large(large, bool(stain), denoise, bool(contrast)))
+    return out if channels else out.drop("channel")
 
 
 def preprocessed(images: DataFrame, stain: str | None = None, denoise: bool = False, contrast: str | None = None, target_resolution: float | None = None) -> DataFrame:

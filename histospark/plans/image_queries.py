@@ -37,6 +37,14 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """``round``, which goes by decimal numbers only where a value is near a tie, too large or not finite."""
+    c = F.col(c) if isinstance(c, str) else c
+    y = c * float(10**digits)
+    clear = (F.abs(y) < 1e12) & (F.abs(y - F.floor(y) - 0.5) > 1e-3)
+    return F.when(clear, F.floor(y + 0.5) / float(10**digits)).otherwise(F.round(c, digits))
+
+
 def _customer(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "customer")
 
@@ -54,6 +62,10 @@ def _pixels(spark: SparkSession, d: str, channels: int = 1) -> DataFrame:
     return stage(scene.scene_pixels(_customer(spark, d), channels))
 
 
+def _rasters(spark: SparkSession, d: str, channels: int) -> DataFrame:
+    return scene.scene_rasters(_customer(spark, d), channels)
+
+
 def _images(spark: SparkSession, d: str) -> DataFrame:
     return scene.scene_images(_customer(spark, d))
 
@@ -378,7 +390,7 @@ small AS (SELECT f.image_id, i, j, ch, sum(w * x.v) AS v FROM four f JOIN {sourc
 
 @query(f"""WITH {S.SCENE}, {_PREPARED_SQL}, {_shrunk_sql("flat", "0.5")} SELECT image_id, i AS "row", j AS "col", CAST(ch AS INTEGER) AS channel, round(v, 6) AS value FROM small""")
 def preprocess(spark: SparkSession, d: str) -> DataFrame:
-    return intensity.preprocess(_pixels(spark, d, 3), stain="reinhard", denoise=True, contrast="stretch", scale=0.5).select(*AT, "channel", r6("value").alias("value"))
+    return intensity.preprocess(_rasters(spark, d, 3), stain="reinhard", denoise=True, contrast="stretch", scale=0.5).select(*AT, "channel", rounded("value", 6).alias("value"))
 
 
 def _resolutions(spark: SparkSession, d: str) -> DataFrame:

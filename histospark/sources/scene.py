@@ -8,12 +8,15 @@ lengths store it for nothing and no operator needs a join for it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histospark.operators import tiles
+from histospark.operators import rasters, tiles
 
 SIZE = 64
 PER_IMAGE = 15
@@ -72,6 +75,31 @@ def scene_pixels(customer: DataFrame, channels: int = 1) -> DataFrame:
     return df.select("image_id", "n_rows", "n_cols", "row", "col", "channel", (shade(F.col("label"), F.col("channel")) / 1000).alias("value"))
 
 
+def scene_rasters(customer: DataFrame, channels: int = 1) -> DataFrame:
+    """The same pixels as rasters: an image is drawn from its ellipses at once, so only these are exchanged."""
+    r, c = np.indices((SIZE, SIZE)) + 1
+
+    def draw(image: int, cells: list[dict]) -> tuple:
+        label = np.zeros((SIZE, SIZE), int)
+        for x in cells:
+            k, cr, cc, rx, ry = x.values()
+            box = slice(max(0, cr - rx - 1), cr + rx), slice(max(0, cc - ry - 1), cc + ry)
+            inside = (r[box] - cr) ** 2 * (ry * ry) + (c[box] - cc) ** 2 * (rx * rx) <= rx * rx * ry * ry
+            label[box] = np.maximum(label[box], inside * k)
+        texture = np.fmod(r * 31 + c * 17 + image * 7, 21) - 10
+        a = np.stack([np.where(label > 0, (600 + label * 27 % 400) * (5 - k) // 4, 50) + texture for k in range(1, channels + 1)]) / 1000
+        return rasters.packed(image, SIZE, SIZE, 0, 0, list(range(1, channels + 1)), a, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            images = batch.to_pylist()
+            for i in range(0, len(images), 500):
+                yield from rasters.table([draw(x["image_id"], x["cells"]) for x in images[i : i + 500]]).to_batches()
+
+    images = scene_cells(customer).groupBy("image_id").agg(F.collect_list(F.struct("k", "cr", "cc", "rx", "ry")).alias("cells"))
+    return images.mapInArrow(run, rasters.RASTERS)
+
+
 #: The example scenes: number, ellipses, ground, least and greatest value and noise in thousandths, channels.
 EXAMPLES = {
     "he_breast": (1, 20, 850, 200, 500, 20, ("H&E",)),

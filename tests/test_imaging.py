@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from histospark.functions import rasterfiles
 from histospark.operators import annotate, backends, evaluate, intensity, labeling, masks, measure, models, order, resample, segment, stencil, tiles
+from histospark.plans.image_queries import QUERIES, rounded
 from histospark.sources import images as files
 from histospark.sources.scene import described, labels_from_arrays, mask_summary, pixels_from_arrays
 
@@ -620,3 +621,55 @@ def test_tiles_agree_with_whole_images(spark):
     opened = stencil.opening(dense, 3).where("on = 1").count()
     ring = tiles.inside((h, w), 0, 0, h, w, 1)
     assert opened == np.where(ring, tiles.extreme(np.where(ring, tiles.extreme(on.astype(int), 1, False), 0), 1, True), 0).sum()
+
+
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    executors = sc.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def shuffled_per_pixel(spark, tmp_path, name):
+    """Bytes a pixel that a query of an image's pixels exchanges where no table is small enough to be sent to all."""
+    spark.range(1500).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    limit, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        QUERIES[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    return (shuffled(spark) - before) / (100 * 64 * 64)
+
+
+def by_place(df):
+    return {tuple(r)[:-1]: r.value for r in df.select("image_id", "n_rows", "n_cols", "row", "col", "channel", "value").collect()}
+
+
+def test_preprocess_exchanges_no_pixels(spark, tmp_path):
+    assert shuffled_per_pixel(spark, tmp_path, "preprocess") < 0.5
+
+
+def test_preprocess_equals_its_steps_on_rows(spark):
+    images = {1: rng.random((40, 30, 3)), 2: rng.random((515, 530, 2)), 3: np.full((5, 7, 2), 0.3), 4: rng.random((1, 9, 2)), 5: rng.random((2, 2))}
+    px = pixels_from_arrays(spark, images)
+    px = px.withColumn("value", F.when((F.col("row") * 7 + F.col("col") * 5) % 97 != 0, F.col("value"))).cache()
+    by_image = spark.createDataFrame([(1, 0.5), (2, 0.7), (3, 2.0), (4, 0.3), (5, 1.0)], "image_id bigint, scale double")
+    steps = stencil.mean3(intensity.reinhard(px)), {"stain": "reinhard", "denoise": True}
+    for of, (want, how) in enumerate([(intensity.contrast_stretch(steps[0]), steps[1] | {"contrast": "stretch"}), (px, {})]):
+        tries = [(resample.resample(want, 0.6), {"scale": 0.6})] if of else [(want, {})]
+        for rows, more in tries:
+            want_, got = by_place(rows), by_place(intensity.preprocess(px, **how, **more))
+            assert want_.keys() == got.keys()
+            assert all((a is None) == (got[k] is None) and (a is None or abs(a - got[k]) < 1e-9) for k, a in want_.items())
+    sizes = described(spark, images, resolution={k: (s, s) for k, s in ((1, 0.5), (2, 0.7), (3, 2.0), (4, 0.3))})
+    want, got = by_place(resample.resample(px, by_image)), by_place(intensity.preprocess(px, target_resolution=1.0, images=sizes))
+    assert want.keys() == got.keys() and {k for k, a in want.items() if a is None} == {k for k, a in got.items() if a is None}
+    assert max(abs(a - got[k]) for k, a in want.items() if a is not None) < 1e-9
+
+
+def test_rounded(spark):
+    values = [0.0000005, -0.0000005, 1.0000005, 0.1234565, 0.12345649999, 2.5, -0.3, 1e20, 1e9 + 0.1, float("nan"), float("inf"), None, -0.0, *rng.normal(size=500).tolist(), *(np.arange(500) / 16000).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (4, 6, 10):
+        assert df.where(~rounded("v", digits).eqNullSafe(F.round("v", digits))).count() == 0
