@@ -404,9 +404,9 @@ _SCALE_SQL = "CASE image_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 2.0
 
 @query(f"""WITH {S.SCENE}, flat AS MATERIALIZED (SELECT image_id, r, c, ch, v / 1000.0 AS v FROM px WHERE ch <= 2), {_shrunk_sql("flat", _SCALE_SQL)} SELECT image_id, i AS "row", j AS "col", CAST(ch AS INTEGER) AS channel, round(v, 10) AS value FROM small""")
 def preprocess_resolution(spark: SparkSession, d: str) -> DataFrame:
-    px = intensity.preprocess(_pixels(spark, d, 2), target_resolution=0.5, images=_resolutions(spark, d))
+    px = intensity.preprocess(_rasters(spark, d, 2), target_resolution=0.5, images=_resolutions(spark, d))
     # sixteenths of thousandths are ties at six places
-    return px.select(*AT, "channel", F.round("value", 10).alias("value"))
+    return px.select(*AT, "channel", rounded("value", 10).alias("value"))
 
 
 @query(f"""WITH {S.CELLS}, {S.IMAGES} SELECT image_id, CAST(64 * {_SCALE_SQL} AS INTEGER) AS n_rows, CASE WHEN image_id % 4 < 3 THEN 0.5 END AS x_um, CASE WHEN image_id % 4 < 3 THEN 'scanned -> denoise:mean3x3 -> resample:0.5um' ELSE 'scanned -> denoise:mean3x3' END AS history FROM imgs""")

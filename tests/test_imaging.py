@@ -650,6 +650,10 @@ def test_preprocess_exchanges_no_pixels(spark, tmp_path):
     assert shuffled_per_pixel(spark, tmp_path, "preprocess") < 0.5
 
 
+def test_preprocess_resolution_exchanges_no_pixels(spark, tmp_path):
+    assert shuffled_per_pixel(spark, tmp_path, "preprocess_resolution") < 5
+
+
 def test_preprocess_equals_its_steps_on_rows(spark):
     images = {1: rng.random((40, 30, 3)), 2: rng.random((515, 530, 2)), 3: np.full((5, 7, 2), 0.3), 4: rng.random((1, 9, 2)), 5: rng.random((2, 2))}
     px = pixels_from_arrays(spark, images)
