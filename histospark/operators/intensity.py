@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -146,30 +148,54 @@ def deconvolve(df: DataFrame, method: str = "macenko", stains=None) -> DataFrame
 
     The stain vectors are those given (an invertible 3×3 matrix), the fixed ones (``ruifrok``), or
     each image's own (``macenko``); an image whose own can't be inverted has NULLs. Images of
-    fewer than three channels have no rows."""
+    fewer than three channels have no rows. ``df`` are pixels or rasters. An image of one tile is
+    worked on at once; of larger ones the stains come from ``macenko_stains``' aggregations."""
     if method not in ("macenko", "ruifrok"):
         raise ValueError(f"unknown method {method}")
-    flat = wide(df).where("c1 is not null and c2 is not null and c3 is not null")
-    od = [optical_density(F.col(f"c{k}")) for k in (1, 2, 3)]
-    if stains is None and method == "macenko":
-
-        @F.pandas_udf(_MATRIX)
-        def inverse(m: pd.Series) -> pd.Series:
-            rows = [np.array([list(r) for r in x], float) for x in m]
-            return pd.Series([np.linalg.inv(x).tolist() if abs(np.linalg.det(x)) > 1e-12 else None for x in rows])
-
-        own = macenko_stains(df).select(F.col("image_id").alias("_i"), inverse("stains").alias("_m"))
-        flat = flat.join(own, F.col("image_id") == F.col("_i"))
-        weight = lambda i, j: F.col("_m")[i][j]
-    else:
+    fixed = None
+    if stains is not None or method == "ruifrok":
         matrix = np.asarray(RUIFROK if stains is None else stains, float)
         if matrix.shape != (3, 3) or abs(np.linalg.det(matrix)) < 1e-12:
             raise ValueError("stains must be an invertible 3×3 matrix")
         fixed = np.linalg.inv(matrix)
-        weight = lambda i, j: F.lit(float(fixed[i, j]))
-    sums = [od[0] * weight(0, j) + od[1] * weight(1, j) + od[2] * weight(2, j) for j in range(3)]
-    out = [F.when(x.isNotNull(), F.greatest(x, F.lit(0.0))) for x in sums]
-    return flat.select("image_id", "n_rows", "n_cols", "row", "col", F.explode(F.create_map(*[x for name, c in zip(STAINS, out) for x in (F.lit(name), c)])).alias("stain", "value"))
+
+    def of(x: dict) -> Iterator[list]:
+        r0, r1, c0, c1 = rasters.extent(x)
+        if not {1, 2, 3} <= set(x["channels"]):
+            return
+        a, state = rasters.arrays(x, r1 - r0, c1 - c0)
+        at = [x["channels"].index(k) for k in (1, 2, 3)]
+        od = -np.log(np.fmin(np.maximum(a[at], 1e-6), 1.0))
+        known = None if state is None else (state[at] == 2).all(axis=0)
+        if fixed is not None:
+            m = fixed
+        else:
+            own = x["stains"]
+            if own is None:
+                # a NULL counts as the least value, as in macenko_stains
+                there = od.reshape(3, -1) if state is None else np.where(state[at] == 2, od, -np.log(1e-6))[:, (state > 0).any(axis=0)]
+                own = own_stains(there)
+            m = np.array([list(r) for r in own], float)
+            m = np.linalg.inv(m) if abs(np.linalg.det(m)) > 1e-12 else None
+        step = max(1, rasters.ROWS // (c1 - c0))
+        for j in range(3):
+            v = np.zeros(od.shape[1:]) if m is None else np.maximum(od[0] * m[0, j] + od[1] * m[1, j] + od[2] * m[2, j], 0.0)
+            for i in range(0, r1 - r0, step):
+                part = slice(i, i + step)
+                lost = None if m is not None and known is None else np.where(True if known is None else known[part], 1 if m is None else 2, 0) * np.ones((len(v[part]), 1), int)
+                yield from rasters.rows(x["image_id"], x["n_rows"], x["n_cols"], np.arange(r0, r1)[part] + 1, np.arange(c0, c1) + 1, j + 1, v[part], lost, False)
+
+    small, large = rasters.parted(df)
+    none = F.lit(None).cast(_MATRIX)
+    out = rasters.mapped(small.withColumn("stains", none), of, rasters.PIXELS)
+    if large is not None:
+        own = large.withColumn("stains", none)
+        if fixed is None:
+            found = sized(_stains(wide(rasters.pixels(large)))).withColumnRenamed("image_id", "_i")
+            own = large.join(found, F.col("image_id") == F.col("_i")).drop("_i")
+        out = out.unionByName(rasters.mapped(own, of, rasters.PIXELS))
+    name = F.element_at(F.array(*[F.lit(x) for x in STAINS]), F.col("channel"))
+    return out.select("image_id", "n_rows", "n_cols", "row", "col", name.alias("stain"), "value")
 
 
 _MATRIX = "array<array<double>>"
@@ -182,7 +208,39 @@ def macenko_stains(df: DataFrame) -> DataFrame:
     covariances and the 1st and 99th percentile of the angle in the plane of its two main axes;
     only these few numbers of an image go to Python. Axes point to positive sums. Images of
     fewer than ten stained pixels have the fixed vectors."""
-    flat = wide(df)
+    return _stains(wide(df))
+
+
+def _plane(cov: np.ndarray) -> np.ndarray:
+    """The two main axes of covariances, as columns."""
+    e = np.linalg.eigh(cov)[1][:, [2, 1]]
+    return e * np.where(e.sum(axis=0) < 0, -1, 1)
+
+
+def _vectors(e: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Stains as columns: those at two angles of the plane, and what is across to both."""
+    v1, v2 = (e @ np.array([np.cos(q), np.sin(q)]) for q in (low, high))
+    v1, v2 = v1 / np.linalg.norm(v1), v2 / np.linalg.norm(v2)
+    v3 = np.cross(v1, v2)
+    length = np.linalg.norm(v3)
+    return np.column_stack([v1, v2, v3 / length if length else v3])
+
+
+def own_stains(od: np.ndarray) -> np.ndarray | tuple:
+    """The stain matrix of an image whose optical densities (3 by pixels) are held at once, as by ``macenko_stains``."""
+    od = od[:, np.sqrt(np.square(od).sum(axis=0)) > 0.15]
+    n = od.shape[1]
+    if n < 10:
+        return RUIFROK
+    e = _plane(np.cov(od))
+    angle = np.arctan2(*(e.T @ od)[::-1])
+    ranks = [(n - 1) * s for s in (0.01, 0.99)]
+    held = np.partition(angle, sorted({min(int(q) + k, n - 1) for q in ranks for k in (0, 1)}))
+    low, high = (held[int(q)] + (q - int(q)) * (held[min(int(q) + 1, n - 1)] - held[int(q)]) for q in ranks)
+    return _vectors(e, low, high)
+
+
+def _stains(flat: DataFrame) -> DataFrame:
     od = [optical_density(F.col(f"c{k}")).alias(f"o{k}") for k in (1, 2, 3)]
     stained = flat.select("image_id", "row", "col", *od).where("sqrt(o1*o1 + o2*o2 + o3*o3) > 0.15")
     pairs = [(i, j) for i in range(1, 4) for j in range(i, 4)]
@@ -195,20 +253,14 @@ def macenko_stains(df: DataFrame) -> DataFrame:
             cov = np.zeros((3, 3))
             for (i, j), x in zip(pairs, row):
                 cov[i - 1, j - 1] = cov[j - 1, i - 1] = x
-            e = np.linalg.eigh(cov)[1][:, [2, 1]]
-            out.append((e * np.where(e.sum(axis=0) < 0, -1, 1)).T.ravel())
+            out.append(_plane(cov).T.ravel())
         return pd.Series(out)
 
     @F.pandas_udf(_MATRIX)
     def matrix(plane: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
         out = []
         for p, a, b in zip(plane, low, high):
-            e = np.asarray(p).reshape(2, 3).T
-            v1, v2 = (e @ np.array([np.cos(q), np.sin(q)]) for q in (a, b))
-            v1, v2 = v1 / np.linalg.norm(v1), v2 / np.linalg.norm(v2)
-            v3 = np.cross(v1, v2)
-            length = np.linalg.norm(v3)
-            out.append(np.column_stack([v1, v2, v3 / length if length else v3]).tolist())
+            out.append(_vectors(np.asarray(p).reshape(2, 3).T, a, b).tolist())
         return pd.Series(out)
 
     planes = sums.select(F.col("image_id").alias("_i"), axes(*[f"v{i}{j}" for i, j in pairs]).alias("p"))

@@ -300,7 +300,7 @@ def _deconvolve_sql() -> str:
 
 @query(_deconvolve_sql())
 def deconvolve(spark: SparkSession, d: str) -> DataFrame:
-    return intensity.deconvolve(_pixels(spark, d, 3), "ruifrok").select(*AT, "stain", r6("value").alias("value"))
+    return intensity.deconvolve(_rasters(spark, d, 3), "ruifrok").select(*AT, "stain", r6("value").alias("value"))
 
 
 def _axis_sql(out: str, matrix: str) -> str:
@@ -339,7 +339,7 @@ conc AS (SELECT image_id, r, c,
   (o1 * (q1 * n2 - n1 * q2) + o2 * (n1 * p2 - p1 * n2) + o3 * (p1 * q2 - q1 * p2)) / det AS residual FROM od JOIN turned USING (image_id))
 SELECT image_id, r AS "row", c AS "col", stain, round(greatest(x, 0), 4) AS value FROM (UNPIVOT conc ON hematoxylin, eosin, residual INTO NAME stain VALUE x)""")
 def deconvolve_macenko(spark: SparkSession, d: str) -> DataFrame:
-    return intensity.deconvolve(_pixels(spark, d, 3)).select(*AT, "stain", F.round("value", 4).alias("value"))
+    return intensity.deconvolve(_rasters(spark, d, 3)).select(*AT, "stain", rounded("value", 4).alias("value"))
 
 
 @query(f"WITH {S.SCENE}, {S.HISTOGRAM} SELECT image_id, bin, n, round(mid, 6) AS mid FROM hist")

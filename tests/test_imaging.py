@@ -654,6 +654,22 @@ def test_preprocess_resolution_exchanges_no_pixels(spark, tmp_path):
     assert shuffled_per_pixel(spark, tmp_path, "preprocess_resolution") < 5
 
 
+def test_deconvolve_macenko_exchanges_no_pixels(spark, tmp_path):
+    assert shuffled_per_pixel(spark, tmp_path, "deconvolve_macenko") < 5
+
+
+def test_deconvolution_of_several_tiles_and_of_one(spark):
+    images = {1: rng.random((515, 6, 3)), 2: rng.random((20, 30, 4))}
+    px = pixels_from_arrays(spark, images).cache()
+    own = {r.image_id: np.array([list(x) for x in r.stains]) for r in intensity.macenko_stains(px).collect()}
+    got = intensity.deconvolve(px).toPandas()
+    for image, a in images.items():
+        want = np.maximum(-np.log(np.maximum(a[..., :3], 1e-6)) @ np.linalg.inv(own[image]), 0)
+        rows = got[got.image_id == image]
+        assert len(rows) == want.size
+        assert np.allclose(want[rows.row - 1, rows.col - 1, rows.stain.map(intensity.STAINS.index)], rows.value, atol=1e-7)
+
+
 def test_preprocess_equals_its_steps_on_rows(spark):
     images = {1: rng.random((40, 30, 3)), 2: rng.random((515, 530, 2)), 3: np.full((5, 7, 2), 0.3), 4: rng.random((1, 9, 2)), 5: rng.random((2, 2))}
     px = pixels_from_arrays(spark, images)
